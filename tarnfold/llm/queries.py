@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import decontam, quality, sharding, simhash
+from tarnfold.llm import decontam, mixing, quality, sharding, simhash
 from tarnfold.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op10_mixing": op10_mixing,
 }
 #: DuckDB SQL where it can express the query on whole tables.
 SQL: dict[str, str] = {}
