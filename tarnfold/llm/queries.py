@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import decontam, mixing, pii, quality, sharding, simhash, tokens
+from tarnfold.llm import decontam, langid, mixing, pii, quality, sharding, simhash, tokens
 from tarnfold.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
 #: DuckDB SQL where it can express the query on whole tables.
