@@ -31,7 +31,7 @@ from tarnfold.llm.common import cut, shared_dir
 MAGIC = 0x54464E31
 NULL_ID = -(1 << 63)
 #: Texts of about so many bytes are encoded at once.
-BATCH = 1 << 24
+BATCH = 1 << 23
 
 
 class Encoder:
@@ -43,7 +43,7 @@ class Encoder:
     """
 
     OTHER = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|[ \n][ \n]|^[ \n]|[ \n]$|<\|"
-    MEMORY = 1 << 20
+    MEMORY = 1 << 19
     MARKS = "!#$%&*+,-./:;=?@^_|~"
 
     def __init__(self, path: str, encode_special: bool):
