@@ -156,14 +156,14 @@ def train(stats: DataFrame, labels: DataFrame, rows_max: int = 20_000, **options
     """Learn from at most rows_max labelled rows (those of the smallest hashes of doc_id): the bound of the sample."""
     names = list(features())
     labelled = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = (
+    rows = cut(
         stats.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
         .join(labelled, "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("quality") == 0).alias("bad"), *[f.alias(k) for k, f in features().items()])
-        .orderBy("h", "doc_id", *names)
-        .limit(rows_max)
-        .collect()
     )
+    # hashes under a bound, so that tasks send no more than about the sample between them
+    near = F.pmod("h", F.lit(1 << 30)) < min(1.0, 1.1 * rows_max / max(1, rows.count())) * (1 << 30)
+    rows = rows.where(near).orderBy("h", "doc_id", *names).limit(rows_max).collect()
     return learn([[r[k] for k in names] for r in rows], [r["bad"] for r in rows], names, **options)
 
 
