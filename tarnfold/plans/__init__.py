@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from tarnfold.plans import dashboard  # noqa: F401
+from tarnfold.plans import dashboard, logs  # noqa: F401
 from tarnfold.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
