@@ -180,9 +180,9 @@ def visible_history(log: DataFrame) -> DataFrame:
 
 def clear_orphans(log: DataFrame, parent: str, own: str) -> DataFrame:
     """parent is null where no row of the task has it as its own id."""
-    there = log.where(F.col(own).isNotNull()).select("task_id", F.col(own).alias("_own")).distinct()
-    out = log.join(there, (log["task_id"] == there["task_id"]) & (log[parent] == there["_own"]), "left")
-    return out.select(*[F.col("_own").alias(parent) if c == parent else log[c] for c in log.columns])
+    there = log.where(F.col(own).isNotNull()).select(F.col("task_id").alias("_task"), F.col(own).alias("_own")).distinct()
+    out = log.join(there, (F.col("task_id") == F.col("_task")) & (F.col(parent) == F.col("_own")), "left")
+    return out.select(*[F.col("_own").alias(parent) if c == parent else F.col(c) for c in log.columns])
 
 
 def rewind(log: DataFrame, cuts: DataFrame, user: Column) -> DataFrame:

@@ -241,3 +241,34 @@ def tool_maxima(spark, d):
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("task_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("tool")).agg(F.count("*").alias("attempts"))
     maps = e.groupBy("task_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("tool", F.struct("attempts", F.lit(0).alias("failures"))))).alias("tool_usage"))
     return streams.tool_maxima(maps).select("task_id", "tool", "attempts")
+
+
+@query("file_change_totals", "SELECT p_brand AS path, CAST(sum(p_size) AS BIGINT) AS added, CAST(sum(p_size // 2) AS BIGINT) AS removed FROM part GROUP BY ROLLUP (p_brand)")
+def file_change_totals(spark, d):
+    from tarnfold.operators import tools
+
+    log = table(spark, d, "part").select(F.lit(1).alias("task_id"), F.col("p_partkey").alias("seq"), F.to_json(F.struct(F.lit("appliedDiff").alias("tool"), F.col("p_brand").alias("path"), F.col("p_size").alias("added"), F.expr("p_size div 2").alias("removed"))).alias("text"), F.lit(True).alias("is_answered"), F.lit(False).alias("partial"))
+    return tools.change_totals(tools.file_changes(log))
+
+
+@query("character_budget", "WITH x AS (SELECT conv_id AS task_id, turn AS seq, text, 2000 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM conversations) SELECT task_id, seq, CAST(least(length(text), l) AS INTEGER) AS n FROM x WHERE length(text) <= l OR l >= 200")
+def character_budget(spark, d):
+    from tarnfold.operators import tools
+
+    return tools.character_budget(turns(spark, d), 2000).select("task_id", "seq", F.length("text").alias("n"))
+
+
+@query("queue_stats", "SELECT count(*) AS size, min(event_id) AS oldest, max(event_id) AS newest, CAST(sum(user_id) AS BIGINT) AS retries, count(CASE WHEN event_type = 'error' THEN 1 END) AS with_error FROM events")
+def queue_stats(spark, d):
+    from tarnfold.operators import tools
+
+    q = table(spark, d, "events").select(F.col("event_type").alias("type"), F.col("event_id").alias("ts"), F.col("user_id").alias("retries"), F.when(F.col("event_type") == "error", F.lit("x")).alias("last_error"))
+    return tools.queue_stats(q).drop("by_type")
+
+
+@query("telemetry_subscription", "SELECT event_type AS event_name, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1")
+def telemetry_subscription(spark, d):
+    from tarnfold.operators import tools
+
+    e = table(spark, d, "events").withColumnRenamed("event_type", "event_name")
+    return tools.telemetry(e, exclude=["view", "click"]).groupBy("event_name").agg(F.count("*").alias("n"))

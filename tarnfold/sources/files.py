@@ -39,7 +39,8 @@ def find_first(df: DataFrame, **values):
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; rows that cannot be read are left out."""
-    return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+    parsed = F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("x")).select("x.*").where("_corrupt is null").drop("_corrupt")
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -92,6 +93,17 @@ def sheet_text(content: bytes, rows_max: int = 50_000) -> str:
     return "\n".join(out)
 
 
+def document_text(content: bytes) -> str:
+    """Paragraphs of a word processor's document: the text runs of its XML."""
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
+
+
 def extract(path: str, content: bytes, lines_max: int) -> tuple[str | None, int, int, bool, str | None]:
     """text, total lines, shown lines, truncated, error."""
     try:
@@ -99,11 +111,13 @@ def extract(path: str, content: bytes, lines_max: int) -> tuple[str | None, int,
             text = notebook_text(content.decode())
         elif path.endswith(".xlsx"):
             text = sheet_text(content)
+        elif path.endswith(".docx"):
+            text = document_text(content)
         elif b"\0" in content[:8192]:
             return None, 0, 0, False, "binary file"
         else:
             text = content.decode(errors="replace")
-    except (ValueError, RuntimeError) as e:
+    except (ValueError, RuntimeError, KeyError, OSError, SyntaxError) as e:
         return None, 0, 0, False, str(e)
     rows = text.split("\n")
     return "\n".join(rows[:lines_max]), len(rows), min(len(rows), lines_max), len(rows) > lines_max, None
