@@ -2,10 +2,3 @@
 
 Nothing outside this package imports it, so it can be removed as a whole.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run in Python workers travel with their job, so workers need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(key: object, make):
+    """What make() gives, made once in a Python worker and kept there from task to task."""
+    store = sys.__dict__.setdefault("_tarnfold_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

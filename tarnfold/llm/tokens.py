@@ -14,7 +14,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut, shared_dir
+from tarnfold.llm.common import cut, kept, shared_dir
 
 MAGIC = 0x54464E31
 NULL_ID = -(1 << 63)
@@ -97,10 +96,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, encode_special: bool) -> Encoder:
-    """One for each Python worker, which keeps it from task to task."""
-    return Encoder(path, encode_special)
+    return kept(("encoder", path, encode_special), lambda: Encoder(path, encode_special))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
