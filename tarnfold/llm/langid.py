@@ -9,7 +9,6 @@ cosine; one that is further from its centroid than nearly all of the language's
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut
+from tarnfold.llm.common import kept
 
 PLACES = 2048
 CENTROIDS = 4
@@ -27,7 +26,6 @@ SAMPLE = 1500
 STEP = 1 << 20
 
 
-@lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """For each code point: its lower-case letter, or 32 where it is none."""
     every = np.arange(0x110000, dtype=np.uint32)
@@ -44,7 +42,7 @@ def ngrams(text: str | None, places: int) -> np.ndarray | None:
     out, any_letter = np.zeros(places, np.float64), False
     text = text or ""
     for start in range(0, len(text), STEP):
-        code = letters()[np.frombuffer(text[max(0, start - 2) : start + STEP].encode("utf-32-le", "surrogatepass"), "<u4")]
+        code = kept("letters", letters)[np.frombuffer(text[max(0, start - 2) : start + STEP].encode("utf-32-le", "surrogatepass"), "<u4")]
         code = np.concatenate([[np.uint32(32)], code, [np.uint32(32)]]).astype(np.uint64)
         code = code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])]
         any_letter |= bool((code != 32).any())
@@ -61,7 +59,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return unit(np.log1p(counts) * idf)
+    return unit(counts * idf)  # plain counts: the language of most of a mixed text decides
 
 
 def held_out(doc_id: Column) -> Column:
@@ -100,7 +98,7 @@ def fit(docs: DataFrame, places: int = PLACES, centroids: int = CENTROIDS, sampl
     """idf, and for each language its centroids and its rejection bound, from rows with a lang."""
     labelled = docs.where("lang is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
     df, n = document_frequencies(labelled, places)
-    idf = np.log((1 + n) / (1 + df)) + 0.1
+    idf = np.log((1 + n) / (1 + df)) + 1
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     share = labelled.sparkSession.createDataFrame([(k, min(1.0, sample / v)) for k, v in sizes.items()] or [("", 0.0)], "lang string, share double")
     # a share of the hashes: each language's group stays near `sample` rows, however many it has
