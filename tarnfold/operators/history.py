@@ -61,14 +61,14 @@ def groups(rows: DataFrame) -> DataFrame:
     return roots.select("id", "ts").join(lists, F.col("id") == F.col("parent_task_id"), "left").select("id", "ts", F.coalesce("subtasks", F.array().cast("array<string>")).alias("subtasks"))
 
 
-def descend(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
+def descend(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, id, path of all walks down from the roots that visit no id twice. edges: parent, child.
 
     A child with two parents is reached twice. One join a level; it ends when a level is empty.
     """
     level = roots.select(F.col("id").alias("root"), F.col("id"), F.array("id").alias("path"))
     out = level
-    for _ in range(depth):
+    while True:
         level = level.join(edges, level["id"] == edges["parent"]).where(~F.array_contains("path", F.col("child"))).select("root", F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path")).persist()
         if level.isEmpty():
             break

@@ -249,3 +249,11 @@ def visible_rows(log: DataFrame, hidden_types: list[str], retry: str) -> DataFra
     full = (F.coalesce("text", F.lit("")) != "") | (F.coalesce(F.size("images"), F.lit(0)) > 0)
     shown = rest.where(full & ~F.coalesce(F.col("type").isin(hidden_types), F.lit(False)) & ((F.coalesce(F.col("type"), F.lit("")) != retry) | (F.col("_back") == 1)))
     return marks.unionByName(shown).drop("_back")
+
+
+def token_ranges(log: DataFrame, point: Column, tokens: str) -> DataFrame:
+    """task_id, range, tokens, n: sums between cache points; a point ends its range."""
+    rows = log.withColumn("_p", F.coalesce(point, F.lit(False)).cast("int"))
+    before = Window.partitionBy("task_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("range", F.coalesce(F.sum("_p").over(before), F.lit(0)))
+    return rows.groupBy("task_id", "range").agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n"))

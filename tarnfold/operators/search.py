@@ -174,3 +174,27 @@ def commits(lines: DataFrame, pattern: str, limit: int = 10) -> DataFrame:
     by_subject = rec.where(F.col("subject").rlike("(?i)" + pattern))
     chosen = rec.where(F.col("hash").startswith(pattern)) if by_subject.isEmpty() else by_subject
     return chosen.orderBy("n").limit(limit).drop("n")
+
+
+def git_status(lines: DataFrame, files_max: int = 20) -> DataFrame:
+    """pos, line of a status listing (its first line is the branch): the branch, the first files, and how many more."""
+    more = lines.agg(F.count("*").alias("n")).where(F.col("n") - 1 > files_max).select((F.lit(files_max) + 1).cast("int").alias("pos"), F.concat(F.lit("... "), (F.col("n") - 1 - files_max).cast("string"), F.lit(" more files")).alias("line"))
+    return lines.select(F.col("pos").cast("int").alias("pos"), "line").where(F.col("pos") <= files_max).union(more).orderBy("pos")
+
+
+def directories(entries: DataFrame) -> DataFrame:
+    """Names of directories that are not hidden, sorted. entries: path, is_dir."""
+    return entries.where(F.col("is_dir")).select(F.element_at(F.split("path", "/"), -1).alias("name")).where(~F.col("name").startswith(".")).distinct().orderBy("name")
+
+
+def model_list(models: DataFrame, selected: str | None = None) -> DataFrame:
+    """Models to choose from: no deprecated one but the selected, none that makes images."""
+    current = F.col("model") == F.lit(selected) if selected is not None else F.lit(False)
+    images = F.coalesce(F.array_contains("output_modalities", "image"), F.lit(False))
+    return models.where((~F.coalesce("deprecated", F.lit(False)) | current) & ~images)
+
+
+def by_section(results: DataFrame, section: str, order: str, value: str) -> DataFrame:
+    """section, values: a list for each section in the results' order, sections as they first come."""
+    lists = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
+    return results.groupBy(section).agg(lists.alias("values"), F.min(order).alias("_first")).orderBy("_first").drop("_first")

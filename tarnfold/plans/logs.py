@@ -182,10 +182,10 @@ TREE = "t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 3 THEN o_orderkey
 
 def tree(spark, d):
     t = table(spark, d, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey >= 3 THEN o_orderkey div 3 END AS parent", "o_totalprice AS total_cost")
-    return t, t.where("parent IS NOT NULL").select("parent", F.col("id").alias("child")), t.where("id BETWEEN 1 AND 40").select("id")
+    return t, t.where("parent IS NOT NULL").select("parent", F.col("id").alias("child")), t.select("id")
 
 
-@query("tree_costs", f"WITH RECURSIVE {TREE}, w AS (SELECT id AS root, id, cost, 0 AS lvl FROM t WHERE id BETWEEN 1 AND 40 UNION ALL SELECT root, t.id, t.cost, lvl + 1 FROM w JOIN t ON t.parent = w.id) SELECT root, round(sum(CASE WHEN lvl = 0 THEN cost ELSE 0 END), 2) AS own, round(sum(CASE WHEN lvl > 0 THEN cost ELSE 0 END), 2) AS children, round(sum(cost), 2) AS total, count(*) - 1 AS n_subtasks FROM w GROUP BY 1")
+@query("tree_costs", f"WITH RECURSIVE {TREE}, w AS (SELECT id AS root, id, cost, 0 AS lvl FROM t UNION ALL SELECT root, t.id, t.cost, lvl + 1 FROM w JOIN t ON t.parent = w.id) SELECT root, round(sum(CASE WHEN lvl = 0 THEN cost ELSE 0 END), 2) AS own, round(sum(CASE WHEN lvl > 0 THEN cost ELSE 0 END), 2) AS children, round(sum(cost), 2) AS total, count(*) - 1 AS n_subtasks FROM w GROUP BY 1")
 def tree_costs(spark, d):
     out = history.tree_costs(*tree(spark, d))
     return out.select("root", *[F.round(c, 2).alias(c) for c in ("own", "children", "total")], "n_subtasks")
@@ -272,3 +272,18 @@ def telemetry_subscription(spark, d):
 
     e = table(spark, d, "events").withColumnRenamed("event_type", "event_name")
     return tools.telemetry(e, exclude=["view", "click"]).groupBy("event_name").agg(F.count("*").alias("n"))
+
+
+@query("token_ranges", f"WITH {TURNS}, x AS (SELECT *, coalesce(sum(CASE WHEN type = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS range FROM log) SELECT task_id, CAST(range AS BIGINT) AS range, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, count(*) AS n FROM x GROUP BY 1, 2")
+def token_ranges(spark, d):
+    log = turns(spark, d).withColumn("tokens", F.ceil(F.length("text") / 4))
+    return messages.token_ranges(log, F.col("type") == "assistant", "tokens")
+
+
+@query("pinned_history", f"WITH {EVENTS}, c AS (SELECT log.*, CASE WHEN seq % 5 = 0 THEN 'c' || (seq + 5) END AS parent, CASE WHEN type = 'signup' THEN 'c' || seq END AS own FROM log) SELECT task_id, seq FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.task_id = x.task_id AND y.own = x.parent) AND coalesce(seq >= (SELECT max(seq) FROM c z WHERE z.task_id = x.task_id AND z.type = 'signup'), true)")
+def pinned_history(spark, d):
+    log = events(spark, d).select(
+        "task_id", "seq", F.when(F.col("type") == "signup", F.concat(F.lit("c"), "seq")).alias("condense_id"), F.expr("CASE WHEN seq % 5 = 0 THEN concat('c', seq + 5) END").alias("condense_parent"), (F.col("type") == "signup").alias("is_summary"),
+        F.lit(False).alias("is_truncation_marker"), F.lit(None).cast("string").alias("truncation_id"), F.lit(None).cast("string").alias("truncation_parent"),
+    )
+    return messages.visible_history(log).select("task_id", "seq")

@@ -240,3 +240,9 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.path}/v{(v[-1] if v else 0) + 1}")
         for old in self.versions()[: -self.keep]:
             self.fs.delete(self.join(f"v{old}"), True)
+
+
+def key_values(spark: SparkSession, path: str) -> DataFrame:
+    """key, value (as JSON text) of a JSON object in a file; nothing where there is none."""
+    parsed = F.from_json("value", "map<string,string>")
+    return spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("key", "value"))

@@ -141,3 +141,20 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.posts(spark, str(tmp_path / "blog"), ["slug", "title"])
     assert {r.title for r in files.posts(spark, str(tmp_path / "blog"), ["title"]).collect()} == {"T a", "T b"}
+
+
+def test_listings(spark):
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(6)], "pos int, line string")
+    assert [r.line for r in search.git_status(lines, 3).collect()] == ["l0", "l1", "l2", "l3", "... 2 more files"]
+    assert search.git_status(lines, 9).count() == 6
+    e = spark.createDataFrame([("x/go", True), ("x/.git", True), ("x/a.txt", False)], "path string, is_dir boolean")
+    assert [r.name for r in search.directories(e).collect()] == ["go"]
+    m = spark.createDataFrame([("a", False, ["text"]), ("b", True, None), ("c", None, ["image"])], "model string, deprecated boolean, output_modalities array<string>")
+    assert [r.model for r in search.model_list(m).collect()] == ["a"] and {r.model for r in search.model_list(m, "b").collect()} == {"a", "b"}
+    s = spark.createDataFrame([(2, "y", "c"), (0, "x", "a"), (1, "y", "b")], "o int, section string, v string")
+    assert [tuple(r) for r in search.by_section(s, "section", "o", "v").collect()] == [("x", ["a"]), ("y", ["b", "c"])]
+
+
+def test_key_values(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"a": 1, "b": {"c": 2}}')
+    assert dict(map(tuple, files.key_values(spark, str(tmp_path / "m.json")).collect())) == {"a": "1", "b": '{"c":2}'}
