@@ -145,6 +145,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if not now[0] or now == before and now[0] == now[2]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
 
 
