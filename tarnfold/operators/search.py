@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,26 @@ from pyspark.sql import functions as F
 IGNORED = ["node_modules", "__pycache__", "env", "venv", "target/dependency", "build/dependencies", "dist", "out", "bundle", "vendor", "tmp", "temp", "deps", "pkg", "Pods", ".git"]
 
 
+@F.pandas_udf("array<bigint>")
+def starts(sizes: pd.Series) -> pd.Series:
+    """Where each of the pieces begins, for arrays of sizes."""
+    return sizes.map(lambda x: np.cumsum(np.asarray(x, np.int64)) - x, na_action="ignore")
+
+
 def lines_of(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """key, line_no (from 1), line, byte_offset (of the line's first byte)."""
-    arr = F.split(F.col(content), "\n")
-    out = files.select(key, F.posexplode(arr).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0)).cast("long")).select(key, (F.col("pos") + 1).alias("line_no"), "line", "byte_offset")
+    """key, line_no (from 1), line, byte_offset (of the line's first byte). No shuffle: only line sizes leave the JVM."""
+    rows = files.withColumn("_lines", F.split(F.col(content), "\n"))
+    rows = rows.withColumn("_starts", starts(F.transform("_lines", lambda x: F.octet_length(x) + 1)))
+    return rows.select(key, F.posexplode(F.arrays_zip("_lines", "_starts")).alias("pos", "x")).select(key, (F.col("pos") + 1).alias("line_no"), F.col("x._lines").alias("line"), F.col("x._starts").alias("byte_offset"))
+
+
+def near_matches(files: DataFrame, pattern: str, context: int = 1, key: str = "path", content: str = "content") -> DataFrame:
+    """key, line_no, line of the lines that match or stand near a match: what regex_search needs of whole files."""
+    lines = F.split(F.col(content), "\n")
+    rows = files.where(F.col(content).rlike(pattern)).select(key, lines.alias("_l")).withColumn("_hit", F.transform("_l", lambda x: x.rlike(pattern)))
+    near = lambda i: F.exists(F.slice("_hit", F.greatest(i - context + 1, F.lit(1)), i + context + 1 - F.greatest(i - context, F.lit(0))), lambda h: h)
+    kept = F.filter(F.transform("_l", lambda x, i: F.when(near(i), F.struct((i + 1).alias("line_no"), x.alias("line")))), lambda x: x.isNotNull())
+    return rows.select(key, F.explode(kept).alias("x")).select(key, "x.line_no", "x.line")
 
 
 def regex_search(lines: DataFrame, pattern: str, context: int = 1, key: str = "path") -> DataFrame:
@@ -33,10 +49,9 @@ def results_per_file(found: DataFrame, key: str = "path", most_files: int = 300)
     return found.groupBy(key).agg(F.max("group").alias("n_groups"), F.sum(F.col("is_match").cast("long")).alias("n_matches")).orderBy(key).limit(most_files)
 
 
-def first_within(found: DataFrame, size: Column, budget: int, key: str = "path") -> DataFrame:
-    """Rows of each file up to the first that exceeds a byte budget."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("_sum", F.sum(size).over(w)).where(F.col("_sum") <= budget).drop("_sum")
+def first_within(lines: DataFrame, budget: int) -> DataFrame:
+    """Lines of each file up to the first that exceeds a byte budget; line breaks do not count. lines: as of lines_of."""
+    return lines.where(F.col("byte_offset") - (F.col("line_no") - 1) + F.octet_length("line") <= budget)
 
 
 def segments(path: Column) -> Column:

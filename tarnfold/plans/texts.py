@@ -34,10 +34,7 @@ def regex_search_context(spark, d):
 
 
 def found(spark, d) -> DataFrame:
-    # the regular expression first needs no order of lines, so only files with a match are cut into lines
-    hit = files(spark, d).where(F.col("content").rlike("License|rights reserved|ing the"))
-    lines = hit.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
-    return search.regex_search(lines, "License|rights reserved|ing the")
+    return search.regex_search(search.near_matches(files(spark, d), "License|rights reserved|ing the"), "License|rights reserved|ing the")
 
 
 @query("regex_counts", f"WITH {CONTEXT} SELECT doc_id AS path, CAST(max(grp) AS BIGINT) AS n_groups, count(*) FILTER (hit) AS n_matches FROM r GROUP BY 1 ORDER BY 1 LIMIT 300")
@@ -47,8 +44,7 @@ def regex_counts(spark, d):
 
 @query("lines_within_budget", f"WITH {LINES}, x AS (SELECT doc_id, line_no, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM lines) SELECT doc_id AS path, CAST(line_no AS INTEGER) AS line_no FROM x WHERE s <= 2000")
 def lines_within_budget(spark, d):
-    lines = files(spark, d).select("path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
-    return search.first_within(lines, F.octet_length("line"), 2000).select("path", "line_no")
+    return search.first_within(search.lines_of(files(spark, d)), 2000).select("path", "line_no")
 
 
 @query("line_ranges", f"WITH {LINES}, x AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM lines WHERE length(line) > 60) SELECT doc_id AS path, CAST(min(line_no) AS INTEGER) AS start, CAST(max(line_no) AS INTEGER) AS \"end\" FROM x GROUP BY doc_id, g")

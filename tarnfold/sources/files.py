@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnfold.session import cut
 
 class RecordNotFound(LookupError):
     """A point lookup found no row."""
@@ -152,7 +153,7 @@ def with_ids(rows: DataFrame, after: int, order: Sequence[str], key: str = "id")
     sorted range, on top of the partitions before."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).checkpoint()
+    ordered = cut(ordered.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
     base, bases = after, []
     for r in ordered.groupBy("_p").count().orderBy("_p").collect():  # a row a partition
         bases.append((r["_p"], base))
