@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.session import cut, shared_dir
+
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "binary_search", "cut", "hash_key", "kept", "shared_dir", "table"]
+
 #: ASCII white space, as the word patterns of the operators name it.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarnfold-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder once and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def kept(key: object, make):
     """What make() gives, made once in a Python worker and kept there from task to task."""
     store = sys.__dict__.setdefault("_tarnfold_kept", {})
