@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Directories that are never searched.
 IGNORED = ["node_modules", "__pycache__", "env", "venv", "target/dependency", "build/dependencies", "dist", "out", "bundle", "vendor", "tmp", "temp", "deps", "pkg", "Pods", ".git"]
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def starts(sizes: pd.Series) -> pd.Series:
     """Where each of the pieces begins, for arrays of sizes."""
     return sizes.map(lambda x: np.cumsum(np.asarray(x, np.int64)) - x, na_action="ignore")
