@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,12 +135,20 @@ def shard(docs: DataFrame, shards: int = 40, per: int = 8) -> DataFrame:
 
 def in_order(docs: DataFrame) -> Column:
     """A key for the order in which the rows of written Parquet files were written: number of the file, then of the row."""
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0))
     return F.shiftleft(part, 40).bitwiseOR(F.col("_metadata.row_index"))
 
 
 def shard_in_order(docs: DataFrame, shards: int = 40, per: int = 8) -> DataFrame:
-    """docs, as read from Parquet, with size, shard and slot: shards are stretches of equal bytes of the written order."""
-    keyed = docs.withColumn("_key", in_order(docs)).withColumn("size", size_of(F.col("text")))
+    """docs, as read from Parquet, with size, shard and slot: shards are stretches of equal bytes of the written order.
+
+    Rows that do not come straight from files have no such order: theirs is that of shard(). Columns of docs with the
+    names size, shard and slot are replaced.
+    """
+    try:
+        keyed = docs.withColumn("_key", in_order(docs))
+    except AnalysisException:
+        keyed = docs.withColumn("_key", group_key(F.col("text"), F.col("doc_id")))
+    keyed = keyed.withColumn("size", size_of(F.col("text")))
     splits = split(cut(keyed.select("_key", "size")), "_key", "size", shards, per)
     return place(keyed, "_key", splits, [])

@@ -57,3 +57,10 @@ def test_written_order(make, tmp_path, spark):
     docs = spark.read.parquet(str(tmp_path / "d"))
     out = sharding.shard_in_order(docs, 5, 2).collect()
     assert len(out) == 300 and {sum(r.shard == k for r in out) for k in range(5)} == {60}
+
+
+def test_rows_without_files_have_another_order(make):
+    out = sharding.shard_in_order(make([(i, f"t{i}") for i in range(100)] + [(None, None)]), 5, 2)
+    rows = out.collect()
+    assert len(rows) == 101 and out.columns.count("size") == 1
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(5))
