@@ -94,7 +94,7 @@ def within(created: Column, frame: str, now: datetime) -> Column:
 
 def one_of(c: Column, chosen: Sequence) -> Column:
     """A multi-select: nothing chosen is no filter; null is never chosen."""
-    return F.coalesce(c.isin(list(chosen)), F.lit(False)) if chosen else F.lit(True)
+    return c.isNotNull() & c.isin(list(chosen)) if chosen else F.lit(True)
 
 
 def json_field(settings: Column, path: str) -> Column:
