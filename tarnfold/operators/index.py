@@ -186,8 +186,11 @@ def vector_search(points: DataFrame, query: Sequence[float], k: int = 50, least:
     return rows.withColumn("score", score).where(F.col("score") >= least).orderBy(F.desc("score")).limit(k)
 
 
-def batches(items: DataFrame, tokens: str, budget: int, most: int, key: str) -> DataFrame:
-    """items with batch: greedy fill in order of seq, per key; items over `most` tokens are left out."""
+def batches(items: DataFrame, tokens: str, budget: int, most: int, *keys: str) -> DataFrame:
+    """items with batch: greedy fill in order of seq, for each value of the keys; items over `most` tokens are left out.
+
+    A group is filled by one task, so keys should keep groups bounded: a source and a range of seq, for example.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf[tokens] <= most].sort_values("seq")
@@ -200,7 +203,7 @@ def batches(items: DataFrame, tokens: str, budget: int, most: int, key: str) ->
         return pdf.assign(batch=out)
 
     schema = ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", batch int"
-    return items.groupBy(key).applyInPandas(run, schema)
+    return items.groupBy(*keys).applyInPandas(run, schema)
 
 
 def failure_rate(found: Column, indexed: Column) -> Column:

@@ -224,8 +224,8 @@ def chunk_documents(spark, d):
 
 @query("token_batches")
 def token_batches(spark, d):
-    items = docs(spark, d).select("source", F.col("doc_id").alias("seq"), texts.token_estimate(F.col("text")).alias("tokens"))
-    return index.batches(items, "tokens", 100_000, 8191, "source")
+    items = docs(spark, d).select("source", F.expr("doc_id div 10000").alias("range"), F.col("doc_id").alias("seq"), texts.token_estimate(F.col("text")).alias("tokens"))
+    return index.batches(items, "tokens", 100_000, 8191, "source", "range")
 
 
 QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
