@@ -104,8 +104,10 @@ def change_totals(changes: DataFrame) -> DataFrame:
 
 def queue_stats(queue: DataFrame) -> DataFrame:
     """Size, times, retries and errors of queued requests, and the number of each type as a map."""
-    types = queue.groupBy("type").count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "count")))).alias("by_type"))
-    return queue.agg(F.count("*").alias("size"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.count("last_error").alias("with_error")).crossJoin(F.broadcast(types))  # one row each
+    per = queue.groupBy("type").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.sum("retries").alias("retries"), F.count("last_error").alias("with_error"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    by_type = F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n"))))
+    return per.agg(total("n").alias("size"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), total("retries").alias("retries"), total("with_error").alias("with_error"), by_type.alias("by_type"))
 
 
 def restore_checkpoints(rewound: DataFrame, saved: DataFrame) -> DataFrame:

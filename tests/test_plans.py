@@ -31,7 +31,7 @@ def test_top_k_is_no_sort(spark):
         assert "TakeOrderedAndProject" in p and "Exchange" not in p.split("TakeOrderedAndProject")[1], name
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - {"tree_costs", "queue_stats"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - {"tree_costs"}))
 def test_no_nested_loops(spark, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(spark, name))
 

@@ -118,3 +118,12 @@ def test_beats(spark):
     from datetime import datetime
 
     assert [r.runner for r in streams.alive(rows, "10 seconds", datetime(2024, 1, 1, 0, 0, 25)).collect()] == ["b"]
+
+
+def test_queue_stats(spark):
+    from tarnfold.operators import tools
+
+    q = spark.createDataFrame([("a", 5, 1, None), ("b", 2, 0, "e"), ("a", 9, 2, None)], "type string, ts long, retries long, last_error string")
+    r = tools.queue_stats(q).first()
+    assert (r["size"], r.oldest, r.newest, r.retries, r.with_error, r.by_type) == (3, 2, 9, 3, 1, {"a": 2, "b": 1})
+    assert tools.queue_stats(q.limit(0)).first()["size"] == 0
