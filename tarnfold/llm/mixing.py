@@ -7,7 +7,8 @@ each source has had less than one block more or fewer than its weight asks for.
 
 The schedule repeats after `period` slots, so one period is worked out and every block's slot follows from it by
 arithmetic. When a source has no block left, a new phase begins in which the others share its weight. The driver
-holds one number a source and a table of `period` rows a phase; it never sees blocks or documents.
+holds one number a source and a table of `period` rows a phase (up to some thousands of sources); it never sees blocks
+or documents.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ BLOCK = 1 << 20
 ALPHA = 0.7
 #: Blocks that one task cuts: the unit by which a large source is divided.
 CHUNK = 4
+#: Tables of up to so many small rows are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -91,7 +98,7 @@ def blocks_of(rows: DataFrame, block: int, chunk: int) -> DataFrame:
     spark = rows.sparkSession
     totals = rows.groupBy("source").agg(F.sum("size").alias("bytes")).collect()
     chunks = spark.createDataFrame([(r["source"], max(1, round(r["bytes"] / block / chunk))) for r in totals] or [("", 1)], "source string, chunks long")
-    spread = cut(rows.join(F.broadcast(chunks), "source").withColumn("chunk", F.pmod(F.xxhash64("tie", F.lit(1)), F.col("chunks"))).drop("chunks"))
+    spread = cut(rows.join(small(chunks, len(totals)), "source").withColumn("chunk", F.pmod(F.xxhash64("tie", F.lit(1)), F.col("chunks"))).drop("chunks"))
     sizes = spread.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_bytes"))
     counted = sizes.withColumn("n", F.greatest(F.round(F.col("chunk_bytes") / block), F.lit(1)).cast("long"))
     by = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,15 +134,16 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
         for t, s in enumerate(cycle):
             table.append((s, k, nth[s], t))
             nth[s] += 1
-    # At most (sources)^2 and phases * period rows.
+    # At most (sources)^2 / 2 and phases * period rows.
+    n_plan, n_table = len(plan), len(table)
     plan = spark.createDataFrame(plan, "source string, phase int, slot0 long, lo long, hi long, share long, period long")
     table = spark.createDataFrame(table, "source string, phase int, nth long, at long")
     blocks = cells.select("source", "block").distinct()
     j = F.col("block") - F.col("lo")
     timed = (
-        blocks.join(F.broadcast(plan), "source").where((F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
+        blocks.join(small(plan, n_plan), "source").where((F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
         .withColumn("nth", j % F.col("share"))
-        .join(F.broadcast(table), ["source", "phase", "nth"])
+        .join(small(table, n_table), ["source", "phase", "nth"])
         .select("source", "block", "phase", (F.col("slot0") + F.floor(j / F.col("share")) * F.col("period") + F.col("at")).alias("slot"))
     )
     return cells.join(timed, ["source", "block"]).select("doc_id", "source", "size", "block", "slot", "phase")
