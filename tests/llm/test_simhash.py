@@ -89,3 +89,11 @@ def test_keep_one(make):
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 2), (False, 6), (True, 0)]
+
+
+def test_third_level_buckets_are_small():
+    """Each level fixes about half of the bits that are still free, so its buckets are bounded whatever the data."""
+    full, kept = (1 << 64) - 1, simhash.masks()
+    for most in (36, 17, 8):
+        assert max(64 - k.bit_count() for k in kept) <= most
+        kept = [k | m for k in kept for m in simhash.masks(full & ~k)]
