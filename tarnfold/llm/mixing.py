@@ -1,28 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling of source blocks.
 
-Documents of a source are cut into blocks of about equal bytes. With weight w (a whole number of `period`), the
+Documents of a source are cut into blocks of about equal bytes. With weight w (as a part of the sum of weights), the
 source's block j, from 1, has release floor((j - 1) / w) and deadline ceil(j / w); one block a slot, the released
 block with the earliest deadline first. As the weights sum to one, every block meets its deadline, so at any slot
-each source has had less than one block more or fewer than its weight asks for.
+each source has had less than one block more or fewer than its weight asks for. Weights are whole numbers of
+`RESOLUTION`, finer than the doubles they come from, and no schedule is repeated: t slots add t / RESOLUTION blocks to
+that bound, under 10^-15 for 100 TB.
 
-The schedule repeats after `period` slots, so one period is worked out and every block's slot follows from it by
-arithmetic. When a source has no block left, a new phase begins in which the others share its weight. The driver
-holds one number a source and a table of `period` rows a phase (up to some thousands of sources); it never sees blocks
-or documents.
+When a source has no block left, a new phase begins in which the others share its weight. The order is worked out
+block by block, in one task that holds one row a source and a piece of the order; it takes some microseconds a block.
+The driver holds one number a source; it never sees blocks or documents.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import cut
 from tarnfold.llm.sharding import size_of
 
+#: Slots that are worked out at a time.
 PERIOD = 1000
+RESOLUTION = 1 << 80
 BLOCK = 1 << 20
 ALPHA = 0.7
 #: Blocks that one task cuts: the unit by which a large source is divided.
@@ -38,51 +44,82 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Whole numbers of 1 or more that sum to the period, nearest to the weights by largest remainder.
 
-    A period of fewer slots than sources is made longer by the caller.
+    A weight of less than one of the period counts as one. The period has at least one for each source.
     """
-    total, names = sum(weights.values()), sorted(weights)
-    exact = {s: weights[s] / total * (period - len(names)) for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
+    exact, free, out = {s: Fraction(w) for s, w in sorted(weights.items())}, period, {}
+    total = sum(exact.values())
+    for s in sorted(exact, key=exact.get):  # the least first: what one is given more, the others have less
+        if exact[s] * free >= total and exact[s]:
+            break
+        out[s], free, total = 1, free - 1, total - exact[s]
+    rest = {s: w * free / total for s, w in exact.items() if s not in out}
+    if not rest:  # only where no weight asks for anything
+        return {s: 1 + free // len(out) + (k < free % len(out)) for k, s in enumerate(sorted(out))}
+    out |= {s: int(x) for s, x in rest.items()}
+    for s in sorted(rest, key=lambda s: (int(rest[s]) - rest[s], s))[: period - sum(out.values())]:
         out[s] += 1
     return out
 
 
-def one_period(share: dict[str, int]) -> list[str]:
-    """Earliest deadline first over one period: the source of each slot."""
+def earliest(share: dict[str, int]) -> Iterator[str]:
+    """Earliest deadline first, without end: the source of each slot."""
     period = sum(share.values())
-    waiting = sorted(((j - 1) * period // a, -(-j * period // a), s) for s, a in share.items() for j in range(1, a + 1))
-    ready: list[tuple[int, str]] = []
-    out, k = [], 0
-    for t in range(period):
-        while k < len(waiting) and waiting[k][0] <= t:
-            heapq.heappush(ready, waiting[k][1:])
-            k += 1
-        deadline, s = heapq.heappop(ready)
+    waiting = [(0, s, 1) for s in sorted(share)]  # a source's next block only: it is due before those after it
+    ready: list[tuple[int, str, int]] = []
+    for t in itertools.count():
+        while waiting and waiting[0][0] <= t:
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-j * period // share[s]), s, j))
+        deadline, s, j = heapq.heappop(ready)
         assert deadline > t
-        out.append(s)
-    return out
+        heapq.heappush(waiting, (j * period // share[s], s, j + 1))
+        yield s
+
+
+def one_period(share: dict[str, int]) -> list[str]:
+    """Earliest deadline first over one period: the source of each slot."""
+    return list(itertools.islice(earliest(share), sum(share.values())))
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> Iterator[tuple[int, dict[str, int], list[str], dict[str, int]]]:
-    """(first slot, blocks that went before by source, one period, blocks of this phase by source), until all are placed."""
+    """(first slot, blocks that went before by source, sources of the next slots, their blocks by source), until all are placed.
+
+    A phase is given in pieces of `period` slots, or twice as many as it has sources. What went before names the
+    sources of the phase: each phase has fewer than the one before.
+    """
     done, slot = dict.fromkeys(blocks, 0), 0
     while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
-        share = shares({s: weights[s] for s in left}, max(period, 2 * len(left)))
-        cycle = one_period(share)
-        whole = min(left[s] // a for s, a in share.items())
-        took = {s: whole * a for s, a in share.items()}
-        length = whole * len(cycle)
-        if all(took[s] < left[s] for s in left):  # the part of a period up to the first block that is not there
-            for s in cycle:
-                if took[s] == left[s]:
-                    break
+        order, most = earliest(shares({s: weights[s] for s in left}, RESOLUTION)), max(period, 2 * len(left))
+        s = next(order)
+        while left[s]:  # up to the first block that is not there
+            piece, took = [], dict.fromkeys(left, 0)
+            while left[s] and len(piece) < most:
+                piece.append(s)
                 took[s] += 1
-                length += 1
-        yield slot, {s: done[s] for s in left}, cycle, took
-        for s in left:
-            done[s] += took[s]
-        slot += length
+                left[s] -= 1
+                s = next(order)
+            yield slot, {x: done[x] for x in left}, piece, took
+            for x, n in took.items():
+                done[x] += n
+            slot += len(piece)
+
+
+def slots_of(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], period: int) -> DataFrame:
+    """source, block, phase, slot of every block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            phase, sources = -1, None
+            for slot, before, piece, _ in phases(blocks, weights, period):
+                if len(before) != sources:
+                    phase, sources = phase + 1, len(before)
+                block = []
+                for s in piece:
+                    block.append(before[s])
+                    before[s] += 1
+                yield pd.DataFrame({"source": piece, "block": block, "phase": phase, "slot": range(slot, slot + len(piece))})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "source string, block long, phase int, slot long")
 
 
 def source_of(docs: DataFrame) -> Column:
@@ -126,26 +163,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
     if not found:
         return cells.select("doc_id", "source", "size", "block", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("phase"))
     weight = {s: float((weights or {}).get(s) or r["bytes"] ** alpha) for s, r in found.items()}
-    plan, table = [], []
-    for k, (slot, before, cycle, took) in enumerate(phases({s: r["n"] for s, r in found.items()}, weight, period)):
-        share = {s: cycle.count(s) for s in took}
-        plan += [(s, k, slot, before[s], before[s] + n, share[s], len(cycle)) for s, n in took.items() if n]
-        nth = dict.fromkeys(took, 0)
-        for t, s in enumerate(cycle):
-            table.append((s, k, nth[s], t))
-            nth[s] += 1
-    # At most (sources)^2 / 2 and phases * period rows.
-    n_plan, n_table = len(plan), len(table)
-    plan = spark.createDataFrame(plan, "source string, phase int, slot0 long, lo long, hi long, share long, period long")
-    table = spark.createDataFrame(table, "source string, phase int, nth long, at long")
-    blocks = cells.select("source", "block").distinct()
-    j = F.col("block") - F.col("lo")
-    timed = (
-        blocks.join(small(plan, n_plan), "source").where((F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
-        .withColumn("nth", j % F.col("share"))
-        .join(small(table, n_table), ["source", "phase", "nth"])
-        .select("source", "block", "phase", (F.col("slot0") + F.floor(j / F.col("share")) * F.col("period") + F.col("at")).alias("slot"))
-    )
+    timed = cut(slots_of(spark, {s: r["n"] for s, r in found.items()}, weight, period))
     return cells.join(timed, ["source", "block"]).select("doc_id", "source", "size", "block", "slot", "phase")
 
 

@@ -64,3 +64,32 @@ def test_written_order_follows_slots(make, tmp_path, spark):
     order = [r.source for r in back.withColumn("k", sharding.in_order(back)).orderBy("k").collect()]
     for start in range(0, 1000, 200):
         assert 70 <= sum(s == "s0" for s in order[start : start + 200]) <= 130
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [{f"src{i:02}": (1 + i) ** -0.7 for i in range(20)}, {"a": 10000, "b": 1, "c": 1}, {"hot": 500} | {f"s{i}": 1 for i in range(1000)}, {"a": 1 / 3, "b": 1e-9, "c": 2 / 3}],
+)
+def test_less_than_one_block_off_the_target(weights):
+    """Of the weights themselves, at every slot of tens of thousands of blocks."""
+    total, had, at = sum(weights.values()), Counter(), 0
+    for slot, before, piece, _ in mixing.phases(dict.fromkeys(weights, 20_000), weights, 1000):
+        if slot >= 30_000 or len(before) < len(weights):
+            break
+        for s in piece:
+            at += 1
+            had[s] += 1
+            assert abs(had[s] - weights[s] / total * at) < 1 + 1e-6
+        assert all(abs(had[x] - w / total * at) < 1 + 1e-6 for x, w in weights.items())
+    assert at >= 20_000
+
+
+def test_schedule_of_many_blocks_keeps_to_the_target(spark):
+    """A source of weight 1/3 beside 1000 others, and a rare one: as many blocks of the first slots as they ask for."""
+    blocks = {"hot": 20_000, "rare": 10} | {f"s{i}": 100 for i in range(1000)}
+    weights = {"hot": 500.0, "rare": 0.1} | {f"s{i}": 1.0 for i in range(1000)}
+    rows = mixing.slots_of(spark, blocks, weights, 1000).collect()
+    assert Counter(r.source for r in rows) == blocks and sorted(r.slot for r in rows) == list(range(sum(blocks.values())))
+    first, total = Counter(r.source for r in rows if r.slot < 30_000), sum(weights.values())
+    assert {r.phase for r in rows if r.slot < 30_000} == {0}
+    assert all(abs(first[s] - w / total * 30_000) < 1 + 1e-6 for s, w in weights.items())
