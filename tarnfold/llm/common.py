@@ -7,12 +7,14 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.session import cut, shared_dir
+from tarnfold.session import cut, drop, shared_dir
 
-__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "binary_search", "cut", "hash_key", "kept", "shared_dir", "table"]
+__all__ = ["BROADCAST_ROWS", "LOWER", "SPACE", "UPPER", "ascii_lower", "cut", "drop", "kept", "shared_dir", "small", "table", "text_key", "without"]
 
 #: ASCII white space, as the word patterns of the operators name it.
 SPACE = r"[\x20\x09-\x0D]"
+#: Tables of small rows are broadcast up to so many rows, and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,16 +34,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def hash_key(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows; they must be small ones."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def binary_search(values: list, below, leaf, lo: int = 0, hi: int | None = None) -> Column:
-    """A tree of CASE WHENs over sorted values: leaf(number of values v for which below(v) is false)."""
-    hi = len(values) if hi is None else hi
-    if lo == hi:
-        return leaf(lo)
-    mid = (lo + hi) // 2
-    return F.when(below(values[mid]), binary_search(values, below, leaf, lo, mid)).otherwise(
-        binary_search(values, below, leaf, mid + 1, hi)
-    )
+def text_key(text: Column) -> Column:
+    """128 bits of a text; a null text has a key of its own, which is not that of an empty one."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole, text.isNull()).alias("a"), F.xxhash64(text.isNull(), whole).alias("b"))
+
+
+def without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """The rows of docs whose key is not in keys (one column, no nulls in it). Texts cross an exchange only if keys are many."""
+    keys = cut(keys.toDF("_gone").distinct())
+    return docs.join(small(keys, keys.count()), key == F.col("_gone"), "left_anti")

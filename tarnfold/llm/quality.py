@@ -1,4 +1,8 @@
-"""Quality rules: base counts of every text and a decision list that is learned from labelled statistics."""
+"""Quality rules: base counts of every text and a decision list that is learned from labelled statistics.
+
+Texts are counted in Arrow batches, each text by itself in time and memory in proportion to its length. The rules come
+from a bounded sample of labelled rows and apply to all rows as one CASE expression.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +21,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: For the learned rules only.
 MORE = ["n_chars_all", "n_upper", "n_distinct", "n_lines", "n_digits"]
 WINDOW = 5
+#: Labelled rows that the rules are learned from, at most.
+ROWS_MAX = 20_000
 SYMBOLS = b"#*$%&|<>"
 UPPER, DIGITS, WHITE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\v\f\r"
 
@@ -61,20 +68,26 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def features() -> dict[str, Column]:
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_chars_all"), F.lit(1))
+def features(at: str = "") -> dict[str, Column]:
+    """The features that rules speak of, from the counts; at: what stands before the counts' names."""
+    n = lambda name: F.col(at + name)
+    words, chars = F.greatest(n("n_words"), F.lit(1)), F.greatest(n("n_chars_all"), F.lit(1))
     return {
-        "words": F.col("n_words").cast("double"),
-        "word_length": F.col("word_chars") / words,
-        "symbol_share": F.col("n_symbols") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / words,
-        "upper_share": F.col("n_upper") / chars,
-        "distinct_share": F.col("n_distinct") / words,
-        "digit_share": F.col("n_digits") / chars,
+        "words": n("n_words").cast("double"),
+        "word_length": n("word_chars") / words,
+        "symbol_share": n("n_symbols") / words,
+        "dup_line_share": n("n_dup_lines") / F.greatest(n("n_lines"), F.lit(1)),
+        "repeat_share": n("n_repeat_words") / words,
+        "upper_share": n("n_upper") / chars,
+        "distinct_share": n("n_distinct") / words,
+        "digit_share": n("n_digits") / chars,
     }
 
 
+def base_failed(at: str = "") -> Column:
+    return (F.col(f"{at}n_words") < 10) | (100 * F.col(f"{at}n_repeat_words") > 20 * F.col(f"{at}n_words"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """feature <= or > threshold, all of them; what is left of the labelled rows that it covers."""
@@ -83,8 +96,8 @@ class Rule:
     precision: float
     covered: int
 
-    def condition(self) -> Column:
-        f, out = features(), F.lit(True)
+    def condition(self, at: str = "") -> Column:
+        f, out = features(at), F.lit(True)
         for name, op, x in self.terms:
             out = out & (f[name] <= x if op == "<=" else f[name] > x)
         return out
@@ -171,26 +184,35 @@ def learn(rows: list[list[float]], bad: list[bool], names: list[str], precision:
     return out
 
 
-def train(stats: DataFrame, labels: DataFrame, rows_max: int = 20_000, **options) -> list[Rule]:
+def qualities(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: one row a labelled doc_id, the worse label of several; rows without one or the other are left out."""
+    known = labels.where("doc_id is not null and quality is not null")
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+
+
+def under(h: str, share: float) -> Column:
+    """Whether the hash is among the least `share` of all: so that tasks send no more than about a sample between them."""
+    return F.pmod(h, F.lit(1 << 30)) < min(1.0, share) * (1 << 30)
+
+
+def train(stats: DataFrame, labels: DataFrame, rows_max: int = ROWS_MAX, **options) -> list[Rule]:
     """Learn from at most rows_max labelled rows (those of the smallest hashes of doc_id): the bound of the sample."""
     names = list(features())
-    labelled = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = cut(
-        stats.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
-        .join(labelled, "doc_id")
+        stats.where(~base_failed())
+        .join(qualities(labels), "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("quality") == 0).alias("bad"), *[f.alias(k) for k, f in features().items()])
     )
-    # hashes under a bound, so that tasks send no more than about the sample between them
-    near = F.pmod("h", F.lit(1 << 30)) < min(1.0, 1.1 * rows_max / max(1, rows.count())) * (1 << 30)
-    rows = rows.where(near).orderBy("h", "doc_id", *names).limit(rows_max).collect()
-    return learn([[r[k] for k in names] for r in rows], [r["bad"] for r in rows], names, **options)
+    some = rows.where(under("h", 1.1 * rows_max / max(1, rows.count())))
+    sample = some.orderBy("h", "doc_id", *names).limit(rows_max).collect()
+    return learn([[r[k] for k in names] for r in sample], [r["bad"] for r in sample], names, **options)
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], at: str = "") -> Column:
     """The place of the first rule that rejects the row, from 1; 0: none does."""
     out = F.lit(0)
     for i, r in reversed(list(enumerate(rules, 1))):
-        out = F.when(r.condition(), i).otherwise(out)
+        out = F.when(r.condition(at), i).otherwise(out)
     return out
 
 
@@ -199,16 +221,36 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     The base fails below 10 words, or where repeated 5-word windows hold over a fifth of the words: so do null and
     empty texts. Where no labelled row is found, the list is empty and the base alone decides. Repeated rows get
-    equal verdicts. Columns besides doc_id and text are not read.
+    equal verdicts. A text of any length is counted whole. An empty table gives no rows. Columns besides doc_id and
+    text are not read.
     """
     stats = cut(statistics(docs))
     rule = verdict(train(stats, labels, **options))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return stats.select("doc_id", *COUNTS, failed.alias("base_failed"), rule.alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    judged = stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), rule.alias("rule"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that judge() keeps. A doc_id goes if any row that has it is rejected; a null doc_id is judged as all others."""
-    verdicts = judge(docs, labels, **options)
-    out = verdicts.where("not kept").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_rejected"]), "left_anti")
+def counts_of(text: Column) -> Column:
+    """A struct of the counts of a text."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in [*COUNTS, *MORE]))
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS + MORE))
+        return pd.DataFrame(rows, columns=[*COUNTS, *MORE])
+
+    return of(text.cast("binary"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, rows_max: int = ROWS_MAX, **options) -> DataFrame:
+    """The rows that the base and the learned rules keep, each judged by its own text, whatever its doc_id.
+
+    The rules are learned as in judge(), from the documents of at most rows_max labels. Then every text is counted once
+    and its row kept or not in the same pass: nothing is joined and no text crosses an exchange. Other columns are
+    kept as they are. An empty table gives no rows.
+    """
+    known = cut(qualities(labels).withColumn("_h", F.xxhash64("doc_id")))
+    chosen = known.where(under("_h", 1.1 * rows_max / max(1, known.count()))).orderBy("_h", "doc_id").limit(rows_max)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    rules = train(statistics(labelled), chosen.drop("_h"), rows_max, **options)
+    counted = docs.withColumn("_counts", counts_of(F.col("text")))
+    return counted.where(~base_failed("_counts.") & (verdict(rules, "_counts.") == 0)).drop("_counts")

@@ -4,20 +4,29 @@ Rows are in order of a whole-number key. Each splitter starts with the whole key
 partitions, the exact bytes and rows below evenly spaced probes inside the range of every open splitter, and keeps
 the one cell that holds the splitter's byte target. A splitter is done when its cell is a single key or within the
 tolerance. Then the rows are exchanged once, by splitter, and numbered.
+
+A shard is written by as many tasks as its bytes ask for: parts, which have splitters of their own. Splitters are a
+constant array, searched by halves in every row, so their number costs next to nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import binary_search, cut
+from tarnfold.llm.common import cut
 
 OVERHEAD = 16
-PROBES = 256
+#: Counts that the driver takes in a round for each open splitter, and at most for all of them.
+PROBES, PROBES_ALL = 256, 1 << 17
+#: Bytes that a task sorts.
+PART_BYTES = 256 << 20
+#: Bytes of a row of shard()'s own columns.
+ROW_BYTES = 64
+#: The share of a part's bytes by which a splitter may miss its target.
+TOLERANCE = 0.001
 
 
 def size_of(text: Column) -> Column:
@@ -30,6 +39,21 @@ def group_key(text: Column, tie: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(tie), 32))
 
 
+def constants(values: list[int]) -> Column:
+    """A constant array of whole numbers, however many."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def at_or_below(values: list[int], key: Column) -> Column:
+    """How many of the sorted values are key or less: a binary search."""
+    n, found = len(values), constants(values)
+    if not n:
+        return F.lit(0)
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    further = lambda p, b: F.when((p + b <= n) & (F.get(found, p + b - 1) <= key), p + b).otherwise(p)
+    return F.aggregate(halves, F.lit(0), further)
+
+
 @dataclass(frozen=True)
 class Splits:
     """bounds: keys that begin parts 1.. in order; bytes and rows: how many are below each part, from part 0; per: parts a shard."""
@@ -40,7 +64,7 @@ class Splits:
     per: int
 
     def part(self, key: Column) -> Column:
-        return binary_search(self.bounds, lambda b: key < b, F.lit)
+        return at_or_below(self.bounds, key)
 
 
 @dataclass
@@ -54,27 +78,28 @@ class Cell:
     rows: int
 
 
-def split(rows: DataFrame, key: str, size: str, shards: int, per: int = 1, probes: int = PROBES, tolerance: float = 0.0) -> Splits:
+def split(rows: DataFrame, key: str, size: str, shards: int, per: int = 1, probes: int = PROBES, tolerance: float = TOLERANCE) -> Splits:
     """Splitters for shards * per parts with near equal bytes. The driver holds `probes` counts for each of them.
 
-    tolerance: the share of a part's bytes within which a splitter may miss its target; 0 refines to single keys.
+    tolerance: the share of a part's bytes within which a splitter may miss its target; 0 refines to single keys. A
+    splitter never misses by more than half of the rows of one key.
     """
     parts = shards * per
     total, count, lo, hi = rows.agg(F.sum(size), F.count("*"), F.min(key), F.max(key)).first()
     if not count:
         return Splits([0] * (parts - 1), [0] * parts, [0] * parts, per)
-    total = int(total)
+    total, probes = int(total), max(2, min(probes, PROBES_ALL // parts))
     slack = tolerance * total / parts
     open_ = [Cell(total * i // parts, lo, hi, 0, 0) for i in range(1, parts)]
     done: list[tuple[int, int, int]] = []
     while open_:
         ranges = sorted({(c.lo, c.hi) for c in open_})  # disjoint, as all come from the same counts
-        los, steps = [a for a, _ in ranges], [(b - a) // probes + 1 for a, b in ranges]
-        pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_c"))
+        los, his, steps = [a for a, _ in ranges], [b for _, b in ranges], [(b - a) // probes + 1 for a, b in ranges]
+        pick = lambda values: F.element_at(constants(values), F.col("_c"))
         counts = (
-            rows.select(key, size, binary_search(los, lambda x: F.col(key) < x, F.lit).alias("_c"))
+            rows.select(key, size, at_or_below(los, F.col(key)).alias("_c"))
             .where(F.col("_c") > 0)
-            .where(F.col(key) <= pick([b for _, b in ranges]))
+            .where(F.col(key) <= pick(his))
             .select("_c", key, size, F.call_function("div", F.col(key) - pick(los), pick(steps)).alias("_p"))
             .groupBy("_c", "_p")
             .agg(F.sum(size).alias("b"), F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
@@ -103,22 +128,29 @@ def split(rows: DataFrame, key: str, size: str, shards: int, per: int = 1, probe
 
 def place(df: DataFrame, key: str, splits: Splits, ties: list[Column]) -> DataFrame:
     """df with shard and slot (gapless from 0 in each shard, in the order of key, then ties): the one exchange."""
-    parted = df.withColumn("_part", splits.part(F.col(key)))
-    base = [splits.rows[i] - splits.rows[i // splits.per * splits.per] for i in range(len(splits.rows))]
-    order = Window.partitionBy("_part").orderBy(key, *ties)
+    parts, per = len(splits.rows), splits.per
+    base = [splits.rows[i] - splits.rows[i // per * per] for i in range(parts)]
+    parted = df.withColumn("_part", splits.part(F.col(key))).repartitionById(parts, "_part")
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties)).cast("long") - 1
     return (
-        parted.withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("_part") + 1))
-        .withColumn("shard", F.floor(F.col("_part") / splits.per).cast("int"))
+        parted.withColumn("slot", number + F.element_at(constants(base), F.col("_part") + 1))
+        .withColumn("shard", F.floor(F.col("_part") / per).cast("int"))
         .drop("_part", key)
     )
 
 
-def shard(docs: DataFrame, shards: int = 40, per: int = 8) -> DataFrame:
+def parts_of(shards: int, size: int, part_bytes: int) -> int:
+    """Parts a shard, so that a part has about part_bytes or less."""
+    return max(1, -(-size // (shards * part_bytes)))
+
+
+def shard(docs: DataFrame, shards: int = 40, part_bytes: int = PART_BYTES, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, under the law `bytes`.
 
     Equal texts are neighbours, so a group of copies fills shards one after the other and crosses as few bounds as
     its size allows. A null text has size 16 and the crc of no bytes. Rows with equal doc_id and text have one key
-    and stay together; a bound then misses its target by their bytes. Other columns are not read.
+    and stay together; a bound then misses its target by their bytes. So it does by those of a very long text, which
+    is one row. An empty table gives no rows. Other columns are not read.
     """
     text = F.col("text")
     rows = cut(
@@ -127,28 +159,28 @@ def shard(docs: DataFrame, shards: int = 40, per: int = 8) -> DataFrame:
             F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("text_crc32"), group_key(text, F.col("doc_id")).alias("_key"),
         )
     )
-    splits = split(rows, "_key", "size", shards, per)
+    per = parts_of(shards, rows.count() * ROW_BYTES, part_bytes)
+    splits = split(rows, "_key", "size", shards, per, tolerance=tolerance)
     return place(rows, "_key", splits, [F.col("doc_id"), F.col("text_crc32")]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def in_order(docs: DataFrame) -> Column:
+def written_order() -> Column:
     """A key for the order in which the rows of written Parquet files were written: number of the file, then of the row."""
     part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0))
     return F.shiftleft(part, 40).bitwiseOR(F.col("_metadata.row_index"))
 
 
-def shard_in_order(docs: DataFrame, shards: int = 40, per: int = 8) -> DataFrame:
-    """docs, as read from Parquet, with size, shard and slot: shards are stretches of equal bytes of the written order.
+def shard_in_order(docs: DataFrame, order: Column | None = None, shards: int = 40, part_bytes: int = PART_BYTES, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs with size, shard and slot: shards are stretches of equal bytes of an order.
 
-    Rows that do not come straight from files have no such order: theirs is that of shard(). Columns of docs with the
-    names size, shard and slot are replaced.
+    order: a key of whole numbers, as written_order() for rows that come straight from Parquet files; the order of
+    shard() where it is None. Texts cross one exchange, in parts of about part_bytes. Columns of docs with the names
+    size, shard and slot are replaced. A null text has size 16; an empty table gives no rows.
     """
-    try:
-        keyed = docs.withColumn("_key", in_order(docs))
-    except AnalysisException:
-        keyed = docs.withColumn("_key", group_key(F.col("text"), F.col("doc_id")))
+    keyed = docs.withColumn("_key", group_key(F.col("text"), F.col("doc_id")) if order is None else order)
     keyed = keyed.withColumn("size", size_of(F.col("text")))
-    splits = split(cut(keyed.select("_key", "size")), "_key", "size", shards, per)
-    return place(keyed, "_key", splits, [])
+    sizes = cut(keyed.select("_key", "size"))
+    per = parts_of(shards, int(sizes.agg(F.sum("size")).first()[0] or 0), part_bytes)
+    return place(keyed, "_key", split(sizes, "_key", "size", shards, per, tolerance=tolerance), [])
