@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut
+from tarnfold.llm.common import cut, small, text_key, without
 
 RADIUS = 3
 SHINGLE = 3
@@ -44,15 +44,17 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of every row."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """key (doc_id where it is None) and fp of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fp], [b.schema.names[0], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id") if key is None else key.alias("key"), F.col("text").cast("binary").alias("_text"))
+    (name, kind), _ = rows.dtypes
+    return rows.mapInArrow(run, f"{name} {kind}, fp long")
 
 
 def masks(free: int = (1 << 64) - 1, radius: int = RADIUS) -> list[int]:
@@ -155,7 +157,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_size: int = 51
 
     A null or empty text and one without words have fingerprint zero, linked like any other. Rows with the same
     doc_id are one vertex: what either is linked to is one component. Null doc_ids stay rows of their own, with
-    a null component_id unless a row with a doc_id has a linked fingerprint. Other columns are not read.
+    a null component_id unless a row with a doc_id has a linked fingerprint. A text of any length is read whole, in
+    bounded pieces. An empty table gives no rows. Other columns are not read.
     """
     fps = cut(fingerprints(docs))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
@@ -168,14 +171,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_size: int = 51
     return fps.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that of its smallest doc_id, of several such rows the one of the smallest text.
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart: doc_id and text. Rows that share both are copies of one row."""
+    return F.struct(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs["text"]).alias("text"))
 
-    Rows without a doc_id belong to no group that could be named, and stay.
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, bucket_size: int = 512) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id, a null one last, then by the text's hash.
+
+    Groups are linked fingerprints alone, so different texts that share a doc_id, or have none, are in different
+    groups and stay. Of rows that share doc_id and text one is kept. Texts cross an exchange only if more than
+    BROADCAST_ROWS different rows go, or for the copies of a row that is kept. An empty table gives no rows.
     """
-    labels = cut(near_duplicates(docs, radius))
-    keep = labels.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    some = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not keep.where("n > 1").isEmpty():
-        some = some.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), F.col("text"))).alias("x")).select("x.*")
-    return some.union(docs.where("doc_id is null"))
+    fps = cut(fingerprints(docs, row_key(docs)))
+    nodes = cut(fps.groupBy("fp").agg(F.count("*").alias("n")).withColumn("rep", F.col("fp")))
+    label = components(near_links(nodes, radius, bucket_size))
+    of_fp = nodes.join(label, nodes.rep == label.v, "left").select("fp", F.coalesce("label", "rep").alias("group"))
+    rows = cut(fps.groupBy("fp", "key").agg(F.count("*").alias("n")).join(of_fp, "fp"))
+    order = F.struct(F.col("key.doc_id").isNull(), "key")
+    best = rows.groupBy("group").agg(F.min_by("key", order).alias("best"), F.min_by("n", order).alias("n"))
+    gone = rows.join(best.select("group", "best"), "group").where("key <> best").select("key")
+    left = without(docs, gone, row_key(docs))
+    copied = cut(best.where("n > 1").select(F.col("best").alias("_copied")))
+    n = copied.count()
+    if not n:
+        return left
+    key = row_key(docs)
+    once = left.join(small(copied, n), key == F.col("_copied"), "left_semi").groupBy(key.alias("_key")).agg(F.first(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return left.join(small(copied, n), key == F.col("_copied"), "left_anti").union(once)

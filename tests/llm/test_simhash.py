@@ -4,7 +4,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnfold.llm import simhash
+from tarnfold.llm import common, simhash
 
 
 def brute_fingerprint(text):
@@ -88,7 +88,18 @@ def test_keep_one(make):
     docs = make([(4, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (6, "x y z u v w"), (None, "a b c d e")])
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 2), (False, 6), (True, 0)]
+    assert sorted(r.doc_id for r in out.collect()) == [2, 6]
+
+
+def test_keep_one_goes_by_texts_and_not_by_ids(make, monkeypatch):
+    """Shared and null ids: one row of each group stays, and no text without a near copy goes."""
+    one, two, three = "the first of several texts here", "quite another thing was said there", "nothing like it under the sun"
+    docs = make([(1, one), (1, two), (None, three), (None, one), (None, None), (5, ""), (1, one), (None, "yet more words that differ")])
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        out = simhash.keep_one(docs).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == [(False, 1, two), (False, 1, one), (False, 5, ""), (True, 0, three), (True, 0, "yet more words that differ")]
+    assert simhash.keep_one(make([])).count() == 0
 
 
 def test_third_level_buckets_are_small():
