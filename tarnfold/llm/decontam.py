@@ -4,19 +4,21 @@ A window's set is its word shingles; with exact containment asked for, a prefix
 the rarest over all documents gives the fewest candidates. One pass over the texts keeps the places of benchmark
 shingles; from those come the shingles' counts, the candidates of each window's prefix, and, by position and length
 bounds and the words around the place, the windows that really occur.
+
+A benchmark of up to BROADCAST_ROWS different shingles (16 bytes each) is broadcast; a larger one is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import ascii_lower, cut
+from tarnfold.llm.common import BROADCAST_ROWS, ascii_lower, cut, text_key, without
 
 WINDOW = 10
 SHINGLE = 5
-#: A table of shingle hashes is broadcast up to so many rows (16 bytes each), and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,47 +44,69 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def places(docs: DataFrame, shingles: DataFrame, k: int, window: int, small: bool) -> DataFrame:
-    """A row for each place of a shingle in a document, with the words around; and one without place for each document."""
-    keys = shingles.select("hash").distinct().union(docs.sparkSession.sql("SELECT CAST(NULL AS BIGINT) hash")).select(F.coalesce("hash", F.lit(0)).alias("hash")).distinct()
-    each = docs.withColumn("hashes", shingle_hashes("words", F.col("n_words"), k)).select(
-        "row", "doc_id", "n_words", "words", F.size("hashes").alias("n_hashes"), F.posexplode(F.concat("hashes", F.array(F.lit(0).cast("bigint")))).alias("pos", "hash")
-    )
-    met = each.join(F.broadcast(keys) if small else keys, "hash")
-    begin, is_doc = F.greatest(F.col("pos") - (window - k), F.lit(0)), F.col("pos") == F.col("n_hashes")
-    return met.select(
-        "row", "doc_id", "n_words",
-        F.when(~is_doc, F.col("pos")).alias("pos"),
-        F.when(~is_doc, F.array_join(F.slice("words", F.col("pos") + 1, k), " ")).alias("shingle"),
-        F.when(~is_doc, begin).alias("begin"),
-        F.when(~is_doc, F.slice("words", begin + 1, F.col("pos") - begin + window)).alias("around"),
+def numbered(sizes: list[int]) -> tuple[Column, Column, Column]:
+    """All shingle hashes of the column words, those of one size after those of another; of place _at, its size and position."""
+    n, start, size, pos = F.col("n_words"), F.lit(0), F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k in sizes:
+        own = F.greatest(n - k + 1, F.lit(0))
+        inside = (F.col("_at") >= start) & (F.col("_at") < start + own)
+        size, pos = F.when(inside, k).otherwise(size), F.when(inside, F.col("_at") - start).otherwise(pos)
+        start = start + own
+    return F.concat(*[shingle_hashes("words", n, k) for k in sizes]), size, pos
+
+
+def with_around(placed: DataFrame, window: int) -> DataFrame:
+    """placed (with words, and a place's k and pos, or nulls) with the shingle and the words around instead of all words."""
+    pos, is_place = F.col("pos"), F.col("pos").isNotNull()
+    begin = F.greatest(pos - (window - F.col("k")), F.lit(0))
+    return placed.select(
+        "row", "doc_id", "key", "n_words", "pos",
+        F.when(is_place, F.array_join(F.slice("words", pos + 1, F.col("k")), " ")).alias("shingle"),
+        F.when(is_place, begin).alias("begin"),
+        F.when(is_place, F.slice("words", begin + 1, pos - begin + window)).alias("around"),
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
+def places(docs: DataFrame, hashes: DataFrame, sizes: list[int], window: int, broadcast_rows: int) -> DataFrame:
+    """A row for each place of a shingle in a document, with the words around; and one without place for each document.
 
-    A null or empty text has no words and is clean; an empty benchmark leaves all clean; repeated rows are judged
-    each for itself, also where they share a doc_id; a window that several items hold counts for each of them, and
-    one of an item without item_id marks words but counts for no item.
-    Columns other than doc_id and text (item_id and text) are not read.
+    docs: row, doc_id, key (of the text), text. hashes: the different hashes of all shingles. Few are broadcast, and
+    every text is read once, in one stage. Many meet the texts' hashes by an exchange of hashes and positions alone;
+    then the places found meet their texts, by key. Either way the work is in proportion to the texts.
     """
-    spark = docs.sparkSession
+    every, size, pos = numbered(sizes)
+    split_ = lambda rows: rows.withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words"))
+    if hashes.count() <= broadcast_rows:
+        # a place after all others, whose hash is 0, stands for the document
+        end = F.array(F.lit(0).cast("bigint"))
+        keys = hashes.union(docs.sparkSession.range(1).select("id")).distinct()
+        each = split_(docs).select("row", "doc_id", "key", "n_words", "words", F.posexplode(F.concat(every, end)).alias("_at", "hash"))
+        met = each.join(F.broadcast(keys), "hash").withColumn("k", size).withColumn("pos", pos)
+        return with_around(met, window)
+    each = split_(docs).select("key", "n_words", F.posexplode(every).alias("_at", "hash"))
+    met = each.join(hashes, "hash").select("key", F.struct(size.alias("k"), pos.alias("pos")).alias("p"))
+    of_text = met.groupBy("key").agg(F.collect_set("p").alias("ps"))
+    ends = F.array(F.lit(None).cast("struct<k:int,pos:int>"))
+    listed = F.concat(F.coalesce("ps", F.array().cast("array<struct<k:int,pos:int>>")), ends)
+    texts = docs.join(of_text, "key", "left")
+    return with_around(split_(texts).withColumn("p", F.explode(listed)).withColumn("k", F.col("p.k")).withColumn("pos", F.col("p.pos")), window)
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, key (of the text), n_words, hits (start, n) and items of every row."""
     wins = cut(windows(benchmark, window))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key(F.col("text")).alias("key"), "text")
+    k = F.least("n", F.lit(shingle))
+    cuts = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.slice("ws", i, F.col("k")))
     pieces = cut(
-        wins.select("w", "n", F.least("n", F.lit(shingle)).alias("k"), F.split("w", " ").alias("ws")).select(
-            "w", "n", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.slice("ws", i, F.col("k")))).alias("off", "words")
-        )
+        wins.select("w", "n", k.alias("k"), F.split("w", " ").alias("ws"))
+        .select("w", "n", "k", F.posexplode(cuts).alias("off", "words"))
         .select("w", "n", "k", "off", F.array_join("words", " ").alias("shingle"), "words")
     )
     sizes = sorted({shingle} | {r["k"] for r in pieces.select("k").distinct().collect()}, reverse=True)  # 1 to shingle
-    found = None
-    for k in sizes:
-        of_k = pieces.where(F.col("k") == k).select(F.xxhash64(*[F.get("words", F.lit(j)) for j in range(k)]).alias("hash")).distinct()
-        one = places(texts, of_k, k, window, of_k.count() <= broadcast_rows)
-        found = one if found is None else found.union(one.where("pos is not null"))
-    found = cut(found)
+    of_size = [pieces.where(F.col("k") == k).select(F.xxhash64(*[F.get("words", F.lit(j)) for j in range(k)]).alias("hash")) for k in sizes]
+    hashes = cut(reduce(DataFrame.union, of_size).distinct())
+    found = cut(places(texts, hashes, sizes, window, broadcast_rows))
     met = found.where("pos is not null")
     counts = met.groupBy("shingle").agg(F.count("*").alias("met"))
     # The rarest shingle of each window; one that never occurs rules the window out.
@@ -98,20 +122,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     near = met.join(F.broadcast(prefix) if prefix.count() <= broadcast_rows // 10 else prefix, "shingle").withColumn("start", start)
     bounds = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))
     same = F.array_join(F.slice("around", F.col("start") - F.col("begin") + 1, F.col("n")), " ") == F.col("w")
-    hits = near.where(bounds).where(same).select("row", "doc_id", "n_words", "start", "n", "items")
-    none = found.where("pos is null").select("row", "doc_id", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<string>").alias("items"))
-    per_doc = hits.union(none).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "n"))).alias("hits"), F.flatten(F.collect_set("items")).alias("items"),
-    )
+    hit = F.struct("start", "n")
+    hits = near.where(bounds).where(same).select("row", "doc_id", "key", "n_words", hit.alias("hit"), "items")
+    no_hit, no_items = F.lit(None).cast(hits.schema["hit"].dataType), F.lit(None).cast("array<string>")
+    none = found.where("pos is null").select("row", "doc_id", "key", "n_words", no_hit.alias("hit"), no_items.alias("items"))
+    first = [F.first(c).alias(c) for c in ("doc_id", "key", "n_words")]
+    return hits.union(none).groupBy("row").agg(*first, F.collect_set("hit").alias("hits"), F.flatten(F.collect_set("items")).alias("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
+
+    A null or empty text has no words and is clean; an empty benchmark leaves all clean; repeated rows are judged
+    each for itself, also where they share a doc_id; a window that several items hold counts for each of them, and
+    one of an item without item_id marks words but counts for no item. A text of any length is read whole. An empty
+    table gives no rows. Columns other than doc_id and text (item_id and text) are not read.
+    """
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
-    items = F.sort_array(F.array_distinct("items"))
-    return per_doc.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), items.alias("_items")).select(
+    per_doc = judged(docs, benchmark, window, shingle, broadcast_rows).select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.array_distinct("items")).alias("_items")
+    )
+    return per_doc.select(
         "doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no window. A doc_id goes if any row that has it is contaminated."""
-    hit = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs whose own text holds no window, whatever their doc_ids. Null texts stay.
+
+    Texts cross an exchange only if more than BROADCAST_ROWS different texts go.
+    """
+    gone = judged(docs, benchmark, window, shingle, broadcast_rows).where(F.size("hits") > 0).select("key")
+    return without(docs, gone, text_key(docs["text"]))

@@ -7,9 +7,10 @@ each source has had less than one block more or fewer than its weight asks for.
 `RESOLUTION`, finer than the doubles they come from, and no schedule is repeated: t slots add t / RESOLUTION blocks to
 that bound, under 10^-15 for 100 TB.
 
-When a source has no block left, a new phase begins in which the others share its weight. The order is worked out
-block by block, in one task that holds one row a source and a piece of the order; it takes some microseconds a block.
-The driver holds one number a source; it never sees blocks or documents.
+When a source has no block left, a new phase begins in which the others share its weight. A slot's source depends on
+all slots before it, so the order is worked out block by block, in one task that holds one row a source and a piece of
+the order; it takes some microseconds a block, and `block` sets how many there are. Documents never pass through it:
+they are cut into blocks, and meet their slots, in tasks of CHUNK blocks. The driver holds one number a source.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut
+from tarnfold.llm.common import cut, small
 from tarnfold.llm.sharding import size_of
 
 #: Slots that are worked out at a time.
@@ -33,12 +34,6 @@ BLOCK = 1 << 20
 ALPHA = 0.7
 #: Blocks that one task cuts: the unit by which a large source is divided.
 CHUNK = 4
-#: Tables of up to so many small rows are broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -123,60 +118,100 @@ def slots_of(spark: SparkSession, blocks: dict[str, int], weights: dict[str, flo
 
 
 def source_of(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return F.coalesce(docs["source"].cast("string"), F.lit(""))
+
 
+def tie_of(docs: DataFrame) -> Column:
+    """What orders rows in their source, as if by chance. Copies of a row differ in it, so that they spread like others."""
+    return F.xxhash64(docs["doc_id"], docs["text"], F.monotonically_increasing_id())
 
-def blocks_of(rows: DataFrame, block: int, chunk: int) -> DataFrame:
-    """rows (source, size, tie) with block, from 0 in each source: near equal bytes, in the order of hashes.
 
-    A source is divided by hash into chunks of about `chunk` blocks, and each chunk into whole blocks, so no task
-    holds a whole source; the driver holds one row a source, the rest joins by source.
+class Blocks:
+    """How sources divide into blocks of near equal bytes: by hash into chunks, and each chunk into whole blocks.
+
+    rows: source, size, tie. No task holds a whole source; the driver holds one row a source.
     """
-    spark = rows.sparkSession
-    totals = rows.groupBy("source").agg(F.sum("size").alias("bytes")).collect()
-    chunks = spark.createDataFrame([(r["source"], max(1, round(r["bytes"] / block / chunk))) for r in totals] or [("", 1)], "source string, chunks long")
-    spread = cut(rows.join(small(chunks, len(totals)), "source").withColumn("chunk", F.pmod(F.xxhash64("tie", F.lit(1)), F.col("chunks"))).drop("chunks"))
-    sizes = spread.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_bytes"))
-    counted = sizes.withColumn("n", F.greatest(F.round(F.col("chunk_bytes") / block), F.lit(1)).cast("long"))
-    by = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counted = cut(counted.withColumn("first", F.coalesce(F.sum("n").over(by), F.lit(0))))
-    order = Window.partitionBy("source", "chunk").orderBy("tie", "size")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    # by source and chunk, as the window after it: no exchange between
-    joined = spread.join(counted, ["source", "chunk"])
-    return joined.withColumn("block", (F.col("first") + F.floor(before * F.col("n") / F.col("chunk_bytes"))).cast("long")).drop("chunk", "chunk_bytes", "n", "first")
+
+    def __init__(self, rows: DataFrame, block: int, chunk: int):
+        spark = rows.sparkSession
+        totals = rows.groupBy("source").agg(F.sum("size").alias("bytes")).collect()
+        self.bytes = {r["source"]: r["bytes"] for r in totals}
+        chunks = spark.createDataFrame([(s, max(1, round(n / block / chunk))) for s, n in self.bytes.items()] or [("", 1)], "source string, chunks long")
+        self.chunks = small(chunks, len(totals))
+        sizes = self.chunked(rows).groupBy("source", "chunk").agg(F.sum("size").alias("chunk_bytes"))
+        counted = sizes.withColumn("n", F.greatest(F.round(F.col("chunk_bytes") / block), F.lit(1)).cast("long"))
+        by = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        self.counted = cut(counted.withColumn("first", F.coalesce(F.sum("n").over(by), F.lit(0))))
+        self.n = {r["source"]: r["n"] for r in self.counted.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+
+    def chunked(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.chunks, "source").withColumn("chunk", F.pmod(F.xxhash64("tie", F.lit(1)), F.col("chunks"))).drop("chunks")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with block, from 0 in each source, in the order of tie. Each chunk is sorted by itself."""
+        order = Window.partitionBy("source", "chunk").orderBy("tie", "size")
+        before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        # by source and chunk, as the window after it: no exchange between
+        joined = self.chunked(rows).join(self.counted, ["source", "chunk"])
+        place = F.least(F.floor(before * F.col("n") / F.col("chunk_bytes")), F.col("n") - 1)
+        return joined.withColumn("block", (F.col("first") + place).cast("long")).drop("chunk", "chunk_bytes", "n", "first")
+
+
+def weights_of(sizes: dict[str, int], weights: dict[str, float] | None, alpha: float) -> dict[str, float]:
+    """The weight of every source of the table: as given, on any scale, or its bytes to the power alpha if none is given."""
+    if weights is None:
+        return {s: float(n) ** alpha for s, n in sizes.items()}
+    if lacking := sorted(set(sizes) - set(weights)):
+        raise ValueError(f"no weight for the sources {lacking[:10]}: give all or none")
+    if wrong := sorted(s for s in sizes if not 0 <= weights[s] < float("inf")):
+        raise ValueError(f"weights of 0 or more are needed, not those of {wrong[:10]}")
+    return {s: float(weights[s]) for s in sizes}
+
+
+def placed(rows: DataFrame, compact: DataFrame, weights: dict[str, float] | None, alpha: float, block: int, period: int, chunk: int) -> tuple[DataFrame, int]:
+    """rows (source, size, tie and others) with block, slot and phase, null for sources of weight 0; how many slots there are.
+
+    compact: the same rows, with these three columns alone.
+    """
+    blocks = Blocks(compact, block, chunk)
+    weight = weights_of(blocks.bytes, weights, alpha)
+    n = {s: n for s, n in blocks.n.items() if weight[s]}
+    cells = blocks.of(rows)
+    if not n:
+        return cells.withColumn("slot", F.lit(None).cast("long")).withColumn("phase", F.lit(None).cast("int")), 0
+    timed = cut(slots_of(rows.sparkSession, n, {s: weight[s] for s in n}, period))
+    return cells.join(small(timed, sum(n.values())), ["source", "block"], "left"), sum(n.values())
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, period: int = PERIOD, chunk: int = CHUNK) -> DataFrame:
     """doc_id, source, size, block, slot, phase of every row.
 
-    weights: by source, any positive scale; sources that it lacks, and all where it is None, weigh their bytes to
-    the power alpha. All rows are placed, each once: weights hold until a source is used up. A null source is the
-    source ''. Repeated rows are placed each for itself. A text longer than a block spans the block where it begins,
-    so the blocks after it may be missing; the schedule then has empty slots. Other columns are not read.
+    weights: of all sources, on any scale, or None: then a source weighs its bytes to the power alpha. A source without
+    one is an error; one of weight 0 gets no slot: its rows have null slots. All other rows are placed, each once:
+    weights hold until a source is used up. A null source is the source ''. Repeated rows and rows without doc_id are
+    placed each for itself. A text longer than a block spans the block where it begins, so blocks after it may have no
+    row of their own: their slots stay empty. A null text has size 16. An empty table gives no rows. Other columns are
+    not read.
     """
-    spark = docs.sparkSession
-    size = size_of(F.col("text"))
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of(docs).alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("tie")))
-    cells = cut(blocks_of(rows, block, chunk))
-    found = {r["source"]: r for r in cells.groupBy("source").agg((F.max("block") + 1).alias("n"), F.sum("size").alias("bytes")).collect()}
-    if not found:
-        return cells.select("doc_id", "source", "size", "block", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("phase"))
-    weight = {s: float((weights or {}).get(s) or r["bytes"] ** alpha) for s, r in found.items()}
-    timed = cut(slots_of(spark, {s: r["n"] for s, r in found.items()}, weight, period))
-    return cells.join(timed, ["source", "block"]).select("doc_id", "source", "size", "block", "slot", "phase")
-
-
-def mix(docs: DataFrame, partition_bytes: int = 64 << 20, **options) -> DataFrame:
-    """docs in the order of their slots: written files follow it. Each row once, with docs's columns.
-
-    Rows that share a doc_id go to the first slot that any of them has.
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of(docs).alias("source"), size_of(F.col("text")).alias("size"), tie_of(docs).alias("tie")))
+    out, _ = placed(rows, rows.select("source", "size", "tie"), weights, alpha, block, period, chunk)
+    return out.select("doc_id", "source", "size", "block", "slot", "phase")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, period: int = PERIOD, chunk: int = CHUNK, partition_bytes: int = 64 << 20) -> DataFrame:
+    """docs in the order of their slots: written files follow it. Each row once, with docs's columns, as schedule() places it.
+
+    Rows of sources of weight 0 are left out. Every row goes to its own slot, whatever its doc_id. docs must give the same
+    rows in the same partitions when it is read again, as written tables do; otherwise blocks may differ a little in size.
+    Texts cross two exchanges: into blocks, and into the order of the slots.
     """
-    slots = schedule(docs, **options).groupBy("doc_id").agg(F.min("slot").alias("_slot"), F.sum("size").alias("_size"))
-    slots = cut(slots)
-    total = slots.agg(F.sum("_size")).first()[0] or 0
-    key = docs["doc_id"].cast("long").eqNullSafe(slots["doc_id"])
-    placed = docs.join(slots, key).select(*[docs[c] for c in docs.columns], "_slot")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // partition_bytes))
-    tie = F.xxhash64("doc_id")
-    return placed.repartitionByRange(parts, "_slot", tie).sortWithinPartitions("_slot", tie).drop("_slot")
+    mine = F.struct(source_of(docs).alias("source"), size_of(docs["text"]).alias("size"), tie_of(docs).alias("tie")).alias("_m")
+    compact = cut(docs.select(mine).select("_m.*"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), mine).select("_row", "_m.*")
+    total = int(compact.agg(F.sum("size")).first()[0] or 0)
+    out, slots = placed(rows, compact, weights, alpha, block, period, chunk)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))
+    # slots are of about equal bytes, so equal stretches of them make equal parts
+    part = F.least(F.floor(F.col("slot") * parts / max(1, slots)), F.lit(parts - 1)).cast("int")
+    ordered = out.where("slot is not null").repartitionById(parts, part).sortWithinPartitions("slot", "tie")
+    return ordered.select("_row.*")

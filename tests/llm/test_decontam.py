@@ -29,6 +29,11 @@ def brute(texts, items):
     return sorted(out, key=str)
 
 
+def explained(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 def check(docs, bench, **options):
     texts, items = [(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]
     got = sorted(map(tuple, decontam.contamination(docs, bench, **options).collect()), key=str)
@@ -53,6 +58,37 @@ def test_edge_cases(make, spark):
     check(make([(1, long)]), bench.limit(0))
 
 
+def test_no_array_of_words_crosses_an_exchange(make, spark):
+    """Small or large, a benchmark meets hashes and positions; a text's words are never copied for each of them."""
+    docs = make([(1, "x a b c d e f g h i j k y")]).selectExpr("doc_id", "doc_id AS row", "struct(doc_id AS a, 2L AS b) AS key", "text")
+    hashes = spark.range(5).selectExpr("id AS hash")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plans = {limit: explained(decontam.places(docs, hashes, [5, 2], 10, limit)) for limit in (0, 1000)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for limit, plan in plans.items():
+        inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert len(inputs) >= (3 if limit == 0 else 0), plan
+        assert not any(re.search(r"(?<!_)words#", x) for x in inputs), inputs
+
+
+def test_long_texts_by_shuffled_joins(make, spark):
+    """One text of 100,000 words, each of which begins a shingle of the benchmark."""
+    item = " ".join(f"w{i % 50}" for i in range(200))
+    docs = make([(1, " ".join(f"w{i % 50}" for i in range(100_000))), (2, "w1 w2 w3"), (None, item), (None, "fine")])
+    check(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), broadcast_rows=1)
+
+
+def test_clean_goes_by_texts_and_not_by_ids(make, spark):
+    """Rows that share an id, or have none, stay or go each by its own text."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    docs = make([(None, "a b c d e f g h i j"), (None, "fine"), (None, None), (None, "good"), (7, "x a b c d e f g h i j"), (7, "good"), (7, "good")])
+    for limit in (1000, 1):
+        out = decontam.clean(docs, bench, broadcast_rows=limit).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, ""), (0, "fine"), (0, "good"), (7, "good"), (7, "good")]
+
+
 def test_clean(make, spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     docs = make([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i"), (None, "fine"), (3, None)])

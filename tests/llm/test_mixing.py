@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -61,7 +63,7 @@ def test_written_order_follows_slots(make, tmp_path, spark):
     from tarnfold.llm import sharding
 
     back = spark.read.parquet(str(tmp_path / "m"))
-    order = [r.source for r in back.withColumn("k", sharding.in_order(back)).orderBy("k").collect()]
+    order = [r.source for r in back.withColumn("k", sharding.written_order()).orderBy("k").collect()]
     for start in range(0, 1000, 200):
         assert 70 <= sum(s == "s0" for s in order[start : start + 200]) <= 130
 
@@ -93,3 +95,52 @@ def test_schedule_of_many_blocks_keeps_to_the_target(spark):
     first, total = Counter(r.source for r in rows if r.slot < 30_000), sum(weights.values())
     assert {r.phase for r in rows if r.slot < 30_000} == {0}
     assert all(abs(first[s] - w / total * 30_000) < 1 + 1e-6 for s, w in weights.items())
+
+
+def brute(weights, slots):
+    """Earliest deadline first over the weights as fractions, looking at every source in every slot; ties by name."""
+    total, had, out = sum(Fraction(w) for w in weights.values()), Counter(), []
+    exact = {s: Fraction(w) / total for s, w in weights.items() if w}
+    for t in range(slots):
+        ready = [(math.ceil((had[s] + 1) / w), s) for s, w in exact.items() if math.floor(had[s] / w) <= t]
+        had[min(ready)[1]] += 1
+        out.append(min(ready)[1])
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.06, "d": 0.04}, {"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1e-6}, {"hot": 0.5} | {f"s{i:03}": 0.5 / 499 for i in range(499)}])
+def test_against_a_brute_force_schedule_of_the_asked_weights(weights):
+    n = 3000 if len(weights) > 100 else 12_000
+    got = []
+    for _, before, piece, _ in mixing.phases(dict.fromkeys(weights, n), weights, 1000):
+        if len(got) >= n or len(before) < len(weights):
+            break
+        got += piece
+    had, total = Counter(), sum(weights.values())
+    want = brute(weights, n)
+    for t, (g, w) in enumerate(zip(got, want, strict=False), 1):
+        had[g] += 1
+        assert abs(had[g] - weights[g] / total * t) < 1 + 1e-6
+        if len(weights) < 100:
+            assert g == w, t
+    assert len(got) >= n
+
+
+def test_weights_are_given_for_all_or_none(make):
+    docs = make([(i, f"text {i} " * 5) for i in range(300)], source=lambda k: "ab"[k % 2])
+    out = mixing.schedule(docs, {"a": 1, "b": 0}, block=1000).collect()
+    assert len(out) == 300 and all((r.slot is None) == (r.source == "b") for r in out)
+    assert {r.source for r in mixing.mix(docs, {"a": 1, "b": 0}, block=1000).collect()} == {"a"}
+    assert mixing.mix(docs, {"a": 0, "b": 0}, block=1000).count() == 0
+    for wrong in ({"a": 1}, {"a": 1, "b": -1}, {"a": 1, "b": float("nan")}):
+        with pytest.raises(ValueError):
+            mixing.schedule(docs, wrong)
+
+
+def test_rows_mix_each_for_itself(make):
+    """Null and repeated ids, and copies of a row that are half of the table, spread over all slots."""
+    docs = make([(None if k % 2 else 5, "same words again" if k % 3 else f"text {k}") for k in range(900)], source=lambda k: "s")
+    rows = mixing.mix(docs, block=1000, chunk=2).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.collect())
+    for at in range(0, 900, 300):
+        assert 150 <= sum(r.text == "same words again" for r in rows[at : at + 300]) <= 250

@@ -71,3 +71,21 @@ def test_held_out_accuracy(spark):
     bad = [r.kept for r in out if r.quality == 0]
     assert len(good) > 50 and len(bad) > 5
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
+def test_keep_goes_by_texts_and_not_by_ids(make, spark):
+    """Of rows that share an id, or have none, those go whose own text is bad; nothing is exchanged for it."""
+    good, bad = " ".join(f"word{i}" for i in range(40)), "too few"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = make([(None, good), (None, bad), (None, good + " more"), (None, None), (1, good), (1, bad), (1, good)])
+    out = quality.keep(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, good), (0, good + " more"), (1, good), (1, good)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert quality.keep(make([]), labels).count() == 0
+
+
+def test_keep_and_judge_learn_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    assert sorted(r.doc_id for r in quality.keep(docs, labels).collect()) == sorted(r.doc_id for r in quality.judge(docs, labels).where("kept").collect())
