@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
+
+Every stage goes by rows and their texts, never by doc_id alone: rows that share an id, or have none, are judged each for
+itself. Null and empty texts fail the quality rules. Texts of any length are read whole; an empty table gives none back.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnfold.llm import decontam, mixing, quality, sharding, simhash
-from tarnfold.llm.common import shared_dir, table
+from tarnfold.llm.common import drop, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_in_order(docs)
+    """Stretches of the written order; where docs does not come from files, there is none, and the shards are by key."""
+    return sharding.shard_in_order(docs, sharding.written_order() if docs.inputFiles() else None)
 
 
 STAGES = [
@@ -42,11 +47,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def drop(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what each returns is written to the shared folder and read again."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
