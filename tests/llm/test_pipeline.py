@@ -37,6 +37,35 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
 
 
+def test_rows_with_null_and_repeated_ids(spark, tmp_path):
+    """A table in which a bad row shares its id with good ones, and rows without ids: each goes or stays by its own text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.floor(F.col("doc_id") / 9))).withColumn("mine", F.monotonically_increasing_id())
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    rows = {r.mine: r for r in docs.collect()}
+    assert len(rows) == 200
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DIR).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        got = docs.collect()
+        assert all(rows[r.mine].text == r.text and rows[r.mine].doc_id == r.doc_id for r in got) and len({r.mine for r in got}) == len(got)
+        kept.append({r.mine for r in got})
+    good = {i for i, r in rows.items() if (c := counts(r.text))[0] >= 10 and 100 * c[4] <= 20 * c[0]}
+    assert kept[0] <= good and len(kept[0]) > 0.5 * len(good)
+    comp = brute_components(sorted(kept[0]), [brute_fingerprint(rows[i].text) for i in sorted(kept[0])])
+    groups = {}
+    for i, c in comp.items():
+        groups.setdefault(c, set()).add(i)
+    assert all(len(g & kept[1]) == 1 for g in groups.values()) and len(kept[1]) == len(groups)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    assert kept[2] == {r[0] for r in leaks([(i, rows[i].text) for i in kept[1]], items) if not r[5]}
+    assert kept[3] == kept[2] and kept[4] == kept[3]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert out.count() > 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
