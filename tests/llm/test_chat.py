@@ -57,12 +57,14 @@ def test_tree(spark, tmp_path):
         if n.loss_start is not None:
             assert stream[n.loss_start : n.loss_end].startswith("a")
     by = {n.start: n for n in nodes}
-    depth = [len(by[r.starts[-1]].attends) >= 1 and len(r.starts) for r in spark.read.parquet(str(tmp_path / "t/leaves")).collect()]
-    assert depth == [4] * 40
-    for r in spark.read.parquet(str(tmp_path / "t/leaves")).collect():
-        leaf = by[r.starts[-1]]
+    paths = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "t/leaves")).collect()):
+        paths.setdefault(r.conv_id, []).append(r.start)
+    assert len(paths) == 40 and all(len(starts) == 4 for starts in paths.values())
+    for starts in paths.values():
+        leaf = by[starts[-1]]
         whole = "".join(stream[a.start : a.end] for a in leaf.attends) + leaf.text
-        assert whole == "".join(by[s].text for s in r.starts)
+        assert whole == "".join(by[s].text for s in starts)
     # each subtree is one stretch of the output
     open_ = []
     for n in nodes:
@@ -72,6 +74,29 @@ def test_tree(spark, tmp_path):
         open_.append(n)
 
 
+def test_trees_of_all_shapes(spark, tmp_path):
+    """Conversations that end inside others, part at every depth, are equal, or share nothing: the tree laws hold."""
+    trunk = [("user", f"t{k}") for k in range(60)]
+    convs = [trunk[:k] + [("assistant", f"b{k}")] * (k % 3) for k in range(1, 60)] + [trunk, trunk, [("user", "alone")], [("user", "t0"), ("user", "t0")]]
+    rows = [(c, d, *turn) for c, turns in enumerate(convs) for d, turn in enumerate(turns)]
+    check(spark, rows)
+    chat.write_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), str(tmp_path / "t"))
+    nodes = sorted(spark.read.parquet(str(tmp_path / "t/nodes")).collect(), key=lambda r: r.start)
+    assert len(nodes) == len({tuple(turns[: d + 1]) for turns in convs for d in range(len(turns))})
+    stream, open_ = "".join(n.text for n in nodes), []
+    for n in nodes:
+        while open_ and not any(a.start <= open_[-1].start < a.end for a in n.attends):
+            open_.pop()
+        assert sum(x.end - x.start for x in open_) == n.pos and "".join(x.text for x in open_) == "".join(stream[a.start : a.end] for a in n.attends)
+        open_.append(n)
+
+
+def test_a_very_long_conversation(spark):
+    """100,000 turns, and another that shares half of them: one interval each, and nothing grows with the square."""
+    rows = [(c, k, "assistant" if k % 2 else "user", f"t{k}" if k < 50_000 else f"{c}-{k}") for c in (1, 2) for k in range(100_000)]
+    check(spark, rows)
+
+
 def test_escapes():
     for t in (HOSTILE, "", "\\", "\\\\l<", '"><\n', "\\g"):
         assert chat.unescaped(chat.escaped(t)) == t and not set('<>"') & set(chat.escaped(t))
