@@ -1,87 +1,47 @@
 """Licence scan: a trained paragraph classifier whose predictions templates confirm.
 
-Paragraphs are lines. Templates, cut into overlapping pieces, teach the licence families; a bounded sample of the
-corpus's own lines that hint at no licence teaches the class `none`. The features are word 1-, 2- and 3-grams over a
-bounded vocabulary, the model is a sparse multinomial logistic regression, and a temperature fitted to held-out pieces
-calibrates its probabilities. A paragraph that looks like a licence but whose best family is under a bound is
-`unknown`; the bound is the one that best parts held-out pieces of the families from wordings of other licences. A
-predicted family is confirmed if the paragraph and one of the family's templates share their 5-word shingles: 0.8 or
+Paragraphs are lines. Texts of licences, whole and cut into overlapping pieces, teach the licence families; a bounded
+sample of the corpus's own lines that hint at no licence, and ordinary sentences with words that licences use, teach the
+class `none`. The features are word 1-, 2- and 3-grams over a bounded vocabulary, and the model is a sparse multinomial
+logistic regression.
+
+Calibration holds out whole texts, one in three of each family: a model that has not seen them gives the temperature,
+and the bound under which a paragraph that looks like a licence is `unknown`. The bound is the one that best parts held
+out texts that went to their families from wordings of other licences: a fixed list, and the sampled lines that hint at a
+licence but share little with any template. The model that is used is fitted to all texts.
+
+A predicted family is confirmed if the paragraph and one of the family's templates share their 5-word shingles: 0.8 or
 more of those of the shorter one.
 
-A paragraph without any telling word has the model's score for no evidence, and is `none`; the telling words are the
-vocabulary's unigrams that the templates have and the sample of other lines does not.
+Features without a telling word are left out of the vocabulary: a word of three letters or more that the ordinary
+sentences do not have. So a line without any telling word has no feature at all and is `none`, whatever the corpus is,
+and needs no score.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
+import re
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import cut
+from tarnfold.llm.licence_texts import ORDINARY, OTHER, TEMPLATES
 
-#: Opening and key statements of public licences, in their published wording.
-TEMPLATES = {
-    "apache": [
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-        "Licensed under the Apache License, Version 2.0.",
-    ],
-    "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "Released under the MIT License.",
-        "Licensed under the MIT License. See LICENSE in the project root for license information.",
-    ],
-    "gpl": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This work is licensed under the GNU General Public License, version 2.",
-    ],
-    "cc": [
-        "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
-        "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
-        "Licensed under CC BY-NC 4.0.",
-        "Licensed under CC BY-SA 4.0.",
-        "Licensed under CC BY 4.0.",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Licensed under the BSD 3-Clause License.",
-    ],
-    "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-    ],
-    "proprietary": [
-        "All rights reserved.",
-        "Copyright (c) 2020 Example Company. All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
-    ],
-}
-#: Wordings of licences outside the families, which calibrate what is unknown.
-OTHER = [
-    "Licensed under the Example Community License, version 1.",
-    "This file is distributed under the terms of the license agreement of the vendor.",
-    "You may copy and distribute this work under the conditions of the accompanying licence.",
-    "Use is permitted only to holders of a valid commercial license.",
-    "This software is covered by the Sample Public License, a copy of which came with it.",
-    "The authors permit any use, without conditions and without any warranty.",
-    "Dual licensed: choose the terms of the Foo License or those of the Bar License.",
-    "Redistribution is subject to the end user license agreement.",
-]
 NONE, UNKNOWN = "none", "unknown"
-VOCABULARY = 4096
+VOCABULARY = 8192
 #: Lines of the corpus that teach the class `none`, at most.
 SAMPLE = 5000
 SHINGLE, SHARED = 5, 0.8
+#: A line looks like a licence if `none` has no more probability than this.
+NONE_MOST = 0.1
+#: A line with a hint that shares less than this of its shingles with the templates is of no family.
+FOREIGN = 0.3
+HINT = r"(?i)licen[cs]e|copyright|rights reserved|warrant|permi(t|ss)|redistribut"
 
 
 def words(text: Column) -> Column:
@@ -90,7 +50,11 @@ def words(text: Column) -> Column:
 
 def grams(ws: str) -> Column:
     """The 1-, 2- and 3-grams of an array column."""
-    of = lambda n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(n: int) -> Column:
+        one = lambda i: F.array_join(F.slice(ws, i, n), " ")
+        return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), one)).otherwise(F.array().cast("array<string>"))
+
     return F.concat(*[of(n) for n in (1, 2, 3)])
 
 
@@ -101,62 +65,121 @@ def shingles(ws: str) -> Column:
 
 
 def pieces(spark: SparkSession) -> DataFrame:
-    """label, text, held: the templates, and stretches of 6 and 12 words of them; every fifth is held out."""
+    """label, text, held, whole: the families' texts, and stretches of 6 and 12 words of them; every third text is held out."""
     rows = []
     for family, texts in TEMPLATES.items():
-        for t in texts:
-            w, own = t.split(), [t]
-            for size, step in ((6, 3), (12, 4)):
-                own += [" ".join(w[i : i + size]) for i in range(0, max(1, len(w) - size + 1), step)]
-            rows += [(family, x, k % 5 == 4) for k, x in enumerate(own)]
-    return spark.createDataFrame(rows, "label string, text string, held boolean")
+        for k, t in enumerate(texts):
+            w = t.split()
+            cuts = [" ".join(w[i : i + size]) for size, step in ((6, 3), (12, 4)) for i in range(0, max(1, len(w) - size + 1), step)]
+            rows += [(family, t, k % 3 == 2, True), *((family, x, k % 3 == 2, False) for x in cuts if x != t)]
+    rows += [(NONE, t, k % 3 == 2, True) for k, t in enumerate(ORDINARY)]
+    return spark.createDataFrame(rows, "label string, text string, held boolean, whole boolean")
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """family, sh: the shingles of each template. A fixed number of rows."""
+    rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
+    return spark.createDataFrame(rows, "family string, text string").withColumn("ws", words(F.col("text"))).select("family", shingles("ws").alias("sh"))
+
+
+def shares(all_sh: str, ws: str) -> Column:
+    """The largest part that a line shares with one of several templates, of the shingles of the shorter one."""
+
+    def over(own: Column) -> Column:
+        return F.array_max(F.transform(all_sh, lambda t: F.size(F.array_intersect(t, own)) / F.least(F.size(t), F.size(own))))
+
+    return F.get(F.transform(F.array(shingles(ws)), over), F.lit(0))
+
+
+def is_telling(word: str, ordinary: set[str]) -> bool:
+    return len(word) > 2 and word.isalpha() and word not in ordinary
+
+
+class Fit:
+    """Vectors and weights that were fitted to rows (label, ws). telling: the words of which each feature has one or more."""
+
+    def __init__(self, rows: DataFrame, vocabulary: int):
+        rows = cut(rows.withColumn("grams", grams("ws")))
+        counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, binary=True).fit(rows.where(F.col("label") != NONE))
+        ordinary = set(re.findall(r"[^\W_]+", " ".join(ORDINARY).lower()))
+        features = [f for f in counted.vocabulary if any(is_telling(w, ordinary) for w in f.split(" "))]
+        self.telling = sorted({w for f in features for w in f.split(" ") if is_telling(w, ordinary)})
+        self.vectors = CountVectorizerModel.from_vocabulary(features, inputCol="grams", outputCol="features").setBinary(True)
+        self.classes = [NONE, *sorted(TEMPLATES)]
+        # so that each family and the other lines weigh the same
+        sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+        weight, number = F.lit(1.0), F.lit(None).cast("double")
+        for k, c in enumerate(self.classes):
+            weight = F.when(F.col("label") == c, 100.0 / sizes.get(c, 1)).otherwise(weight)
+            number = F.when(F.col("label") == c, float(k)).otherwise(number)
+        data = self.vectors.transform(rows.withColumn("y", number).withColumn("w", weight)).select("features", "y", "w")
+        self.model: LogisticRegressionModel = LogisticRegression(
+            featuresCol="features", labelCol="y", weightCol="w", probabilityCol="probabilityVector",
+            family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.5, standardization=False,
+        ).fit(data.coalesce(1))  # a few thousand short rows
+        if self.model.interceptVector.argmax():
+            raise ValueError("a line without features would not be none")
+
+    def raw(self, rows: DataFrame) -> DataFrame:
+        """rows (with array ws) with rawPrediction."""
+        scored = self.model.transform(self.vectors.transform(rows.withColumn("grams", grams("ws"))))
+        return scored.drop("grams", "features", "probabilityVector", "prediction")
 
 
 class Model:
-    """A fitted scan. telling: the unigrams without which a paragraph is none; bound: the least probability of a family."""
+    """A fitted scan. bound: the least probability of a family, unless a template confirms it; telling: see Fit."""
 
-    def __init__(self, vectors: CountVectorizerModel, classes: list[str], weights, temperature: float, bound: float, telling: list[str]):
-        self.vectors, self.classes, self.weights, self.temperature, self.bound, self.telling = vectors, classes, weights, temperature, bound, telling
+    def __init__(self, fit: Fit, temperature: float, bound: float):
+        self.fit, self.temperature, self.bound, self.telling = fit, temperature, bound, fit.telling
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows (with array ws) with label and probability."""
-        scored = self.weights.transform(self.vectors.transform(rows.withColumn("grams", grams("ws"))))
-        exps = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(x / self.temperature))
-        scored = scored.withColumn("_p", F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), operator.add)))
-        best = F.array_max("_p")
-        label = F.element_at(F.array(*map(F.lit, self.classes)), F.array_position("_p", best).cast("int"))
-        return scored.withColumn("probability", best).withColumn("label", label).drop("grams", "features", "rawPrediction", "probabilityVector", "prediction", "_p")
+        def best(raw: Column) -> Column:
+            top_ = F.array_max(raw)
+            total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + F.exp((x - top_) / self.temperature))
+            none = F.exp((F.element_at(raw, 1) - top_) / self.temperature) / total
+            label = F.when(none > NONE_MOST, NONE).otherwise(F.element_at(names, F.array_position(raw, top_).cast("int")))
+            return F.struct((1 / total).alias("probability"), label.alias("label"))
 
+        names = F.array(*map(F.lit, self.fit.classes))
+        scored = self.fit.raw(rows).withColumn("_raw", vector_to_array("rawPrediction"))
+        one = F.get(F.transform(F.array("_raw"), best), F.lit(0))
+        return scored.withColumn("_best", one).withColumns({"probability": F.col("_best.probability"), "label": F.col("_best.label")}).drop("rawPrediction", "_raw", "_best")
 
-def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
-    """Fit to the templates and to at most `sample` of the corpus's lines: those of the smallest hashes.
+
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """text, hint of different lines of documents of the smallest hashes: at most `sample` of each sort.
 
     The hashes' bound comes from the number of documents: a document is looked at if its hash is under it.
     """
-    spark = docs.sparkSession
     n = max(1, docs.count())
-    lines = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct()
-    hint = r"(?i)licen[cs]e|copyright|rights reserved|warrant|permi(t|ss)|redistribut"
-    plain = cut(lines.where(~F.col("text").rlike(hint)).orderBy(F.xxhash64("text"), "text").limit(sample).select(F.lit(NONE).alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 4).alias("held")))
-    rows = cut(pieces(spark).union(plain).withColumn("ws", words(F.col("text"))).withColumn("grams", grams("ws")))
-    known = rows.where(F.col("label") != NONE)
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, binary=True).fit(known)
-    classes = [NONE, *sorted(TEMPLATES)]
-    number = functools.reduce(lambda out, k: F.when(F.col("label") == classes[k], float(k)).otherwise(out), range(len(classes)), F.lit(None).cast("double"))
-    # so that families and other lines weigh the same
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    weight = functools.reduce(lambda out, c: F.when(F.col("label") == c, 100.0 / sizes[c]).otherwise(out), sizes, F.lit(1.0))
-    data = vectors.transform(rows.withColumn("y", number).withColumn("w", weight)).select("label", "held", "features", "y", "w", "ws")
-    none_words = {r["w"] for r in rows.where(F.col("label") == NONE).select(F.explode("ws").alias("w")).distinct().collect()}
-    telling = sorted(w for w in vectors.vocabulary if " " not in w and w not in none_words and len(w) > 1 and not w.isdigit())
-    fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", probabilityCol="probabilityVector", family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.5, standardization=False).fit(data.where("not held"))
-    held = [([float(x) for x in r["rawPrediction"]], int(r["y"])) for r in fit.transform(data.where("held")).select("rawPrediction", "y").collect()]
-    temperature = min((t / 10 for t in range(2, 41)), key=lambda t: loss(held, t))
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30))
+    lines = some.select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''").distinct()
+    lines = cut(lines.select("text", F.col("text").rlike(HINT).alias("hint")))
+    first = lambda x: x.orderBy(F.xxhash64("text"), "text").limit(sample)
+    return first(lines.where("hint")).union(first(lines.where("not hint")))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+    """Fit to the licence texts and to at most `sample` of the corpus's lines."""
+    spark = docs.sparkSession
+    lines = cut(sampled(docs, sample).withColumn("ws", words(F.col("text"))))
+    of_corpus = lines.where("not hint").select(F.lit(NONE).alias("label"), "ws", (F.pmod(F.xxhash64("text"), F.lit(3)) == 2).alias("held"), F.lit(True).alias("whole"))
+    rows = cut(pieces(spark).withColumn("ws", words(F.col("text"))).select("label", "ws", "held", "whole").union(of_corpus))
+    trial = Fit(rows.where("not held"), vocabulary)
+    known = trial.raw(rows.where("held and whole")).select("label", "rawPrediction").collect()
+    held = [([float(x) for x in r["rawPrediction"]], trial.classes.index(r["label"])) for r in known]
+    # lines of no family are many: they count as much as all texts of families together
+    families = sum(y > 0 for _, y in held)
+    weighted = [(raw, y, 1.0 if y else families / max(1, len(held) - families)) for raw, y in held]
+    temperature = min((t / 10 for t in range(5, 41)), key=lambda t: loss(weighted, t))
+    every = {h for r in templates(spark).select("sh").collect() for h in r["sh"]}  # a fixed number
+    known_sh = F.split(F.lit(",".join(map(str, sorted(every)))), ",").cast("array<bigint>")
+    foreign = lines.where("hint").where(F.size(F.array_intersect(shingles("ws"), known_sh)) < FOREIGN * F.size(shingles("ws"))).select("ws")
+    odd = spark.createDataFrame([(t,) for t in OTHER], "text string").select(words(F.col("text")).alias("ws")).union(foreign)
     right = [p for raw, y in held if y for p, k in [top(raw, temperature)] if k == y]
-    odd = vectors.transform(spark.createDataFrame([(t,) for t in OTHER], "text string").withColumn("ws", words(F.col("text"))).withColumn("grams", grams("ws")))
-    wrong = [p for r in fit.transform(odd).select("rawPrediction").collect() for p, k in [top([float(x) for x in r["rawPrediction"]], temperature)] if k]
-    bound = separating(right, wrong)
-    return Model(vectors, classes, fit, temperature, bound, telling)
+    wrong = [p for r in trial.raw(odd).select("rawPrediction").collect() for p, k in [top([float(x) for x in r["rawPrediction"]], temperature)] if k]
+    return Model(Fit(rows, vocabulary), temperature, separating(right, wrong))
 
 
 def top(raw: list[float], t: float) -> tuple[float, int]:
@@ -166,44 +189,60 @@ def top(raw: list[float], t: float) -> tuple[float, int]:
 
 
 def separating(known: list[float], other: list[float]) -> float:
-    """The least bound with the best balance of known ones at or over it and others under it; half if there are none."""
+    """The bound with the best balance of known ones at or over it and others under it; half if there are none.
+
+    It lies half way from the last one under it to the least known one over it.
+    """
     share = lambda xs, ok: sum(map(ok, xs)) / len(xs) if xs else 1.0
-    return max(sorted({0.5, *known}), key=lambda b: share(known, lambda p: p >= b) + share(other, lambda p: p < b))
+    best = max(sorted({0.5, *known}), key=lambda b: share(known, lambda p: p >= b) + share(other, lambda p: p < b))
+    below = [p for p in [*known, *other] if p < best]
+    return (best + max(below)) / 2 if below else best
 
 
-def loss(rows: list[tuple[list[float], int]], t: float) -> float:
+def loss(rows: list[tuple[list[float], int, float]], t: float) -> float:
     out = 0.0
-    for raw, y in rows:
+    for raw, y, weight in rows:
         m = max(raw)
-        out += math.log(sum(math.exp((x - m) / t) for x in raw)) - (raw[y] - m) / t
+        out += weight * (math.log(sum(math.exp((x - m) / t) for x in raw)) - (raw[y] - m) / t)
     return out
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """family, sh: the shingles of each template. A fixed number of rows."""
-    rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
-    return spark.createDataFrame(rows, "family string, text string").withColumn("ws", words(F.col("text"))).select("family", shingles("ws").alias("sh"))
+def any_of(words_: list[str]) -> str:
+    """A pattern of these words, with common beginnings written once, so that few characters decide."""
+    tree: dict = {}
+    for w in words_:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def write(at: dict) -> str:
+        ways = [c + write(at[c]) for c in sorted(at) if c]
+        return "(?:" + "|".join(ways) + ")" + ("?+" if "" in at else "") if ways else ""
+
+    return write(tree)
 
 
 def candidates(docs: DataFrame, model: Model) -> DataFrame:
     """row, doc_id and, for every line with a telling word, line (its place) and p; one row without for other documents."""
-    gate = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(model.telling) + r")(?![\p{L}\p{N}])"
+    # possessive: a longer word that begins like a telling one is tried first, and the end must then be right
+    gate = rf"(?<![\p{{L}}\p{{N}}]){any_of(model.telling)}(?![\p{{L}}\p{{N}}])" if model.telling else r"\b\B"
     lines = F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("p")))
-    told = F.when(F.col("text").rlike(gate), F.filter(lines, lambda x: x["p"].rlike(gate)))
+    told = F.when(F.lower("text").rlike(gate), F.filter(lines, lambda x: F.lower(x["p"]).rlike(gate)))
     return docs.select("row", "doc_id", F.explode_outer(told).alias("x")).select("row", "doc_id", "x.line", "x.p")
 
 
 def paragraphs(lines: DataFrame, model: Model) -> DataFrame:
     """row, line, family, probability, confirmed of every candidate line that is no `none`."""
     spark = lines.sparkSession
-    scored = model.score(lines.where("p is not null").withColumn("ws", words(F.col("p")))).where(F.col("label") != NONE)
-    known = F.col("probability") >= model.bound
+    scored = cut(model.score(lines.where("p is not null").withColumn("ws", words(F.col("p")))).where(F.col("label") != NONE).drop("p", "doc_id"))
     own = templates(spark).groupBy("family").agg(F.collect_list("sh").alias("all"))
-    shares = F.transform("all", lambda t: F.size(F.array_intersect(t, shingles("ws"))) / F.least(F.size(t), F.size(shingles("ws"))))
+    confirmed = F.coalesce(shares("all", "ws") >= SHARED, F.lit(False))
     return (
-        scored.withColumn("family", F.when(known, F.col("label")).otherwise(UNKNOWN))
-        .join(F.broadcast(own), "family", "left")
-        .select("row", "line", "family", F.round("probability", 6).alias("probability"), F.coalesce(F.array_max(shares) >= SHARED, F.lit(False)).alias("confirmed"))
+        scored.join(F.broadcast(own), F.col("label") == F.col("family"), "left")
+        .withColumn("confirmed", confirmed)
+        .withColumn("family", F.when((F.col("probability") >= model.bound) | F.col("confirmed"), F.col("label")).otherwise(UNKNOWN))
+        .select("row", "line", "family", F.round("probability", 6).alias("probability"), "confirmed")
     )
 
 
@@ -211,7 +250,8 @@ def scan(docs: DataFrame, **options) -> DataFrame:
     """doc_id, families, n_confirmed, n_unconfirmed, n_unknown, best_probability of every row.
 
     families: the confirmed ones of its paragraphs, sorted, comma-joined. Null and empty texts have no paragraph;
-    repeated rows are scanned each for itself; an empty table gives no rows. Other columns are not read.
+    repeated rows are scanned each for itself; a text of any length is read whole, and so is each of its lines; an
+    empty table gives no rows. Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.withColumn("row", F.monotonically_increasing_id())
@@ -226,4 +266,6 @@ def scan(docs: DataFrame, **options) -> DataFrame:
         F.max("probability").alias("best_probability"),
     )
     zero = F.lit(0).cast("long")
-    return lines.groupBy("row").agg(F.first("doc_id").alias("doc_id")).join(per, "row", "left").select("doc_id", F.coalesce("families", F.lit("")).alias("families"), *[F.coalesce(c, zero).alias(c) for c in ("n_confirmed", "n_unconfirmed", "n_unknown")], "best_probability")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_confirmed", "n_unconfirmed", "n_unknown")]
+    every = lines.groupBy("row").agg(F.first("doc_id").alias("doc_id")).join(per, "row", "left")
+    return every.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), *counts, "best_probability")

@@ -1,24 +1,28 @@
 """Personal data: base patterns, and bootstrapped extraction from the contexts in which what they find stands.
 
 Base spans seed the method. Around every entity-like stretch of a text (a word with a digit or an @, and the number
-groups after it) stand the words before and after it: its lexical patterns, in three forms. Patterns and instances
-make a graph. A seed scores 1; a pattern scores by the share of its instances that is known to be of one kind,
-less where the evidence is thin; an instance scores by the patterns that extract it; and so on in rounds. What gets
-known in a round is of the kind of its patterns, and counts for them in the next. Occurrences of what is known in the
-end, and not by the base, are the discovered spans. All of it is Spark expressions and joins.
+groups after it; or words around a written-out "at" and "dot") stand the words before and after it: its lexical
+patterns, in three forms. Patterns and instances make a graph. A seed scores 1; a pattern scores by the share of its
+instances that is known to be of one kind, less where the evidence is thin; an instance scores by the patterns that
+extract it; and so on in rounds, until a round makes nothing known. What gets known in a round keeps its kind and
+score, and counts for its patterns in the next. Occurrences of what is known in the end, and not by the base, are the
+discovered spans. All of it is Spark expressions and joins.
 
 The base patterns are written with possessive repeats and looks behind: they match the same spans as the plain ones,
-in time in proportion to the text and without deep recursion, whatever it holds.
+in time in proportion to the text and without deep recursion, whatever it holds. Where matches begin is summed up in
+blocks of blocks, so a text with very many of them takes time in proportion, too.
 """
 
 from __future__ import annotations
 
+import logging
+import operator
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut
+from tarnfold.llm.common import cut, small
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A local part begins after another character or where the last match ended.
@@ -30,9 +34,15 @@ BASE = {
 }
 #: What a text must hold for a kind to be looked for.
 SIGN = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-#: A word with a digit or @, then number groups after single spaces.
-STRETCH = r"(?<![\p{L}0-9@._%+()/-])[\p{L}._%+()/-]*+[0-9@][\p{L}0-9@._%+()/-]*+(?: [(0-9][0-9()./-]*+)*+"
+#: An address spelled with a bracketed at, or with an at and a dot as words of their own.
+AT, DOT = r" ?[(\[{](?i:at)[)\]}] ?", r"(?: ?[(\[{](?i:dot)[)\]}] ?| (?i:dot) |\.)"
+SPELLED = rf"(?<![\p{{L}}0-9._-])[\p{{L}}0-9._-]++(?:{AT}[\p{{L}}0-9-]++(?:{DOT}[\p{{L}}0-9-]++)++| (?i:at) [\p{{L}}0-9-]++(?: (?i:dot) [\p{{L}}0-9-]++)++)"
+#: Or a word with a digit or @, then number groups after single spaces.
+STRETCH = SPELLED + r"|(?<![\p{L}0-9@._%+()/-])[\p{L}._%+()/-]*+[0-9@][\p{L}0-9@._%+()/-]*+(?: [(0-9][0-9()./-]*+)*+"
+STRETCH_SIGN = r"[0-9@]|[(\[{](?i:at)[)\]}]| (?i:dot) "
 TRIM = r"^[._%()/-]*+|[._%(/+-]++$"
+#: Elements that are folded at a time.
+BLOCK = 64
 SPAN = "array<struct<s:int,k:int,e:int>>"
 STRETCHES = "array<struct<s:int,e:int,inst:string,l2:string,l1:string,r1:string,k:int>>"
 
@@ -60,30 +70,64 @@ def good(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def walk(text: Column, pattern: str, kind_of: str, make) -> Column:
+def sums_before(values: Column, levels: int = 3) -> Column:
+    """The sum of what stands before each element of an array of numbers.
+
+    A fold that grows an array copies it in each step, so only blocks are folded: of numbers, of sums of blocks, and of
+    sums of those. With blocks of BLOCK and three levels the work is in proportion up to some BLOCK ** 4 elements.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def over(blocks: Column) -> Column:
+        before = sums_before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), operator.add)), levels - 1)
+        pairs = F.arrays_zip(before.alias("at"), blocks.alias("b"))
+        return F.flatten(F.transform(pairs, lambda x: F.transform(fold(x["b"]), lambda y: y + x["at"])))
+
+    def of(xs: Column) -> Column:
+        if not levels:
+            return fold(xs)
+        last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(xs) <= BLOCK, fold(xs)).otherwise(once(blocks, over))
+
+    return once(values, of)
+
+
+def once(x: Column, over) -> Column:
+    """over(x), with x worked out once however often over names it."""
+    return F.get(F.transform(F.array(x), over), F.lit(0))
+
+
+def walk(text: Column, pattern: str, make) -> Column:
     """Over the leftmost, non-overlapping matches: array of make(start, end, match, gap before, gap after), nulls left out."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        one = F.filter(F.array(make(start, end, x["m"], x["g"], x["h"])), lambda y: y.isNotNull())
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+    def spans(steps: Column) -> Column:
+        at = sums_before(F.transform(steps, lambda x: F.length(x["g"]) + F.length(x["m"])))
+
+        def one(x: Column) -> Column:
+            s = x["s"]
+            start = x["at"] + F.length(s["g"])
+            return make(start, start + F.length(s["m"]), s["m"], s["g"], s["h"])
+
+        return F.filter(F.transform(F.arrays_zip(steps.alias("s"), at.alias("at")), one), lambda y: y.isNotNull())
 
     def over(b: Column) -> Column:
         n = F.size(b["m"])
-        steps = F.arrays_zip(F.slice(b["g"], F.lit(1), n).alias("g"), b["m"].alias("m"), F.slice(b["g"], F.lit(2), n).alias("h"))
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out")), step, lambda acc: acc["out"])
+        return once(F.arrays_zip(F.slice(b["g"], F.lit(1), n).alias("g"), b["m"].alias("m"), F.slice(b["g"], F.lit(2), n).alias("h")), spans)
 
-    # in an array of one, so that both are worked out once
-    both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    return F.get(F.transform(F.array(both), over), F.lit(0))
+    return once(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), over)
 
 
 def base_spans(text: Column) -> Column:
     parts = []
     for k, kind in enumerate(KINDS):
         make = lambda s, e, m, g, h, k=k, kind=kind: F.when(good(kind, m), F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e")))
-        parts.append(F.when(text.rlike(SIGN[kind]), walk(text, BASE[kind], SPAN, make)).otherwise(F.array().cast(SPAN)))
+        parts.append(F.when(text.rlike(SIGN[kind]), walk(text, BASE[kind], make)).otherwise(F.array().cast(SPAN)))
     return F.sort_array(F.concat(*parts))
 
 
@@ -101,14 +145,15 @@ def stretches(text: Column) -> Column:
         right = F.regexp_extract(F.lower(F.left(h, F.lit(40))), r"^\s*+(\S++)", 1)
         return F.when(F.length(inst) >= 4, F.struct((s + lead).alias("s"), (s + lead + F.length(inst)).alias("e"), F.lower(inst).alias("inst"), word(1).alias("l2"), word(2).alias("l1"), right.alias("r1"), kind.alias("k")))
 
-    return F.when(text.rlike("[0-9@]"), walk(text, STRETCH, STRETCHES, make)).otherwise(F.array().cast(STRETCHES))
+    return F.when(text.rlike(STRETCH_SIGN), walk(text, STRETCH, make)).otherwise(F.array().cast(STRETCHES))
 
 
 def discover(seen: DataFrame, rounds: int, support: int, threshold: float) -> DataFrame | None:
     """(inst, k) of what the contexts make known beyond the seeds; None where nothing is.
 
     seen: inst, k (null if unknown), l2, l1, r1 of every stretch. A pattern counts from `support` known instances on,
-    and from the threshold on, a share of its different instances that is damped by its evidence.
+    and from the threshold on, a share of its different instances that is damped by its evidence. What is known only
+    grows, so the rounds end; should `rounds` of them not be enough, a warning says so.
     """
     forms = F.array(
         F.when(F.col("l2") != "", F.concat_ws("\0", F.lit("before"), "l2", "l1")),
@@ -116,33 +161,31 @@ def discover(seen: DataFrame, rounds: int, support: int, threshold: float) -> Da
         F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat_ws("\0", F.lit("around"), "l1", "r1")),
     )
     edges = cut(seen.select("inst", F.explode(forms).alias("pattern")).where("pattern is not null").distinct())
-    known = cut(seen.where("k is not null").groupBy("inst").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)))
-    seeds, found = known, None
+    size = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    seeds = cut(seen.where("k is not null").groupBy("inst").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)))
+    known, found = seeds, None
     for _ in range(rounds):
-        size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         mass = edges.join(known, "inst").groupBy("pattern", "k").agg(F.sum("score").alias("mass"), F.count("*").alias("n_known"))
-        patterns = (
-            mass.where(F.col("n_known") >= support)
-            .join(size, "pattern")
-            .select("pattern", "k", (F.col("mass") / F.col("n") * (1 - 1 / (1 + F.col("n_known")))).alias("p"))
-            .where(F.col("p") >= threshold)
-        )
-        votes = edges.join(patterns, "pattern").groupBy("inst", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
+        share = F.col("mass") / F.col("n") * (1 - 1 / (1 + F.col("n_known")))
+        patterns = cut(mass.where(F.col("n_known") >= support).join(size, "pattern").select("pattern", "k", share.alias("p")).where(F.col("p") >= threshold))
+        told = edges.join(small(patterns, patterns.count()), "pattern")
+        votes = told.groupBy("inst", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
         best = votes.groupBy("inst").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("x")).select("inst", (-F.col("x.k")).alias("k"), F.col("x.score").alias("score"))
-        now = cut(best.where(F.col("score") >= threshold).join(seeds, "inst", "left_anti"))
-        n = now.count()
-        if n == (found.count() if found is not None else 0):
-            return now if n else None
-        found = now
-        known = seeds.union(now)
+        now = cut(best.where(F.col("score") >= threshold).join(known, "inst", "left_anti"))
+        if now.isEmpty():
+            return found
+        found = now if found is None else found.union(now)
+        known = seeds.union(found)
+    logging.getLogger(__name__).warning("bootstrapping did not settle in %d rounds", rounds)
     return found
 
 
-def personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, threshold: float = 0.6) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int = 20, support: int = 3, threshold: float = 0.6) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered of every row.
 
     A null text is an empty one. Repeated rows are looked at each for itself; equal instances count once for the
-    patterns, however often they occur. Spans that several kinds match are listed for each. Other columns are not read.
+    patterns, however often they occur. Spans that several kinds match are listed for each. A text of any length is read
+    whole. An empty table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), stretches(text).alias("near")))

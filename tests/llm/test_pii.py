@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnfold.llm import pii
 
@@ -58,7 +61,7 @@ def test_edge_cases(make):
     assert pii.personal_data(make([])).count() == 0
 
 
-@pytest.mark.parametrize("text", ["1" * 15_000, "1 " * 60_000, "a" * 20_000, "a." * 10_000 + "@", "1." * 10_000, "+1 (" * 30_000, "x@" * 50_000, "-" * 20_000, "a@b.c " * 2_000])
+@pytest.mark.parametrize("text", ["1" * 15_000, "1 " * 60_000, "a" * 20_000, "a." * 10_000 + "@", "1." * 10_000, "+1 (" * 30_000, "x@" * 50_000, "-" * 20_000, "a@b.c " * 2_000, "+1 613 555 8758, " * 9_000, "a at b dot c " * 9_000])
 def test_long_and_hostile_texts(make, text):
     check(make([(1, text)]))
 
@@ -73,3 +76,64 @@ def test_contexts_find_what_the_patterns_miss(make):
     kind, s, e = out[100].spans.split(":")
     assert kind == "email" and text[int(s) : int(e)] == "user77(at)secret.org"
     assert out[101].n_discovered == 0
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 20_000):
+        r = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).toDF("x").select(pii.sums_before(F.col("x")).alias("y")).first()
+        assert r.y == [k * (k + 1) // 2 for k in range(n)]
+
+
+def test_very_many_matches_take_time_in_proportion(make):
+    """Five times the addresses, at most five times the time (and some more for the noise of a shared machine)."""
+
+    def seconds(n):
+        docs = make([(1, "a@b.c " * n)])
+        start = time.time()
+        assert pii.personal_data(docs).first().n_email == n
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(170_000) <= 5 * seconds(34_000) + 5
+
+
+def planted():
+    """(known, hidden, other) documents: seeds in 8 contexts, unseen identifiers in the same, and numbers and words in others."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    email = ["please write to {} for more", "contact: {} or the front desk", "my e-mail is {}, thanks", "Reply-To: {} (private)"]
+    phone = ["you can call me at {} after noon", "Tel.: {} ask for the office"]
+    ip = ["login failed from host {} port open", "client_ip={} status ok"]
+    seeds = lambda kind: {"email": f"{word()}{digits(2)}@{word()}.org", "phone": f"+1 {digits(3)} {digits(3)} {digits(4)}", "ip": f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}"}[kind]
+    unseen = {
+        "email": [lambda: f"{word()}(at){word()}.org", lambda: f"{word()} at {word()} dot org", lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()}{digits(2)}@{word()}"],
+        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}/{digits(7)}", lambda: f"0{digits(3)} {digits(6)}"],
+        "ip": [lambda: f"fe80-{digits(4)}-{digits(4)}", lambda: f"10.{digits(2)}.{digits(2)}.x{digits(1)}"],
+    }
+    known, hidden, other = [], [], []
+    for kind, frames in (("email", email), ("phone", phone), ("ip", ip)):
+        for f in frames:
+            for _ in range(60):
+                known.append(f"{word()} {word()} " + f.format(seeds(kind)) + f" {word()}")
+            for k in range(30):
+                what = unseen[kind][k % len(unseen[kind])]()
+                hidden.append((f"{word()} {word()} " + f.format(what) + f" {word()}", kind, what))
+    frames = ["in the year {} we met", "about {} sheep were seen", "meet me at {} sharp", "room {} is free", "we looked at {} dot prints", "version {} of it", "see page {} for more"]
+    for f in frames:
+        other += [f"{word()} " + f.format(digits(rng.choice([2, 4, 7]))) + f" {word()}" for _ in range(40)]
+    return known, hidden, other
+
+
+def test_recall_of_planted_unseen_identifiers(make):
+    """240 identifiers that no base pattern matches, of three kinds and nine forms, among seeds and plain numbers."""
+    known, hidden, other = planted()
+    texts = [*known, *[t for t, *_ in hidden], *other]
+    out = {r.doc_id: r for r in pii.personal_data(make(list(enumerate(texts)))).collect()}
+    caught = 0
+    for k, (t, kind, what) in enumerate(hidden, len(known)):
+        s = t.index(what)
+        caught += f"{kind}:{s}:{s + len(what)}" in out[k].spans.split(",")
+    wrong = sum(out[k].n_discovered for k in range(len(texts)) if k < len(known) or k >= len(known) + len(hidden))
+    print(f"recall {caught / len(hidden):.3f} of {len(hidden)}, {wrong} spans in {len(known) + len(other)} documents without any")
+    assert len(hidden) == 240 and caught >= 0.9 * len(hidden) and wrong <= 0.01 * len(texts)
