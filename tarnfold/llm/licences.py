@@ -37,7 +37,7 @@ VOCABULARY = 8192
 #: Lines of the corpus that teach the class `none`, at most.
 SAMPLE = 5000
 SHINGLE, SHARED = 5, 0.8
-#: A line looks like a licence if `none` has no more probability than this.
+#: A line looks like a licence if `none` has no more probability than this; one that does not is `none` unless a template confirms it.
 NONE_MOST = 0.1
 #: A line with a hint that shares less than this of its shingles with the templates is of no family.
 FOREIGN = 0.3
@@ -133,18 +133,18 @@ class Model:
         self.fit, self.temperature, self.bound, self.telling = fit, temperature, bound, fit.telling
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """rows (with array ws) with label and probability."""
+        """rows (with array ws) with label, probability, and looks: whether they look like a licence."""
         def best(raw: Column) -> Column:
             top_ = F.array_max(raw)
             total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + F.exp((x - top_) / self.temperature))
             none = F.exp((F.element_at(raw, 1) - top_) / self.temperature) / total
-            label = F.when(none > NONE_MOST, NONE).otherwise(F.element_at(names, F.array_position(raw, top_).cast("int")))
-            return F.struct((1 / total).alias("probability"), label.alias("label"))
+            label = F.element_at(names, F.array_position(raw, top_).cast("int"))
+            return F.struct((1 / total).alias("probability"), label.alias("label"), (none <= NONE_MOST).alias("looks"))
 
         names = F.array(*map(F.lit, self.fit.classes))
         scored = self.fit.raw(rows).withColumn("_raw", vector_to_array("rawPrediction"))
         one = F.get(F.transform(F.array("_raw"), best), F.lit(0))
-        return scored.withColumn("_best", one).withColumns({"probability": F.col("_best.probability"), "label": F.col("_best.label")}).drop("rawPrediction", "_raw", "_best")
+        return scored.withColumn("_best", one).withColumns({"probability": F.col("_best.probability"), "label": F.col("_best.label"), "looks": F.col("_best.looks")}).drop("rawPrediction", "_raw", "_best")
 
 
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
@@ -241,6 +241,7 @@ def paragraphs(lines: DataFrame, model: Model) -> DataFrame:
     return (
         scored.join(F.broadcast(own), F.col("label") == F.col("family"), "left")
         .withColumn("confirmed", confirmed)
+        .where(F.col("looks") | F.col("confirmed"))
         .withColumn("family", F.when((F.col("probability") >= model.bound) | F.col("confirmed"), F.col("label")).otherwise(UNKNOWN))
         .select("row", "line", "family", F.round("probability", 6).alias("probability"), "confirmed")
     )
