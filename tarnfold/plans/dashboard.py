@@ -162,14 +162,14 @@ def plot_neighbours(spark, d):
     return evals.neighbours(p, 3, 6)
 
 
-CONFIGS = "o AS (SELECT p_name || p_partkey AS name, p_brand AS config FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS config FROM part WHERE p_partkey % 4 <> 0)"
+CONFIGS = "o AS (SELECT p_name || p_partkey AS name, p_brand AS config FROM part WHERE p_size < 30), n AS (SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS config FROM part WHERE p_size > 20)"
 
 
 @query("config_changes", f"WITH {CONFIGS} SELECT coalesce(o.name, n.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' WHEN o.config IS NOT DISTINCT FROM n.config THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.name = n.name")
 def config_changes(spark, d):
     p = table(spark, d, "part").withColumn("name", F.concat("p_name", "p_partkey"))
-    old = p.where("p_partkey % 3 <> 0").select("name", F.col("p_brand").alias("config"))
-    new = p.where("p_partkey % 4 <> 0").select("name", F.expr("CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END").alias("config"))
+    old = p.where("p_size < 30").select("name", F.col("p_brand").alias("config"))
+    new = p.where("p_size > 20").select("name", F.expr("CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END").alias("config"))
     return evals.config_changes(old, new)
 
 

@@ -203,18 +203,19 @@ def history_search(spark, d):
     return history.of_workspace(rows, "1-URGENT").orderBy(*history.order_of("mostExpensive")).limit(50).select("id", F.col("total_cost").alias("cost"))
 
 
-@query("merged_store", "SELECT coalesce(a.p_partkey, b.p_partkey) AS id, coalesce(b.p_name, a.p_name) AS name, coalesce(b.p_size, a.p_size) AS size FROM (SELECT * FROM part WHERE p_partkey % 3 > 0) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END AS p_name, p_size + 1 AS p_size FROM part WHERE p_partkey % 5 = 0) b ON a.p_partkey = b.p_partkey")
+@query("merged_store", "SELECT coalesce(a.p_partkey, b.p_partkey) AS id, coalesce(b.p_name, a.p_name) AS name, coalesce(b.p_size, a.p_size) AS size FROM (SELECT * FROM part WHERE p_size < 30) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END AS p_name, p_size + 1 AS p_size FROM part WHERE p_size > 20) b ON a.p_partkey = b.p_partkey")
 def merged_store(spark, d):
     p = table(spark, d, "part")
-    rows = p.where("p_partkey % 3 > 0").selectExpr("p_partkey AS id", "p_name AS name", "p_size AS size")
-    changes = p.where("p_partkey % 5 = 0").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END AS name", "p_size + 1 AS size")
+    rows = p.where("p_size < 30").selectExpr("p_partkey AS id", "p_name AS name", "p_size AS size")
+    changes = p.where("p_size > 20").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END AS name", "p_size + 1 AS size")
     return history.merge_rows(rows, changes)
 
 
-@query("reconciled_store", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN 'stored' ELSE 'disk' END AS origin FROM part WHERE p_partkey % 4 > 0")
+@query("reconciled_store", "SELECT p_partkey AS id, CASE WHEN p_size < 30 THEN 'stored' ELSE 'disk' END AS origin FROM part WHERE p_size > 20")
 def reconciled_store(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    return history.reconcile(p.where("id % 3 > 0").withColumn("origin", F.lit("stored")), p.where("id % 4 > 0").withColumn("origin", F.lit("disk")))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    stored, disk = p.where("p_size < 30").withColumn("origin", F.lit("stored")), p.where("p_size > 20").withColumn("origin", F.lit("disk"))
+    return history.reconcile(stored.drop("p_size"), disk.drop("p_size"))
 
 
 @query("lifecycle_states", f"WITH {EVENTS}, f AS (SELECT task_id, min(seq) FILTER (type = 'purchase') AS p, min(seq) FILTER (type = 'signup') AS s FROM log GROUP BY 1) SELECT task_id, s AS seq, 'running' AS state FROM f WHERE s IS NOT NULL AND (p IS NULL OR s < p) UNION ALL SELECT task_id, p, 'finished' FROM f WHERE p IS NOT NULL")

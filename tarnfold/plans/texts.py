@@ -197,18 +197,25 @@ def tag_list(spark, d):
     return table(spark, d, "part").select(F.explode(F.array("p_brand", "p_type")).alias("tag")).distinct().orderBy("tag")
 
 
-@query("hash_diff", "WITH k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0), f AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0) SELECT coalesce(k.doc_id, f.doc_id) AS path, CASE WHEN k.doc_id IS NULL THEN 'new' WHEN f.doc_id IS NULL THEN 'deleted' WHEN k.h = f.h THEN 'same' ELSE 'modified' END AS state FROM k FULL JOIN f ON k.doc_id = f.doc_id")
+# Two states of the table, of all documents: each is in one or both, and those in Spanish have changed.
+STATES = "o AS (SELECT doc_id, text FROM documents WHERE coalesce(lang, '') <> 'de'), n AS (SELECT doc_id, CASE WHEN lang = 'es' THEN text || '!' ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'fr')"
+
+
+def states(spark, d) -> tuple[DataFrame, DataFrame]:
+    changed = F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs(spark, d).where("coalesce(lang, '') <> 'de'").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return old, docs(spark, d).where("coalesce(lang, '') <> 'fr'").select(F.col("doc_id").alias("path"), changed.alias("content"))
+
+
+@query("hash_diff", f"WITH {STATES} SELECT coalesce(o.doc_id, n.doc_id) AS path, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN sha256(o.text) = sha256(n.text) THEN 'same' ELSE 'modified' END AS state FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def hash_diff(spark, d):
-    f = files(spark, d)
-    known = f.where("path % 5 <> 0").select("path", index.file_hash(F.when(F.col("path") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).alias("file_hash"))
-    return index.hash_diff(known, f.where("path % 7 <> 0").select("path", index.file_hash(F.col("content")).alias("file_hash")))
+    known, found_ = (x.select("path", index.file_hash(F.col("content")).alias("file_hash")) for x in states(spark, d))
+    return index.hash_diff(known, found_)
 
 
-@query("snapshot_diff", "WITH o AS (SELECT doc_id, text FROM documents WHERE doc_id % 4 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0) SELECT coalesce(o.doc_id, n.doc_id) AS path, md5(coalesce(o.text, '')) AS before, md5(coalesce(n.text, '')) AS after FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.text IS DISTINCT FROM n.text")
+@query("snapshot_diff", f"WITH {STATES} SELECT coalesce(o.doc_id, n.doc_id) AS path, md5(coalesce(o.text, '')) AS before, md5(coalesce(n.text, '')) AS after FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.text IS DISTINCT FROM n.text")
 def snapshot_diff(spark, d):
-    f = files(spark, d)
-    new = f.where("path % 5 <> 0").withColumn("content", F.when(F.col("path") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
-    return search.snapshot_diff(f.where("path % 4 <> 0"), new).select("path", F.md5(F.col("before").cast("binary")).alias("before"), F.md5(F.col("after").cast("binary")).alias("after"))
+    return search.snapshot_diff(*states(spark, d)).select("path", F.md5(F.col("before").cast("binary")).alias("before"), F.md5(F.col("after").cast("binary")).alias("after"))
 
 
 @query("collection_names", "SELECT doc_id, 'ws-' || left(sha256(source), 16) AS name FROM documents")
@@ -228,21 +235,27 @@ def token_batches(spark, d):
     return index.batches(items, "tokens", 100_000, 8191, "source", "range")
 
 
-QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+def nearest_sql(k: int, least: float, where: str) -> str:
+    return (
+        f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND {where}), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS n FROM s WHERE round(s, 9) >= {least}) SELECT query_id, vec_id, round(s, 4) AS score FROM r WHERE n <= {k}"
+    )
 
 
-def query_vector(spark, d):
-    return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+def nearest(spark, d, k: int, least: float, where: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    hits = index.vector_search_all(e.where(where), e.where("vec_id % 20 = 0"), "vec_id", k, least)
+    return hits.select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
-@query("vector_topk", f"SELECT vec_id, round(s, 4) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {QUERY_VECTOR}::DOUBLE[]) AS s FROM embeddings) WHERE s >= 0.1 ORDER BY s DESC LIMIT 20")
+@query("vector_topk", nearest_sql(20, 0.1, "true"))
 def vector_topk(spark, d):
-    return index.vector_search(table(spark, d, "embeddings"), query_vector(spark, d), 20, 0.1).select("vec_id", F.round("score", 4).alias("score"))
+    return nearest(spark, d, 20, 0.1, "true")
 
 
-@query("vector_topk_filtered", f"SELECT vec_id, round(s, 4) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {QUERY_VECTOR}::DOUBLE[]) AS s FROM embeddings WHERE label = 3) WHERE s >= 0.0 ORDER BY s DESC LIMIT 10")
+@query("vector_topk_filtered", nearest_sql(10, 0.0, "e.label = 3"))
 def vector_topk_filtered(spark, d):
-    return index.vector_search(table(spark, d, "embeddings"), query_vector(spark, d), 10, 0.0, F.col("label") == 3).select("vec_id", F.round("score", 4).alias("score"))
+    return nearest(spark, d, 10, 0.0, "label = 3")
 
 
 @query("markdown_sections", f"WITH {LINES}, h AS (SELECT doc_id, line_no, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt, max_line FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS max_line FROM lines) WHERE regexp_matches(line, '^[A-ZÉÈÑÄÖÜ][^ ]*\\.$')) SELECT doc_id AS path, CAST(line_no AS INTEGER) AS start, CAST(coalesce(nxt - 1, max_line) AS INTEGER) AS \"end\" FROM h")
