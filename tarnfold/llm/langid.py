@@ -101,8 +101,8 @@ def fit(docs: DataFrame, places: int = PLACES, centroids: int = CENTROIDS, sampl
     idf = np.log((1 + n) / (1 + df)) + 1
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     share = labelled.sparkSession.createDataFrame([(k, min(1.0, sample / v)) for k, v in sizes.items()] or [("", 0.0)], "lang string, share double")
-    # a share of the hashes: each language's group stays near `sample` rows, however many it has
-    picked = labelled.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # a share of the hashes: each language's group stays near `sample` rows, however many it has; copies of a row count once
+    picked = labelled.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).dropDuplicates(["lang", "h"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = [c for t in pdf.sort_values(["h", "text"])["text"] if (c := ngrams(t, places)) is not None]
@@ -143,6 +143,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     """Learn from the rows that are not held out, predict all.
 
     A null text and one without a letter are `und` with score 0 and rejected, as all texts are where no row has a
-    lang. A null doc_id is not held out. Repeated rows count as often as they occur. Only text decides a prediction.
+    lang. A null doc_id is not held out. Repeated rows count as often as they occur for document frequencies, and once for
+    centroids. A text of any length is read whole, in steps. An empty table gives no rows. Only text decides a prediction.
     """
     return predict(docs, fit(docs.where(~held_out(F.col("doc_id"))), **options))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut, kept, shared_dir
+from tarnfold.llm.common import cut, drop, kept, shared_dir
 
 MAGIC = 0x54464E31
 NULL_ID = -(1 << 63)
@@ -187,5 +187,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Write the files into the shared folder and read them back."""
-    return read_tokens(write_tokens(docs, tokenizer_path, f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}", **options))
+    """Write the files into a folder of the shared one, read them back, and delete them.
+
+    Rows and null values are as in write_tokens(). A text of any length is one document; an empty table gives no rows.
+    Columns other than doc_id and text are not read.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = cut(read_tokens(write_tokens(docs, tokenizer_path, folder, **options)))
+    drop(spark, folder)
+    return out

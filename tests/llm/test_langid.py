@@ -1,3 +1,5 @@
+import math
+import re
 import unicodedata
 import zlib
 
@@ -44,3 +46,32 @@ def test_k_means_finds_clusters():
     x = langid.unit(np.concatenate([np.eye(5)[i] + 0.05 * rng.random((40, 5)) for i in range(3)]))
     c, bound = langid.fit_language(x, 3)
     assert len(c) == 3 and bound > 0.95 and sorted(np.abs(c).argmax(axis=1)) == [0, 1, 2]
+
+
+def test_predictions_against_brute_force(small):
+    """Counts of n-grams from Python strings, weights and cosines one by one, for each text and centroid."""
+    model = langid.fit(small.where(~langid.held_out(small.doc_id)), sample=100)
+    places, mask = len(model["idf"]), (1 << 64) - 1
+
+    def counts(text):
+        s = " " + re.sub(" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "").strip()) + " "
+        out = [0] * places
+        for i in range(len(s)):
+            one = ord(s[i]) * 0x9E3779B97F4A7C15 & mask
+            hashes = [one]
+            if i + 1 < len(s):
+                two = ((one ^ (ord(s[i + 1]) * 0xC2B2AE3D27D4EB4F & mask)) * 0x165667B19E3779F9) & mask
+                hashes.append(two)
+                if i + 2 < len(s):
+                    hashes.append(((two ^ (ord(s[i + 2]) * 0x27D4EB2F165667C5 & mask)) * 0x9E3779B97F4A7C15) & mask)
+            for h in hashes:
+                out[(h >> 33) % places] += 1
+        return out
+
+    rows = small.collect()[:60]
+    got = {r.doc_id: r for r in langid.predict(small, model).collect()}
+    for r in rows:
+        x = [n * w for n, w in zip(counts(r.text), model["idf"], strict=True)]
+        size = math.sqrt(sum(v * v for v in x))
+        cos = [sum(v / size * c for v, c in zip(x, centre, strict=True)) for centre in model["centroids"]]
+        assert got[r.doc_id].lang_pred == model["langs"][cos.index(max(cos))] and abs(got[r.doc_id].score - max(cos)) < 1e-6
