@@ -120,11 +120,13 @@ def longest_prefix(commands: DataFrame, rules: DataFrame) -> DataFrame:
     """command, decision: of the longest rule (prefix, allow) that the command begins with, caseless; `*` counts as
     length 1; on a tie deny wins; without a rule ask. Commands without any rule stay.
 
-    Rules are looked up by the command's own prefixes, an equi-join: the work follows the commands, not commands x rules.
+    Rules are looked up by the command's own prefixes of the lengths that rules have, an equi-join: the work follows the
+    commands, not commands x rules, and a long command is not spelled out.
     """
-    low = F.lower(F.col("command"))
-    own = commands.distinct().withColumn("_p", F.explode(F.concat(F.array(F.lit("*")), F.when(F.length(low) > 0, F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.left(low, n))).otherwise(F.array().cast("array<string>")))))
-    r = rules.select(F.lower("prefix").alias("_p"), "allow").distinct()
+    low, r = F.lower(F.col("command")), rules.select(F.lower("prefix").alias("_p"), "allow").distinct()
+    lengths = sorted(x[0] for x in r.where("_p is not null and _p <> ''").select(F.length("_p")).distinct().collect())
+    cuts = F.array(F.lit("*"), *[F.when(F.length(low) >= n, F.left(low, F.lit(n))) for n in lengths])
+    own = commands.distinct().withColumn("_p", F.explode(F.array_distinct(F.array_compact(cuts))))
     best = own.join(r, "_p").groupBy("command").agg(F.max(F.struct(F.length("_p").alias("n"), (~F.col("allow")).alias("deny"))).alias("x"))
     found = commands.distinct().join(best, "command", "left")
     return found.select("command", F.when(F.col("x").isNull(), "ask").when(F.col("x.deny"), "deny").otherwise("approve").alias("decision"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.session import cut
 
+
 class RecordNotFound(LookupError):
     """A point lookup found no row."""
 
@@ -215,7 +217,10 @@ def failed_logs(tasks: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """A table of Parquet versions in one folder: a write makes a new version, then moves the pointer; readers see whole ones."""
+    """A table of Parquet versions in one folder: a write claims a new version; readers see the last whole one.
+
+    Of two writers at the same time that want the same version, one gets it, and the other fails.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
@@ -236,9 +241,11 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v{v[-1]}")
 
     def write(self, df: DataFrame) -> None:
-        """A version counts once Spark's committer has marked it as complete."""
-        v = self.versions()
-        df.write.mode("overwrite").parquet(f"{self.path}/v{(v[-1] if v else 0) + 1}")
+        """A version counts once Spark's committer has marked it as complete. A claim stays, so a failed write's number is not used again."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.folder)] if self.fs.exists(self.folder) else []
+        version = 1 + max([int(n.lstrip(".v")) for n in names if re.fullmatch(r"\.?v\d+", n)], default=0)
+        self.fs.create(self.join(f".v{version}"), False).close()  # fails if it is there
+        df.write.parquet(f"{self.path}/v{version}")
         for old in self.versions()[: -self.keep]:
             self.fs.delete(self.join(f"v{old}"), True)
 

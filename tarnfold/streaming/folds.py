@@ -11,6 +11,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnfold.functions.sequential import delta
@@ -19,18 +20,27 @@ Fold = Callable[[Any, dict], tuple[Any, list[tuple]]]
 
 
 def replay(log: DataFrame, keys: list[str], fold: Fold, schema: str, start: Any = None, order: str = "seq") -> DataFrame:
-    """The fold's outputs over a whole log, key by key: keys, then the schema's columns."""
+    """The fold's outputs over a whole log, key by key: keys, then the schema's columns.
+
+    A key's events stream in order through one task, which holds its state and a batch of events, however many there are.
+    """
     names = keys + [c.split()[0] for c in schema.split(", ")]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = json.loads(json.dumps(start)), []
-        for event in pdf.sort_values(order).to_dict("records"):
-            state, rows = fold(state, event)
-            out += [(*key, *r) for r in rows]
-        return pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for b in batches:
+            out = []
+            for event in b.to_dict("records"):
+                key = tuple(None if pd.isna(event[k]) else event[k] for k in keys)
+                if key != last:
+                    last, state = key, json.loads(json.dumps(start))
+                state, rows = fold(state, event)
+                out += [(*key, *r) for r in rows]
+            yield pd.DataFrame(out, columns=names)
 
     types = dict(log.dtypes)
-    return log.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {types[k]}" for k in keys]) + ", " + schema)
+    ordered = log.repartition(*keys).sortWithinPartitions(*keys, F.col(order).asc_nulls_last())
+    return ordered.mapInPandas(run, ", ".join([f"{k} {types[k]}" for k in keys]) + ", " + schema)
 
 
 def follow(stream: DataFrame, keys: list[str], fold: Fold, schema: str, start: Any = None, order: str = "seq", idle_ms: int | None = None) -> DataFrame:
