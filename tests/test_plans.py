@@ -26,9 +26,16 @@ def test_no_shuffle_where_rows_stand_alone(spark):
 
 
 def test_top_k_is_no_sort(spark):
-    for name in ("vector_topk", "vector_topk_filtered", "history_search"):
+    p = plan(spark, "history_search")
+    assert "TakeOrderedAndProject" in p and "Exchange" not in p.split("TakeOrderedAndProject")[1]
+
+
+def test_top_k_of_many_queries_cuts_before_it_exchanges(spark):
+    """Tasks send their best points a query only: nothing but those crosses the one exchange."""
+    for name in ("vector_topk", "vector_topk_filtered"):
         p = plan(spark, name)
-        assert "TakeOrderedAndProject" in p and "Exchange" not in p.split("TakeOrderedAndProject")[1], name
+        below = p.split("Exchange")
+        assert len(below) == 2 and "MapInArrow" in below[1] and "WindowGroupLimit" in p, name
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - {"tree_costs"}))
