@@ -48,20 +48,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def once(x: Column, over) -> Column:
+    """over(x), with x worked out once: inside a lambda, an expression is worked out again for each element."""
+    return F.get(F.transform(F.array(x), over), F.lit(0))
+
+
 def grams(ws: str) -> Column:
     """The 1-, 2- and 3-grams of an array column."""
 
-    def of(n: int) -> Column:
-        one = lambda i: F.array_join(F.slice(ws, i, n), " ")
-        return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), one)).otherwise(F.array().cast("array<string>"))
+    def of(w: Column, n: int) -> Column:
+        one = lambda i: F.array_join(F.slice(w, i, n), " ")
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), one)).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in (1, 2, 3)])
+    return once(F.col(ws), lambda w: F.concat(*[of(w, n) for n in (1, 2, 3)]))
 
 
 def shingles(ws: str) -> Column:
     """Hashes of the 5-word shingles; of the whole, where it is shorter."""
-    one = lambda i: F.xxhash64(F.array_join(F.slice(ws, i, SHINGLE), " "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - SHINGLE + 1, F.lit(1))), one))
+
+    def of(w: Column) -> Column:
+        one = lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " "))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), one))
+
+    return once(F.col(ws), of)
 
 
 def pieces(spark: SparkSession) -> DataFrame:
@@ -88,7 +97,7 @@ def shares(all_sh: str, ws: str) -> Column:
     def over(own: Column) -> Column:
         return F.array_max(F.transform(all_sh, lambda t: F.size(F.array_intersect(t, own)) / F.least(F.size(t), F.size(own))))
 
-    return F.get(F.transform(F.array(shingles(ws)), over), F.lit(0))
+    return once(shingles(ws), over)
 
 
 def is_telling(word: str, ordinary: set[str]) -> bool:
@@ -143,8 +152,7 @@ class Model:
 
         names = F.array(*map(F.lit, self.fit.classes))
         scored = self.fit.raw(rows).withColumn("_raw", vector_to_array("rawPrediction"))
-        one = F.get(F.transform(F.array("_raw"), best), F.lit(0))
-        return scored.withColumn("_best", one).withColumns({"probability": F.col("_best.probability"), "label": F.col("_best.label"), "looks": F.col("_best.looks")}).drop("rawPrediction", "_raw", "_best")
+        return scored.withColumn("_best", once(F.col("_raw"), best)).withColumns({"probability": F.col("_best.probability"), "label": F.col("_best.label"), "looks": F.col("_best.looks")}).drop("rawPrediction", "_raw", "_best")
 
 
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
@@ -235,7 +243,8 @@ def candidates(docs: DataFrame, model: Model) -> DataFrame:
 def paragraphs(lines: DataFrame, model: Model) -> DataFrame:
     """row, line, family, probability, confirmed of every candidate line that is no `none`."""
     spark = lines.sparkSession
-    scored = cut(model.score(lines.where("p is not null").withColumn("ws", words(F.col("p")))).where(F.col("label") != NONE).drop("p", "doc_id"))
+    # cut before the filter, which would otherwise take the whole score into itself
+    scored = cut(model.score(lines.where("p is not null").withColumn("ws", words(F.col("p")))).drop("p", "doc_id")).where(F.col("label") != NONE)
     own = templates(spark).groupBy("family").agg(F.collect_list("sh").alias("all"))
     confirmed = F.coalesce(shares("all", "ws") >= SHARED, F.lit(False))
     return (
