@@ -72,7 +72,8 @@ def places(docs: DataFrame, hashes: DataFrame, sizes: list[int], window: int, br
 
     docs: row, doc_id, key (of the text), text. hashes: the different hashes of all shingles. Few are broadcast, and
     every text is read once, in one stage. Many meet the texts' hashes by an exchange of hashes and positions alone;
-    then the places found meet their texts, by key. Either way the work is in proportion to the texts.
+    then the places found meet their texts, by key. Either way the work is in proportion to the texts: where words go
+    along, the hashes are made before they are exploded, as only then the explosion does not copy the words for each place.
     """
     every, size, pos = numbered(sizes)
     split_ = lambda rows: rows.withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words"))
@@ -80,7 +81,8 @@ def places(docs: DataFrame, hashes: DataFrame, sizes: list[int], window: int, br
         # a place after all others, whose hash is 0, stands for the document
         end = F.array(F.lit(0).cast("bigint"))
         keys = hashes.union(docs.sparkSession.range(1).select("id")).distinct()
-        each = split_(docs).select("row", "doc_id", "key", "n_words", "words", F.posexplode(F.concat(every, end)).alias("_at", "hash"))
+        each = split_(docs).withColumn("_all", every)
+        each = each.select("row", "doc_id", "key", "n_words", "words", F.size("_all").alias("_n"), F.posexplode(F.concat("_all", end)).alias("_at", "hash"))
         met = each.join(F.broadcast(keys), "hash").withColumn("k", size).withColumn("pos", pos)
         return with_around(met, window)
     each = split_(docs).select("key", "n_words", F.posexplode(every).alias("_at", "hash"))
