@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import chat, decontam, langid, licences, mixing, pii, quality, sharding, simhash, tokens
-from tarnfold.llm.common import table
+from tarnfold.llm import chat, decontam, langid, licences, merkle, mixing, pii, quality, sharding, simhash, tokens
+from tarnfold.llm.common import LOWER, UPPER, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=merkle.lowered_third(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licences": op2_licences,
@@ -66,9 +71,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op13_merkle": op13_merkle,
 }
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 ESCAPED = lambda c: f"(length({c}) + length({c}) - length(replace(replace(replace(replace({c}, chr(92), ''), '<', ''), '>', ''), '\"', '')))"
+
+
+def merkle_sql(lang_levels: int = 8, top_levels: int = 3) -> str:
+    """Trees of up to 8 ** lang_levels rows a lang and 8 ** top_levels langs, level by level: runs, nodes, and folds of rows."""
+
+    def climb(by: str, levels: int) -> list[str]:
+        parts = []
+        for k in range(levels):
+            parts.append(f"{by}r{k} AS (SELECT g, i // 8 AS i, n, string_agg(h, '' ORDER BY i) AS run FROM {by}n{k} WHERE n > 1 GROUP BY g, i // 8, n)")
+            parts.append(f"{by}n{k + 1} AS (SELECT g, i, sha256(run) AS h, (n + 7) // 8 AS n FROM {by}r{k} UNION ALL SELECT g, 0, h, 1 FROM {by}n{k} WHERE n = 1)")
+            own, rest = "64 * (f.i % 8)", "left(run, {0}) || {1}substr(run, {0} + 65)"
+            parts.append(
+                f"{by}f{k + 1} AS (SELECT doc_id, lang, f.g, f.i // 8 AS i, CASE WHEN run IS NULL THEN cur ELSE sha256({rest.format(own, 'cur || ')}) END AS cur, "
+                f"sib || coalesce({rest.format(own, '')}, '') AS sib FROM {by}f{k} f LEFT JOIN {by}r{k} r ON f.g IS NOT DISTINCT FROM r.g AND f.i // 8 = r.i)"
+            )
+        return parts
+
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"
+    low = f"translate(text, '{UPPER}', '{LOWER}')"
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    return ",\n".join(
+        [
+            f"WITH d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS now FROM documents)",
+            "l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+            "dn0 AS (SELECT lang AS g, i, leaf AS h, n FROM l)", "df0 AS (SELECT doc_id, lang, lang AS g, i, now AS cur, '' AS sib FROM l)",
+            *climb("d", lang_levels),
+            f"s AS (SELECT g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM dn{lang_levels})",
+            "tn0 AS (SELECT 0 AS g, i, h, n FROM s)", f"tf0 AS (SELECT doc_id, f.lang, 0 AS g, s.i, cur, sib FROM df{lang_levels} f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang)",
+            *climb("t", top_levels),
+        ]
+    ) + (
+        f"\nSELECT l.doc_id, l.lang, leaf, s.h AS subroot, r.h AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = r.h AS verified "
+        f"FROM l JOIN tf{top_levels} USING (doc_id) JOIN s ON l.lang IS NOT DISTINCT FROM s.lang, tn{top_levels} r"
+    )
+
+
 #: DuckDB SQL where it can express the query on whole tables.
 SQL: dict[str, str] = {
     "op5_decontamination": f"""
@@ -90,4 +133,5 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 sum({ESCAPED("role")} + {ESCAPED("text")} + 22)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op13_merkle": merkle_sql(),
 }
