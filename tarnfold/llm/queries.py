@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnfold.llm import chat, decontam, langid, licences, merkle, mixing, pii, quality, sharding, simhash, tokens
+from tarnfold.llm import chat, decontam, langid, licences, merkle, mixing, negatives, pii, quality, sharding, simhash, tokens, vectors
 from tarnfold.llm.common import LOWER, UPPER, table
 
 
@@ -55,6 +56,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(docs, tampered=merkle.lowered_third(docs))
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_vectors": op11_vectors,
+    "op12_negatives": op12_negatives,
     "op13_merkle": op13_merkle,
 }
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -133,5 +145,20 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 sum({ESCAPED("role")} + {ESCAPED("text")} + 22)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op11_vectors": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, b.r AS s FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT r, r AS s FROM v UNION SELECT reached.r, links.s FROM reached JOIN links ON reached.s = links.r),
+comp AS (SELECT reached.r, min(vec_id) AS component_id FROM reached JOIN v ON v.r = reached.s GROUP BY 1),
+n AS (SELECT r, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN comp USING (r) LEFT JOIN n USING (r)""",
+    "op12_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT a, b AS p, s AS ps FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b)::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM pos JOIN scored USING (a) WHERE NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= 10""",
     "op13_merkle": merkle_sql(),
 }
