@@ -5,17 +5,18 @@ groups after it; or words around a written-out "at" and "dot") stand the words b
 patterns, in three forms. Patterns and instances make a graph. A seed scores 1; a pattern scores by the share of its
 instances that is known to be of one kind, less where the evidence is thin; an instance scores by the patterns that
 extract it; and so on in rounds, until a round makes nothing known. What gets known in a round keeps its kind and
-score, and counts for its patterns in the next. Occurrences of what is known in the end, and not by the base, are the
-discovered spans. All of it is Spark expressions and joins.
+score, and counts for its patterns in the next, by FAITH times its score, so that a long chain of guesses carries little:
+a pattern has to hold by its seeds in the main. All its other instances, numbers of any length among them, count against
+it; and only what is shaped like its kind gets known. Occurrences of what is known in the end, and not by the base, are
+the discovered spans. All of it is Spark expressions and joins.
 
 The base patterns are written with possessive repeats and looks behind: they match the same spans as the plain ones,
 in time in proportion to the text and without deep recursion, whatever it holds. Where matches begin is summed up in
-blocks of blocks, so a text with very many of them takes time in proportion, too.
+blocks, so a text with very many of them takes time in proportion, too.
 """
 
 from __future__ import annotations
 
-import logging
 import operator
 from functools import partial
 
@@ -37,14 +38,27 @@ SIGN = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 #: An address spelled with a bracketed at, or with an at and a dot as words of their own.
 AT, DOT = r" ?[(\[{](?i:at)[)\]}] ?", r"(?: ?[(\[{](?i:dot)[)\]}] ?| (?i:dot) |\.)"
 SPELLED = rf"(?<![\p{{L}}0-9._-])[\p{{L}}0-9._-]++(?:{AT}[\p{{L}}0-9-]++(?:{DOT}[\p{{L}}0-9-]++)++| (?i:at) [\p{{L}}0-9-]++(?: (?i:dot) [\p{{L}}0-9-]++)++)"
-#: Or a word with a digit or @, then number groups after single spaces.
-STRETCH = SPELLED + r"|(?<![\p{L}0-9@._%+()/-])[\p{L}._%+()/-]*+[0-9@][\p{L}0-9@._%+()/-]*+(?: [(0-9][0-9()./-]*+)*+"
+#: Or a word with a digit or @, then number groups after single spaces, each with a digit at its start.
+STRETCH = SPELLED + r"|(?<![\p{L}0-9@._%+()/-])[\p{L}._%+()/-]*+[0-9@][\p{L}0-9@._%+()/-]*+(?: \(?[0-9][0-9()./-]*+)*+"
 STRETCH_SIGN = r"[0-9@]|[(\[{](?i:at)[)\]}]| (?i:dot) "
-TRIM = r"^[._%()/-]*+|[._%(/+-]++$"
+#: Marks before and after an instance are no part of it, nor are brackets around all of it; those around a part are.
+LEAD = r"^(?:[._%)/-]|\((?![^()]*\))|\((?=[^()]*\)[._%/+-]*$))*+"
+TAIL, TAIL_CLOSED = r"[._%(/+-]++$", r"[._%()/+-]++$"
+#: What an instance must look like to be taken for a kind: an at sign or a spelled one; several parts; or so many digits.
+SHAPES = {
+    "email": lambda inst, digits: inst.contains("@") | inst.rlike(r"[(\[{]at[)\]}]| at "),
+    "ip": lambda inst, digits: inst.rlike(r"[0-9a-f]+([.:-][0-9a-z]+){2}") & (digits >= 4),
+    "card": lambda inst, digits: digits.between(12, 19),
+    "phone": lambda inst, digits: digits.between(7, 15),
+}
+#: What a discovered instance counts for, against a seed.
+FAITH = 0.5
+#: Context words longer than this are compared by their digests.
+LONG_WORD = 64
 #: Elements that are folded at a time.
-BLOCK = 64
+BLOCK = 1024
 SPAN = "array<struct<s:int,k:int,e:int>>"
-STRETCHES = "array<struct<s:int,e:int,inst:string,l2:string,l1:string,r1:string,k:int>>"
+STRETCHES = "array<struct<s:int,e:int,inst:string,l2:string,l1:string,label:boolean,r1:string,k:int>>"
 
 
 def luhn(number: Column) -> Column:
@@ -70,11 +84,11 @@ def good(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def sums_before(values: Column, levels: int = 3) -> Column:
+def sums_before(values: Column, levels: int = 1) -> Column:
     """The sum of what stands before each element of an array of numbers.
 
-    A fold that grows an array copies it in each step, so only blocks are folded: of numbers, of sums of blocks, and of
-    sums of those. With blocks of BLOCK and three levels the work is in proportion up to some BLOCK ** 4 elements.
+    A fold that grows an array copies it in each step, so only blocks are folded: of numbers, and of sums of blocks. With
+    blocks of BLOCK and one level the work is in proportion up to some BLOCK ** 2 elements, and small beyond.
     """
     none = F.array().cast("array<int>")
 
@@ -135,52 +149,71 @@ def stretches(text: Column) -> Column:
     """Entity-like stretches with the words around them and, for those that hold a base span, its kind."""
 
     def make(s: Column, e: Column, m: Column, g: Column, h: Column) -> Column:
-        inst = F.regexp_replace(m, TRIM, "")
-        lead = F.length(F.regexp_extract(m, r"^[._%()/-]*+", 0))
         kind = F.lit(None).cast("int")
         for k, name in reversed(list(enumerate(KINDS))):
             kind = F.when(F.exists(F.regexp_extract_all(m, F.lit(BASE[name]), F.lit(0)), partial(good, name)), k).otherwise(kind)
-        left = F.lower(F.right(g, F.lit(80)))
-        word = lambda i: F.regexp_extract(left, r"(?:(\S++)\s++)?(\S++)\s*+$", i)
-        right = F.regexp_extract(F.lower(F.left(h, F.lit(40))), r"^\s*+(\S++)", 1)
-        return F.when(F.length(inst) >= 4, F.struct((s + lead).alias("s"), (s + lead + F.length(inst)).alias("e"), F.lower(inst).alias("inst"), word(1).alias("l2"), word(2).alias("l1"), right.alias("r1"), kind.alias("k")))
+        back = F.reverse(g)  # so that the last words are found from the front
+        last = F.lower(F.reverse(F.regexp_extract(back, r"^\s*+(\S++)", 1)))
+        second = F.lower(F.reverse(F.regexp_extract(back, r"^\s*+\S++\s++(\S++)", 1)))
+        after = F.lower(F.regexp_extract(h, r"^\s*+(\S++)", 1))
+        short = lambda w: F.when(F.length(w) > LONG_WORD, F.sha2(w, 256)).otherwise(w)
+
+        def cleaned(lead: Column) -> Column:
+            rest = F.substr(m, lead + 1)
+            inst = F.when(rest.contains("("), F.regexp_replace(rest, TAIL, "")).otherwise(F.regexp_replace(rest, TAIL_CLOSED, ""))
+            return F.struct((s + lead).alias("s"), inst.alias("inst"))
+
+        def span(x: Column) -> Column:
+            made = F.struct(
+                x["s"].alias("s"), (x["s"] + F.length(x["inst"])).alias("e"), F.lower(x["inst"]).alias("inst"), short(second).alias("l2"), short(last).alias("l1"),
+                last.rlike(r"[=:#]['\"(]*$").alias("label"), short(after).alias("r1"), kind.alias("k"),
+            )
+            return F.when(x["inst"] != "", made)
+
+        return once(once(F.length(F.regexp_extract(m, LEAD, 0)), cleaned), span)
 
     return F.when(text.rlike(STRETCH_SIGN), walk(text, STRETCH, make)).otherwise(F.array().cast(STRETCHES))
 
 
-def discover(seen: DataFrame, rounds: int, support: int, threshold: float) -> DataFrame | None:
+def shaped(kind: Column, inst: Column) -> Column:
+    digits = F.length(F.regexp_replace(inst, "[^0-9]", ""))
+    out = F.lit(False)
+    for k, name in enumerate(KINDS):
+        out = F.when(kind == k, SHAPES[name](inst, digits)).otherwise(out)
+    return out
+
+
+def discover(seen: DataFrame, support: int, threshold: float) -> DataFrame | None:
     """(inst, k) of what the contexts make known beyond the seeds; None where nothing is.
 
-    seen: inst, k (null if unknown), l2, l1, r1 of every stretch. A pattern counts from `support` known instances on,
-    and from the threshold on, a share of its different instances that is damped by its evidence. What is known only
-    grows, so the rounds end; should `rounds` of them not be enough, a warning says so.
+    seen: inst, k (null if unknown), l2, l1, label, r1 of every stretch. A pattern counts from `support` known instances
+    on, and from the threshold on, a share of its different instances that is damped by its evidence. What is known only
+    grows, so the rounds end by themselves.
     """
     forms = F.array(
         F.when(F.col("l2") != "", F.concat_ws("\0", F.lit("before"), "l2", "l1")),
-        F.when(F.col("l1").rlike(r"[=:#]['\"(]*$"), F.concat_ws("\0", F.lit("label"), "l1")),
+        F.when(F.col("label"), F.concat_ws("\0", F.lit("label"), "l1")),
         F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat_ws("\0", F.lit("around"), "l1", "r1")),
     )
     edges = cut(seen.select("inst", F.explode(forms).alias("pattern")).where("pattern is not null").distinct())
     size = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
     seeds = cut(seen.where("k is not null").groupBy("inst").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)))
     known, found = seeds, None
-    for _ in range(rounds):
+    while True:
         mass = edges.join(known, "inst").groupBy("pattern", "k").agg(F.sum("score").alias("mass"), F.count("*").alias("n_known"))
         share = F.col("mass") / F.col("n") * (1 - 1 / (1 + F.col("n_known")))
         patterns = cut(mass.where(F.col("n_known") >= support).join(size, "pattern").select("pattern", "k", share.alias("p")).where(F.col("p") >= threshold))
-        told = edges.join(small(patterns, patterns.count()), "pattern")
+        told = edges.join(small(patterns, patterns.count()), "pattern").where(shaped(F.col("k"), F.col("inst")))
         votes = told.groupBy("inst", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
         best = votes.groupBy("inst").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("x")).select("inst", (-F.col("x.k")).alias("k"), F.col("x.score").alias("score"))
         now = cut(best.where(F.col("score") >= threshold).join(known, "inst", "left_anti"))
         if now.isEmpty():
             return found
         found = now if found is None else found.union(now)
-        known = seeds.union(found)
-    logging.getLogger(__name__).warning("bootstrapping did not settle in %d rounds", rounds)
-    return found
+        known = seeds.union(found.withColumn("score", FAITH * F.col("score")))
 
 
-def personal_data(docs: DataFrame, rounds: int = 20, support: int = 3, threshold: float = 0.6) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 3, threshold: float = 0.6) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered of every row.
 
     A null text is an empty one. Repeated rows are looked at each for itself; equal instances count once for the
@@ -190,7 +223,7 @@ def personal_data(docs: DataFrame, rounds: int = 20, support: int = 3, threshold
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), stretches(text).alias("near")))
     each = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    new = discover(each, rounds, support, threshold)
+    new = discover(each, support, threshold)
     if new is None:
         out = rows.withColumn("more", F.array().cast(SPAN))
     else:

@@ -97,9 +97,9 @@ def test_very_many_matches_take_time_in_proportion(make):
     assert seconds(170_000) <= 5 * seconds(34_000) + 5
 
 
-def planted():
+def planted(seed):
     """(known, hidden, other) documents: seeds in 8 contexts, unseen identifiers in the same, and numbers and words in others."""
-    rng = random.Random(5)
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     email = ["please write to {} for more", "contact: {} or the front desk", "my e-mail is {}, thanks", "Reply-To: {} (private)"]
@@ -125,9 +125,10 @@ def planted():
     return known, hidden, other
 
 
-def test_recall_of_planted_unseen_identifiers(make):
+@pytest.mark.parametrize("seed", [5, 6])
+def test_recall_of_planted_unseen_identifiers(make, seed):
     """240 identifiers that no base pattern matches, of three kinds and nine forms, among seeds and plain numbers."""
-    known, hidden, other = planted()
+    known, hidden, other = planted(seed)
     texts = [*known, *[t for t, *_ in hidden], *other]
     out = {r.doc_id: r for r in pii.personal_data(make(list(enumerate(texts)))).collect()}
     caught = 0
@@ -136,4 +137,82 @@ def test_recall_of_planted_unseen_identifiers(make):
         caught += f"{kind}:{s}:{s + len(what)}" in out[k].spans.split(",")
     wrong = sum(out[k].n_discovered for k in range(len(texts)) if k < len(known) or k >= len(known) + len(hidden))
     print(f"recall {caught / len(hidden):.3f} of {len(hidden)}, {wrong} spans in {len(known) + len(other)} documents without any")
-    assert len(hidden) == 240 and caught >= 0.9 * len(hidden) and wrong <= 0.01 * len(texts)
+    assert len(hidden) == 240 and caught >= 0.95 * len(hidden) and wrong <= 0.01 * len(texts)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call (560) 484-7883 now", "(560) 484-7883"), ("mail w99@w (private)", "w99@w"), ("mail (w99@w) now", "w99@w"), ("at (12) (34", "(12) (34"), ("see ((5) it", "5"), ("x (a1", "a1"),
+        ("about 7 of", "7"), ("call 0123 456789, or", "0123 456789"), ("on 10.23.45.x7.", "10.23.45.x7"), ("to jo(at)ex.org for", "jo(at)ex.org"), ("%%--", None),
+    ],
+)
+def test_what_an_instance_is(spark, text, want):
+    near = spark.createDataFrame([(text,)], "text string").select(pii.stretches(F.col("text")).alias("x")).first().x
+    assert [text[r.s : r.e] for r in near] == ([want] if want else [])
+
+
+def test_context_words_of_any_length(spark):
+    """The words around stand whatever comes between; a long one is known by its digest."""
+    far = "a" * 5000
+    text = f"Mail  {far}:{' ' * 3000}x1@y{' ' * 3000}{far} z"
+    (r,) = spark.createDataFrame([(text,)], "text string").select(pii.stretches(F.col("text")).alias("x")).first().x
+    assert (r.l2, r.l1, r.label, r.r1) == ("mail", hashlib.sha256(f"{far}:".encode()).hexdigest(), True, hashlib.sha256(far.encode()).hexdigest())
+
+
+def brute_graph(seen, support, threshold):
+    """{inst: kind} of what the rounds make known. seen: (inst, kind or None, patterns)."""
+    edges = {(i, p) for i, _, ps in seen for p in ps}
+    known = {}
+    for i, k, _ in seen:
+        if k is not None:
+            known[i] = (min(k, known.get(i, (k,))[0]), 1.0)
+    found = {}
+    while True:
+        good = {}
+        for p in {p for _, p in edges}:
+            insts = [i for i, q in edges if q == p]
+            for k in range(4):
+                mine = [known[i][1] for i in insts if i in known and known[i][0] == k]
+                share = sum(mine) / len(insts) * (1 - 1 / (1 + len(mine)))
+                if len(insts) >= support and len(mine) >= support and share >= threshold:
+                    good[p, k] = share
+        now = {}
+        for i in {i for i, _ in edges} - set(known):
+            votes = {}
+            for (p, k), share in good.items():
+                digits = sum(c.isdigit() for c in i)
+                shape = {0: "@" in i, 1: i.count(".") > 1 and digits >= 4, 2: 12 <= digits <= 19, 3: 7 <= digits <= 15}[k]
+                if (i, p) in edges and shape:
+                    votes[k] = 1 - (1 - votes.get(k, 0)) * (1 - share)
+            best = max(votes, key=lambda k: (votes[k], -k), default=None)
+            if best is not None and votes[best] >= threshold:
+                now[i] = (best, votes[best])
+        if not now:
+            return {i: k for i, (k, _) in found.items()}
+        found |= now
+        known |= {i: (k, pii.FAITH * v) for i, (k, v) in now.items()}
+
+
+def test_graph_against_brute_force(spark):
+    """Random contexts and instances of all shapes; some contexts are of one kind, some mixed, one is very common."""
+    rng, rows = random.Random(8), []
+    for n in range(1500):
+        k = rng.choice([0, 0, 3, 3, 1, None, None, None])
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.choice([3, 8, 13])))
+        inst = {0: f"u{n % 90}@h", 1: f"10.{n % 70}.11.1", 3: digits, None: digits}[k]
+        left = rng.choice(["me at", "mail to", "host is", "in year", "the"]) if k is None or rng.random() < 0.2 else {0: "mail to", 1: "host is", 3: "me at"}[k]
+        l2, _, l1 = left.rpartition(" ")
+        rows.append((inst, k if rng.random() < 0.7 else None, l2, l1 + rng.choice(["", ":"]), rng.choice(["", "or", "and"])))
+    seen = spark.createDataFrame([(*r[:4], r[3].endswith(":"), r[4]) for r in rows], "inst string, k int, l2 string, l1 string, label boolean, r1 string")
+    patterns = lambda l2, l1, r1: [x for x in (l2 and f"before {l2} {l1}", l1.endswith(":") and f"label {l1}", l1 and r1 and f"around {l1} {r1}") if x]
+    want = brute_graph([(i, k, patterns(l2, l1, r1)) for i, k, l2, l1, r1 in rows], 3, 0.5)
+    out = pii.discover(seen, 3, 0.5)
+    assert {r.inst: r.k for r in out.collect()} == want and len(want) > 20
+
+
+def test_a_hot_context(make):
+    """One context holds half of all instances, most of them plain numbers: it is no pattern, and a sure one beside it is."""
+    texts = [f"we are at {k:07d} today" for k in range(3000)] + [f"call me at +1 555 {k:03d} 1234 please" for k in range(300)] + [f"call me at 555/{k:07d} please" for k in range(40)]
+    out = {r.doc_id: r for r in pii.personal_data(make(list(enumerate(texts)))).collect()}
+    assert sum(out[k].n_discovered for k in range(3300)) == 0 and sum(out[k].n_discovered for k in range(3300, 3340)) == 40
