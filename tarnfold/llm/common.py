@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.session import cut, drop, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "LOWER", "SPACE", "UPPER", "ascii_lower", "cut", "drop", "kept", "shared_dir", "small", "table", "text_key", "without"]
+__all__ = ["BROADCAST_ROWS", "LOWER", "SPACE", "UPPER", "ascii_lower", "cut", "drop", "fresh", "kept", "row_of", "shared_dir", "small", "table", "text_key", "without"]
 
 #: ASCII white space, as the word patterns of the operators name it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -45,7 +45,24 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(whole, text.isNull()).alias("a"), F.xxhash64(text.isNull(), whole).alias("b"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as a struct, whatever their names."""
+    return F.struct(*[df[f"`{c.replace('`', '``')}`"].alias(c) for c in df.columns])
+
+
 def without(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
-    """The rows of docs whose key is not in keys (one column, no nulls in it). Texts cross an exchange only if keys are many."""
-    keys = cut(keys.toDF("_gone").distinct())
-    return docs.join(small(keys, keys.count()), key == F.col("_gone"), "left_anti")
+    """The rows of docs whose key is not in keys (one column, no nulls in it). Texts cross an exchange only if keys are many.
+
+    docs may have any columns.
+    """
+    gone = fresh(docs, "_gone")
+    keys = cut(keys.toDF(gone).distinct())
+    return docs.join(small(keys, keys.count()), key == F.col(gone), "left_anti")

@@ -152,7 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs whose own text holds no window, whatever their doc_ids. Null texts stay.
 
-    Texts cross an exchange only if more than BROADCAST_ROWS different texts go.
+    Texts cross an exchange only if more than BROADCAST_ROWS different texts go. A text of any length is read whole. An
+    empty table gives no rows, and an empty benchmark all. docs may have further columns of any names, which stay as they are.
     """
     gone = judged(docs, benchmark, window, shingle, broadcast_rows).where(F.size("hits") > 0).select("key")
     return without(docs, gone, text_key(docs["text"]))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut, small
+from tarnfold.llm.common import cut, row_of, small
 from tarnfold.llm.sharding import size_of
 
 #: Slots that are worked out at a time.
@@ -203,11 +203,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
     Rows of sources of weight 0 are left out. Every row goes to its own slot, whatever its doc_id. docs must give the same
     rows in the same partitions when it is read again, as written tables do; otherwise blocks may differ a little in size.
-    Texts cross two exchanges: into blocks, and into the order of the slots.
+    Texts cross two exchanges: into blocks, and into the order of the slots. A text of any length is one row; an empty
+    table gives no rows. docs may have further columns of any names, which stay as they are.
     """
     mine = F.struct(source_of(docs).alias("source"), size_of(docs["text"]).alias("size"), tie_of(docs).alias("tie")).alias("_m")
     compact = cut(docs.select(mine).select("_m.*"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), mine).select("_row", "_m.*")
+    rows = docs.select(row_of(docs).alias("_row"), mine).select("_row", "_m.*")
     total = int(compact.agg(F.sum("size")).first()[0] or 0)
     out, slots = placed(rows, compact, weights, alpha, block, period, chunk)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut
+from tarnfold.llm.common import cut, fresh
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: For the learned rules only.
@@ -195,15 +195,22 @@ def under(h: str, share: float) -> Column:
     return F.pmod(h, F.lit(1 << 30)) < min(1.0, share) * (1 << 30)
 
 
+def sampled(labels: DataFrame, rows_max: int) -> DataFrame:
+    """doc_id, quality of at most rows_max labelled rows, those of the smallest hashes of doc_id: the bound of the sample."""
+    known = cut(qualities(labels).withColumn("_h", F.xxhash64("doc_id")))
+    some = known.where(under("_h", 1.1 * rows_max / max(1, known.count())))
+    return cut(some.orderBy("_h", "doc_id").limit(rows_max).drop("_h"))
+
+
 def train(stats: DataFrame, labels: DataFrame, rows_max: int = ROWS_MAX, **options) -> list[Rule]:
-    """Learn from at most rows_max labelled rows (those of the smallest hashes of doc_id): the bound of the sample."""
+    """Learn from the documents of sampled() labels that pass the base, rows_max of them at most."""
     names = list(features())
     rows = cut(
         stats.where(~base_failed())
-        .join(qualities(labels), "doc_id")
+        .join(F.broadcast(sampled(labels, rows_max)), "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("quality") == 0).alias("bad"), *[f.alias(k) for k, f in features().items()])
     )
-    some = rows.where(under("h", 1.1 * rows_max / max(1, rows.count())))
+    some = rows.where(under("h", 1.1 * rows_max / max(1, rows.count())))  # more only where rows share a doc_id
     sample = some.orderBy("h", "doc_id", *names).limit(rows_max).collect()
     return learn([[r[k] for k in names] for r in sample], [r["bad"] for r in sample], names, **options)
 
@@ -245,12 +252,12 @@ def keep(docs: DataFrame, labels: DataFrame, rows_max: int = ROWS_MAX, **options
     """The rows that the base and the learned rules keep, each judged by its own text, whatever its doc_id.
 
     The rules are learned as in judge(), from the documents of at most rows_max labels. Then every text is counted once
-    and its row kept or not in the same pass: nothing is joined and no text crosses an exchange. Other columns are
-    kept as they are. An empty table gives no rows.
+    and its row kept or not in the same pass: nothing is joined and no text crosses an exchange. docs may have
+    further columns of any names, which stay as they are. An empty table gives no rows.
     """
-    known = cut(qualities(labels).withColumn("_h", F.xxhash64("doc_id")))
-    chosen = known.where(under("_h", 1.1 * rows_max / max(1, known.count()))).orderBy("_h", "doc_id").limit(rows_max)
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
-    rules = train(statistics(labelled), chosen.drop("_h"), rows_max, **options)
-    counted = docs.withColumn("_counts", counts_of(F.col("text")))
-    return counted.where(~base_failed("_counts.") & (verdict(rules, "_counts.") == 0)).drop("_counts")
+    chosen = sampled(labels, rows_max)
+    labelled = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    rules = train(statistics(labelled), chosen, rows_max, **options)
+    name = fresh(docs, "_counts")
+    counted = docs.withColumn(name, counts_of(docs["text"]))
+    return counted.where(~base_failed(f"{name}.") & (verdict(rules, f"{name}.") == 0)).drop(name)

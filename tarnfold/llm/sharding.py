@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut
+from tarnfold.llm.common import cut, fresh
 
 OVERHEAD = 16
 #: Counts that the driver takes in a round for each open splitter, and at most for all of them.
@@ -130,12 +130,13 @@ def place(df: DataFrame, key: str, splits: Splits, ties: list[Column]) -> DataFr
     """df with shard and slot (gapless from 0 in each shard, in the order of key, then ties): the one exchange."""
     parts, per = len(splits.rows), splits.per
     base = [splits.rows[i] - splits.rows[i // per * per] for i in range(parts)]
-    parted = df.withColumn("_part", splits.part(F.col(key))).repartitionById(parts, "_part")
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties)).cast("long") - 1
+    part = fresh(df, "_part")
+    parted = df.withColumn(part, splits.part(F.col(key))).repartitionById(parts, part)
+    number = F.row_number().over(Window.partitionBy(part).orderBy(key, *ties)).cast("long") - 1
     return (
-        parted.withColumn("slot", number + F.element_at(constants(base), F.col("_part") + 1))
-        .withColumn("shard", F.floor(F.col("_part") / per).cast("int"))
-        .drop("_part", key)
+        parted.withColumn("slot", number + F.element_at(constants(base), F.col(part) + 1))
+        .withColumn("shard", F.floor(F.col(part) / per).cast("int"))
+        .drop(part, key)
     )
 
 
@@ -166,21 +167,27 @@ def shard(docs: DataFrame, shards: int = 40, part_bytes: int = PART_BYTES, toler
     )
 
 
-def written_order() -> Column:
-    """A key for the order in which the rows of written Parquet files were written: number of the file, then of the row."""
-    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0))
-    return F.shiftleft(part, 40).bitwiseOR(F.col("_metadata.row_index"))
+def written_order(docs: DataFrame | None = None) -> Column:
+    """A key for the order in which the rows of written Parquet files were written: number of the file, then of the row.
+
+    docs: the rows, needed where one of their own columns is named _metadata.
+    """
+    at = F.col("_metadata") if docs is None else docs.metadataColumn("_metadata")
+    part = F.coalesce(F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(part, 40).bitwiseOR(at["row_index"])
 
 
 def shard_in_order(docs: DataFrame, order: Column | None = None, shards: int = 40, part_bytes: int = PART_BYTES, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with size, shard and slot: shards are stretches of equal bytes of an order.
 
     order: a key of whole numbers, as written_order() for rows that come straight from Parquet files; the order of
-    shard() where it is None. Texts cross one exchange, in parts of about part_bytes. Columns of docs with the names
-    size, shard and slot are replaced. A null text has size 16; an empty table gives no rows.
+    shard() where it is None.
+    Texts cross one exchange, in parts of about part_bytes. Columns of docs with the names size, shard and slot are
+    replaced; further ones of any names stay as they are. A null text has size 16; one of any length is one row. An
+    empty table gives no rows.
     """
-    keyed = docs.withColumn("_key", group_key(F.col("text"), F.col("doc_id")) if order is None else order)
-    keyed = keyed.withColumn("size", size_of(F.col("text")))
-    sizes = cut(keyed.select("_key", "size"))
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, group_key(docs["text"], docs["doc_id"]) if order is None else order).withColumn("size", size_of(docs["text"]))
+    sizes = cut(keyed.select(key, "size"))
     per = parts_of(shards, int(sizes.agg(F.sum("size")).first()[0] or 0), part_bytes)
-    return place(keyed, "_key", split(sizes, "_key", "size", shards, per, tolerance=tolerance), [])
+    return place(keyed, key, split(sizes, key, "size", shards, per, tolerance=tolerance), [])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut, small, text_key, without
+from tarnfold.llm.common import cut, fresh, row_of, small, text_key, without
 
 RADIUS = 3
 SHINGLE = 3
@@ -181,7 +181,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, bucket_size: int = 512) -> D
 
     Groups are linked fingerprints alone, so different texts that share a doc_id, or have none, are in different
     groups and stay. Of rows that share doc_id and text one is kept. Texts cross an exchange only if more than
-    BROADCAST_ROWS different rows go, or for the copies of a row that is kept. An empty table gives no rows.
+    BROADCAST_ROWS different rows go, or for the copies of a row that is kept. A text of any length is read whole. An
+    empty table gives no rows. docs may have further columns of any names, which stay as they are.
     """
     fps = cut(fingerprints(docs, row_key(docs)))
     nodes = cut(fps.groupBy("fp").agg(F.count("*").alias("n")).withColumn("rep", F.col("fp")))
@@ -192,10 +193,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, bucket_size: int = 512) -> D
     best = rows.groupBy("group").agg(F.min_by("key", order).alias("best"), F.min_by("n", order).alias("n"))
     gone = rows.join(best.select("group", "best"), "group").where("key <> best").select("key")
     left = without(docs, gone, row_key(docs))
-    copied = cut(best.where("n > 1").select(F.col("best").alias("_copied")))
+    mark = fresh(docs, "_copied")
+    copied = cut(best.where("n > 1").select(F.col("best").alias(mark)))
     n = copied.count()
     if not n:
         return left
     key = row_key(docs)
-    once = left.join(small(copied, n), key == F.col("_copied"), "left_semi").groupBy(key.alias("_key")).agg(F.first(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return left.join(small(copied, n), key == F.col("_copied"), "left_anti").union(once)
+    met = key == F.col(mark)
+    once = left.join(small(copied, n), met, "left_semi").groupBy(key.alias("key")).agg(F.first(row_of(docs)).alias("row")).select("row.*")
+    return left.join(small(copied, n), met, "left_anti").union(once)

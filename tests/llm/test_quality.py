@@ -89,3 +89,11 @@ def test_keep_and_judge_learn_the_same(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert sorted(r.doc_id for r in quality.keep(docs, labels).collect()) == sorted(r.doc_id for r in quality.judge(docs, labels).where("kept").collect())
+
+
+def test_judge_and_keep_learn_from_one_sample(spark):
+    """More labels than the sample takes: both ways learn the same rules, so they keep the same rows."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for rows_max in (60, 150):
+        judged = {r.doc_id for r in quality.judge(docs, labels, rows_max=rows_max).where("kept").collect()}
+        assert judged == {r.doc_id for r in quality.keep(docs, labels, rows_max=rows_max).select("doc_id").collect()}
