@@ -33,7 +33,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stretches of the written order; where docs does not come from files, there is none, and the shards are by key."""
-    return sharding.shard_in_order(docs, sharding.written_order() if docs.inputFiles() else None)
+    return sharding.shard_in_order(docs, sharding.written_order(docs) if docs.inputFiles() else None)
 
 
 STAGES = [
