@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.operators import trees
+
 
 def merge_rows(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Shallow merge: fields of changes that are there win; `_present` (array of names), if there, also lets nulls win."""
@@ -61,27 +63,10 @@ def groups(rows: DataFrame) -> DataFrame:
     return roots.select("id", "ts").join(lists, F.col("id") == F.col("parent_task_id"), "left").select("id", "ts", F.coalesce("subtasks", F.array().cast("array<string>")).alias("subtasks"))
 
 
-def descend(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, id, path of all walks down from the roots that visit no id twice. edges: parent, child.
-
-    A child with two parents is reached twice. One join a level; it ends when a level is empty.
-    """
-    level = roots.select(F.col("id").alias("root"), F.col("id"), F.array("id").alias("path"))
-    out = level
-    while True:
-        level = level.join(edges, level["id"] == edges["parent"]).where(~F.array_contains("path", F.col("child"))).select("root", F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path")).persist()
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
-
-
 def tree_costs(rows: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, own, children, total, n_subtasks: costs of a task and all below it; what is not in rows costs 0."""
-    walks = descend(edges, roots).join(rows.select("id", F.coalesce("total_cost", F.lit(0.0)).alias("cost")), "id", "left")
-    own = F.sum(F.when(F.size("path") == 1, F.col("cost")).otherwise(0.0))
-    below = F.sum(F.when(F.size("path") > 1, F.coalesce("cost", F.lit(0.0))).otherwise(0.0))
-    return walks.groupBy("root").agg(F.coalesce(own, F.lit(0.0)).alias("own"), below.alias("children"), (F.coalesce(own, F.lit(0.0)) + below).alias("total"), (F.count("*") - 1).alias("n_subtasks"))
+    out = trees.totals(rows, edges, roots, F.col("total_cost"))
+    return out.select("root", "own", (F.col("total") - F.col("own")).alias("children"), "total", (F.col("nodes") - 1).alias("n_subtasks"))
 
 
 def file_records(log: DataFrame) -> DataFrame:
