@@ -5,15 +5,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.operators import nearest
+from tarnfold.operators.batching import batches  # noqa: F401
+
 #: Sizes in characters.
 MOST, TOLERANCE, LEAST, LEAST_REST = 1000, 1.15, 50, 200
 BLOCKS = "path string, identifier string, type string, start_line int, end_line int, content string, segment_hash string"
@@ -192,65 +193,34 @@ def vector_search(points: DataFrame, query: Sequence[float], k: int = 50, least:
 def vector_search_all(points: DataFrame, queries: DataFrame, key: str, k: int = 50, least: float = 0.4, block: int = 1024) -> DataFrame:
     """query_id, key, score: of each query (key, embedding) the k points with the largest cosine of `least` or more.
 
-    Exact: queries go in blocks of about `block`, by hash, and each block meets every point once, as a product of matrices.
-    A task sends k points a query; equal scores (to nine places) go by key. Null, empty and zero vectors are near to nothing.
+    Exact. Up to `block` queries go to where the points are, and points cross no exchange; more meet them as a grid of
+    blocks and chunks. A task sends k points a query; equal scores (to nine places) go by key. Null, empty and zero
+    vectors are near to nothing.
     """
-    blocks = max(1, -(-queries.count() // block))
-    parts = []
-    for b in range(blocks):
-        chosen = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).where(F.size("embedding") > 0).select(key, "embedding").collect()
-        parts.append(best_of_block(points.select(key, "embedding"), [r[0] for r in chosen], [r[1] for r in chosen], key, k, least))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return reduce(DataFrame.union, parts).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    if queries.count() > block:
+        return nearest.exact(points, queries, key, k, least)
+    chosen = queries.where(F.size("embedding") > 0).select(key, "embedding").collect()  # `block` rows at most
+    return nearest.top(best_of_block(points.select(key, "embedding"), [r[0] for r in chosen], [r[1] for r in chosen], key, k, least), key, k)
 
 
 def best_of_block(points: DataFrame, ids: list[int], vectors: list[list[float]], key: str, k: int, least: float) -> DataFrame:
     """query_id, key, score: the k nearest points of each partition."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = np.array(vectors, float)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q
-        best = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
+        asked, q = np.array(ids, np.int64), nearest.vectors(pa.array(vectors, pa.list_(pa.float64())))
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for b in batches_:
-            rows = b.filter(pc.equal(pc.list_value_length(b.column(1)), q.shape[1])) if len(q) else b.slice(0, 0)
-            if not rows.num_rows:
-                continue
-            x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1)
-            x, keys = x[norm > 0] / norm[norm > 0, None], rows.column(0).to_numpy(zero_copy_only=False)[norm > 0]
-            scores = np.round(q @ x.T, 9)
-            for i in range(len(ids)):
-                near = np.flatnonzero(scores[i] >= least)
-                s, n = np.concatenate([best[i][0], scores[i][near]]), np.concatenate([best[i][1], keys[near]])
-                first = np.lexsort((n, -s))[:k]
-                best[i] = s[first], n[first]
-        sizes = [len(s) for s, _ in best]
-        if sum(sizes):
-            columns = [pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([n for _, n in best])), pa.array(np.concatenate([s for s, _ in best]))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", key, "score"])
+            more = nearest.best_pairs(asked, q, b.column(0).to_numpy(zero_copy_only=False), nearest.vectors(b.column(1)), k, least)
+            who, what, score = (np.concatenate(x) for x in zip(best, more, strict=True))
+            order = np.lexsort((what, -score, who))
+            who, what, score = who[order], what[order], score[order]
+            first = np.arange(len(who)) - np.searchsorted(who, who) < k
+            best = who[first], what[first], score[first]
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", key, "score"])
 
     return points.mapInArrow(run, f"query_id long, {key} long, score double")
 
 
-def batches(items: DataFrame, tokens: str, budget: int, most: int, *keys: str) -> DataFrame:
-    """items with batch: greedy fill in order of seq, for each value of the keys; items over `most` tokens are left out.
-
-    A group is filled by one task, so keys should keep groups bounded: a source and a range of seq, for example.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[tokens] <= most].sort_values("seq")
-        batch, total, out = 0, 0, []
-        for t in pdf[tokens]:
-            if total and total + t > budget:
-                batch, total = batch + 1, 0
-            total += t
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    schema = ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", batch int"
-    return items.groupBy(*keys).applyInPandas(run, schema)
-
-
 def failure_rate(found: Column, indexed: Column) -> Column:
     return F.coalesce(F.try_divide((found - indexed).cast("double"), found), F.lit(0.0))
