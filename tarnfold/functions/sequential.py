@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -75,33 +77,96 @@ def seek(lines: list[str], pattern: list[str], start: int = 0, eof: bool = False
 
 
 def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-    return row[-1]
+    """Insertions, deletions and substitutions between two texts: a column of the table at a time, as the bits of numbers.
+
+    A bit says whether the table rises (up) or falls (down) from one row to the next in the column.
+    """
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    last, up, down, out = 1 << (len(a) - 1), full, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        flat = ((((same & up) + up) ^ up) | same | down) & full
+        higher, lower = down | ~(flat | up) & full, up & flat
+        out += bool(higher & last) - bool(lower & last)
+        higher = (higher << 1 | 1) & full
+        lower = lower << 1 & full
+        up, down = lower | ~(same | down | higher) & full, higher & (same | down)
+    return out
+
+
+def plain(text: str) -> str:
+    return re.sub(r"\s+", " ", unified(text))
 
 
 def likeness(a: str, b: str) -> float:
     if not b:
         return 0.0
-    a, b = (re.sub(r"\s+", " ", unified(x)) for x in (a, b))
+    a, b = plain(a), plain(b)
     return 1.0 if a == b else 1 - edit_distance(a, b) / max(len(a), len(b))
 
 
-def middle_out(lines: list[str], chunk: list[str]) -> tuple[float, int]:
-    """(best likeness, where) of a chunk's window, looked for from the middle outwards; the first of equals is kept."""
-    n = len(chunk)
-    left = right = max(0, (len(lines) - n) // 2)
-    right += 1
-    best, where, text = 0.0, -1, "\n".join(chunk)
-    while left >= 0 or right <= len(lines) - n:
-        for i in ([left] if left >= 0 else []) + ([right] if right <= len(lines) - n else []):
-            score = likeness("\n".join(lines[i : i + n]), text)
-            if score > best:
-                best, where = score, i
-        left, right = left - 1, right + 1
+def letters(text: str) -> Counter:
+    return Counter(c for c in unified(text) if not c.isspace())
+
+
+def most_alike(lines: list[str], n: int, chunk: str) -> list[float]:
+    """For every start of a window of n lines, or what is left of them, a bound that its likeness to the chunk does not exceed.
+
+    What one side has more of a letter than the other takes at least as many edits; white space is left out, which
+    takes none more. Letters of windows are kept up from one to the next.
+    """
+    short, size = letters(chunk), len(plain(chunk))
+    each = [letters(x) for x in lines]
+    longest, out = [len(x) + 1 for x in lines], []
+    more = Counter(short)  # what the chunk has more than the window; below 0: less
+    for x in each[:n]:
+        more.subtract(x)
+    lacks, has = sum(v for v in more.values() if v > 0), -sum(v for v in more.values() if v < 0)
+    total = sum(longest[:n])
+
+    def move(x: Counter, sign: int) -> None:
+        nonlocal lacks, has
+        for c, k in x.items():
+            old = more[c]
+            new = more[c] = old + sign * k
+            lacks += max(new, 0) - max(old, 0)
+            has += max(-new, 0) - max(-old, 0)
+
+    for i in range(len(lines)):
+        out.append(1 - max(lacks, has) / max(total, size, 1))
+        move(each[i], 1)
+        total -= longest[i]
+        if i + n < len(lines):
+            move(each[i + n], -1)
+            total += longest[i + n]
+    return out
+
+
+def middle_out(lines: list[str], chunk: list[str], first: int = 0, last: int | None = None) -> tuple[float, int]:
+    """(best likeness, where) of a chunk's window between first and last; -1 where nothing is alike at all.
+
+    Of equal windows the one counts that comes first from the middle outwards, the earlier side before the later. The
+    middle is that of the lines, so on the earlier side windows may reach over the end, with fewer lines.
+
+    Windows are compared in the order of a bound on their likeness, until it is under the best one found.
+    """
+    last, n, text = len(lines) if last is None else last, len(chunk), "\n".join(chunk)
+    if not text:
+        return 0.0, -1
+    middle = (first + last) // 2
+    turn = {i: 2 * (middle - i) if i <= middle else 2 * (i - middle) - 1 for i in [*range(first, min(middle + 1, len(lines))), *range(middle + 1, last - n + 1)]}
+    bound, best, where = most_alike(lines, n, text), 0.0, -1
+    for i in sorted(turn, key=lambda i: -bound[i]):
+        if bound[i] < best - 1e-12:
+            break
+        score = likeness("\n".join(lines[i : i + n]), text)
+        if score > best or score == best > 0 and turn[i] < turn[where]:
+            best, where = score, i
     return best, where
 
 
@@ -185,12 +250,52 @@ def apply_replacements(lines: list[str], changes: list[tuple[int, int, list[str]
     return out
 
 
-def cache_points(tokens: list[int], roles: list[str], most: int, least: int) -> list[int]:
-    """Up to `most` rows of users at which a stretch of `least` tokens or more ends, each the last that fits."""
-    out, total = [], 0
-    for i, (t, r) in enumerate(zip(tokens, roles, strict=True)):
-        total += t
-        if r == "user" and total >= least and len(out) < most:
-            out.append(i)
-            total = 0
-    return out
+class CachePoints:
+    """Rows of users up to which a growing conversation is cached: at most `most`, each for `least` tokens or more.
+
+    Earlier points stay where they are, as what they cover is cached. New rows get a point of their own while there are
+    points left; then the two neighbouring stretches with the fewest tokens become one, if the new rows have 1.2 times
+    their tokens.
+    """
+
+    GAIN = 1.2
+
+    def __init__(self, tokens: list[int], roles: list[str], most: int, least: int):
+        self.roles, self.most, self.least = roles, most, least
+        self.sums = [0, *itertools.accumulate(tokens)]
+
+    def tokens(self, first: int, end: int) -> int:
+        """Of the rows first to end - 1."""
+        return self.sums[end] - self.sums[first] if end > first else 0
+
+    def point(self, first: int, last: int, before: list[int]) -> list[int]:
+        """The last user's row from first to last, if what it covers after the point before is enough; of one row alone none."""
+        users = [i for i in range(first, last + 1) if self.roles[i] == "user"] if first < last else []
+        start = max((p for p in before if p < first), default=-1) + 1
+        return users[-1:] if users and self.tokens(start, users[-1] + 1) >= self.least else []
+
+    def place(self, before: list[int]) -> list[int]:
+        """The points after those of the last time (none: the first time)."""
+        n = len(self.roles)
+        if n < 2:
+            return []
+        if not before:
+            return self.point(0, n - 1, [])[: self.most]  # after the last user's row no other user comes
+        rest, fresh = [p for p in before if p < n], self.tokens(before[-1] + 1, n)
+        if fresh < self.least:
+            return rest
+        new = self.point(before[-1] + 1, n - 1, before)
+        if self.most > len(before):
+            return rest + new
+        stretches = [self.tokens(a + 1, b + 1) for a, b in itertools.pairwise([-1, *before])]
+        pairs = [a + b for a, b in itertools.pairwise(stretches)]
+        if not pairs or fresh < self.GAIN * min(pairs):
+            return rest
+        k = pairs.index(min(pairs))
+        joined = self.point(before[k - 1] + 1 if k else 0, before[k + 1], before)
+        out = [p for p in before[:k] if p < n] + joined + [p for p in before[k + 2 :] if p < n]
+        return out + new if len(out) < self.most else out
+
+
+def cache_points(tokens: list[int], roles: list[str], most: int, least: int, before: list[int] | None = None) -> list[int]:
+    return CachePoints(tokens, roles, most, least).place(before or [])

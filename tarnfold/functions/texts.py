@@ -101,10 +101,11 @@ def reading_minutes(markdown: Column, speed: int = 200) -> Column:
 
 
 def publish_minutes(text: Column) -> Column:
-    """Minutes of the day of 9:05am; null for anything else."""
-    m = lambda i: F.regexp_extract(text, r"^(1[0-2]|[1-9]):([0-5][0-9])(am|pm)$", i)
-    hour = m(1).try_cast("int") % 12 + F.when(m(3) == "pm", 12).otherwise(0)
-    return F.when(m(3) != "", hour * 60 + m(2).try_cast("int"))
+    """Minutes of the day of a time by the twelve-hour clock, as 9:05am or 9:05AM; null for anything else."""
+    parts = F.split(F.lower(F.regexp_replace(text, "(?i)([ap]m)$", ":$1")), ":")
+    hour, minute, half = (F.get(parts, F.lit(i)) for i in range(3))
+    good = text.rlike("^[1-9][0-9]?:[0-9]{2}([aA][mM]|[pP][mM])$") & (hour.try_cast("int") <= 12) & (minute.try_cast("int") < 60)
+    return F.when(good, hour.try_cast("int") % 12 * 60 + minute.try_cast("int") + F.when(half == "pm", 720).otherwise(0))
 
 
 def published(status: Column, date: Column, time: Column, now: Column) -> Column:

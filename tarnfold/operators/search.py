@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.functions import sequential, shell
+
 #: Directories that are never searched.
 IGNORED = ["node_modules", "__pycache__", "env", "venv", "target/dependency", "build/dependencies", "dist", "out", "bundle", "vendor", "tmp", "temp", "deps", "pkg", "Pods", ".git"]
 
@@ -132,15 +134,37 @@ def longest_prefix(commands: DataFrame, rules: DataFrame) -> DataFrame:
     return found.select("command", F.when(F.col("x").isNull(), "ask").when(F.col("x.deny"), "deny").otherwise("approve").alias("decision"))
 
 
-def chain_decision(parts: DataFrame, rules: DataFrame, dangerous: str = r"\$\{[^}]*@|\$\(|`|<<<|=\(") -> DataFrame:
-    """id, decision of command chains (id, part): any denied part denies, a dangerous one asks, all approved approve."""
+def chain_decision(parts: DataFrame, rules: DataFrame, dangerous: Column | None = None) -> DataFrame:
+    """id, decision of command chains (id, part): any denied part denies, a dangerous one asks, all approved approve.
+
+    Parts may hold substitutions whose commands no rule has seen: where dangerous is None, any of those asks, too.
+    """
+    dangerous = shell.dangerous(F.col("part")) | F.col("part").rlike(r"\$\(|`|[<>]\(") if dangerous is None else dangerous
     each = parts.join(longest_prefix(parts.select(F.col("part").alias("command")), rules), parts["part"] == F.col("command"))
     some = lambda c: F.max(c.cast("int")) == 1
     return each.groupBy("id").agg(
-        F.when(some(F.col("decision") == "deny"), "deny").when(some(F.col("part").rlike(dangerous)), "ask").when(F.min((F.col("decision") == "approve").cast("int")) == 1, "approve").otherwise("ask").alias("decision")
+        F.when(some(F.col("decision") == "deny"), "deny").when(some(dangerous), "ask").when(F.min((F.col("decision") == "approve").cast("int")) == 1, "approve").otherwise("ask").alias("decision")
     )
 
 
+def command_decisions(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """id, decision of every command line (id, command): approve, deny or ask.
+
+    The line is cut into the commands that it runs; each goes by the longest rule that it begins with, without its first
+    redirection. One denied command denies the line; then a dangerous form anywhere in it asks; then all commands have to
+    be approved. A blank line is approved, and so is a command of which only a redirection is there. A null one asks.
+    """
+    parts = sequential.text_udf(shell.commands, "array<string>")(F.col("command"))
+    cut_ = F.trim(F.regexp_replace(F.regexp_replace("part", f"^(.*?){shell.REDIRECTION}", "$1"), r"^\s+|\s+$", ""))
+    each = lines.select("id", F.explode(parts).alias("part")).select("id", cut_.alias("part"))
+    decided = each.join(longest_prefix(each.where("part <> ''").select(F.col("part").alias("command")), rules), each["part"] == F.col("command"), "left")
+    one = F.when(F.col("part") == "", "approve").otherwise(F.col("decision"))
+    of_line = decided.groupBy("id").agg(F.bool_or(one == "deny").alias("denied"), F.bool_and(one == "approve").alias("approved"))
+    out = lines.select("id", "command").join(of_line, "id", "left")
+    rest = F.when(shell.dangerous(F.col("command")), "ask").when(F.col("approved") | (F.trim("command") == ""), "approve").otherwise("ask")
+    return out.select("id", F.when(F.col("denied"), "deny").otherwise(rest).alias("decision"))
+
+
 def subsequence(text: Column, query: str) -> Column:
     """Whether the letters of the query stand in the text in order, caseless."""
     return text.rlike("(?is)" + ".*?".join("\\Q" + c + "\\E" for c in query if not c.isspace())) if query.strip() else F.lit(True)

@@ -49,7 +49,7 @@ def test_texts(value):
     assert len(value(texts.truncate_line, "x" * 600)) == 515 and value(texts.truncate_line, "x") == "x"
     assert value(texts.token_estimate, "abcde") == 2 and value(texts.count_lines, "a\nb\n") == 2 and value(texts.count_lines, "") == 0
     assert value(texts.reading_minutes, "word " * 401 + "```\n" + "code " * 999 + "```") == 3 and value(texts.reading_minutes, "") == 1
-    assert [value(texts.publish_minutes, x) for x in ("9:05am", "12:00am", "12:30pm", "13:00pm")] == [545, 0, 750, None]
+    assert [value(texts.publish_minutes, x) for x in ("9:05am", "12:00am", "12:30pm", "13:00pm", "9:05AM", "1:00Pm", "0:10am", "9:5am", "09:05am", "9:60am", "x", None)] == [545, 0, 750, None, 545, 780, *[None] * 6]
     now = "2024-06-01 16:10:00"  # 9:10 in Los Angeles
     pub = lambda s, d, t: value(lambda a, b, c: texts.published(a, b, c, F.lit(now).cast("timestamp")), s, d, t)
     assert pub("published", "2024-06-01", "9:10am") and not pub("published", "2024-06-01", "9:11am") and not pub("draft", "2024-01-01", "9:00am")
@@ -87,7 +87,7 @@ def test_matching():
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(6))) for _ in range(2))
         assert (sequential.edit_distance(a, b) == 0) == (a == b) and sequential.edit_distance(a, b) >= abs(len(a) - len(b))
     assert sequential.apply_replacements(list("abcd"), [(2, 1, ["X", "Y"]), (0, 1, [])]) == ["b", "X", "Y", "d"]
-    assert sequential.cache_points([10, 10, 10, 10], ["user", "assistant", "user", "user"], 2, 15) == [2]
+    assert sequential.cache_points([10, 10, 10, 10], ["user", "assistant", "user", "user"], 2, 15) == [3]  # the last user's row
     assert sequential.with_indentation(["def f():", "    a", "", "    b", "c"], 1, 0) == (1, 3)
 
 
