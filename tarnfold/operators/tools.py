@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.operators import index
+from tarnfold.sources.buckets import BucketedTable
 from tarnfold.sources.files import RecordNotFound, VersionedTable
 
 
@@ -168,13 +169,14 @@ def token_counter(ranks_path: str, pattern: str, factor: float = 1.5):
 
 
 class VectorStore:
-    """Points (id, path, start_line, end_line, content, segment_hash, embedding) in a versioned table."""
+    """Points (id, path, start_line, end_line, content, segment_hash, embedding) in a table bucketed by path: a write makes
+    new files for the buckets of the paths that it touches, and of no others."""
 
     COLUMNS = "id string, path string, start_line int, end_line int, content string, segment_hash string, embedding array<float>"
 
     def __init__(self, spark: SparkSession, folder: str, dims: int):
         self.spark, self.dims = spark, dims
-        self.table, self.state = VersionedTable(spark, f"{folder}/points"), VersionedTable(spark, f"{folder}/state")
+        self.table, self.state = BucketedTable(spark, f"{folder}/points", "id", "path"), VersionedTable(spark, f"{folder}/state")
 
     def initialize(self) -> bool:
         """Make the table, or anew if its vectors have another length; whether it is new."""
@@ -192,11 +194,15 @@ class VectorStore:
         self.mark(False)
 
     def upsert(self, points: DataFrame) -> None:
-        self.table.write(index.upsert(self.table.read(), points))
+        self.table.upsert(points)
 
     def delete_paths(self, paths: DataFrame) -> None:
         """Points of just these files, not of files below such a path."""
-        self.table.write(self.table.read().join(paths.select("path").distinct(), "path", "left_anti"))
+        self.table.delete(paths, "path")
+
+    def replace_files(self, paths: DataFrame, new: DataFrame) -> None:
+        """All points of the given paths go and new ones come, in one version: what a change feed does."""
+        self.table.change(paths.select("path").union(new.select("path")), lambda rows: index.replace_files(rows, paths, new.select(rows.columns)))
 
     def search(self, vector: Sequence[float], k: int = 50, least: float = 0.4, prefix: str | None = None) -> DataFrame:
         from tarnfold.operators.search import has_prefix

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.operators.index import replace_files
+from tarnfold.session import cut
 
 
 def read_events(spark: SparkSession, path: str, schema: str, form: str = "json", files_per_batch: int = 100) -> DataFrame:
@@ -76,6 +77,17 @@ def apply_changes(read: Callable[[], DataFrame], write: Callable[[DataFrame], No
     return run
 
 
+def feed(store, chunk: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """The same for a store whose replace_files(paths, new) takes both at once, in one version: only what the files of a
+    batch touch is written."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        last = cut(batch.groupBy("path").agg(F.max_by(F.struct("event_type", "content"), "seq").alias("x")).select("path", "x.*"))
+        store.replace_files(last.select("path"), chunk(last.where("event_type <> 'delete'")))
+
+    return run
+
+
 def to_json(events: DataFrame, path: str, checkpoint: str, leave_out: tuple[str, ...] = ("message",)):
     """A stream of events as JSON lines, without events of some names."""
     kept = events.where(~F.col("event_name").isin(list(leave_out)))

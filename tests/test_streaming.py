@@ -104,6 +104,10 @@ def test_changes_are_applied_by_file(spark, tmp_path):
     change(spark.createDataFrame([("a/x.swift", "change", text + " more", 5)], schema), 1)
     rows = {r.path: r for r in store.table.read().collect()}
     assert rows["a/x.swift"].content.endswith("more") and len(rows) == 2
+    files = streams.feed(store, chunk)
+    files(spark.createDataFrame([("c/v.swift", "create", text, 6), ("a/y.swift", "change", text + " z", 7), ("c/v.swift", "delete", None, 8), ("c/w.swift", "create", text, 9)], schema), 2)
+    assert {r.path: r.content[-2:] for r in store.table.read().collect()} == {"a/x.swift": "re", "a/y.swift": " z", "c/w.swift": "ly"}
+    files(spark.createDataFrame([("c/w.swift", "delete", None, 10)], schema), 3)
     hit = store.search(rows["a/x.swift"].embedding, k=1, prefix="./a").first()
     assert hit.path == "a/x.swift" and hit.score > 0.99
     assert store.search(rows["a/x.swift"].embedding, prefix="b").count() == 0
