@@ -94,3 +94,23 @@ def test_clean(make, spark):
     docs = make([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i"), (None, "fine"), (3, None)])
     out = decontam.clean(docs, bench)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {2, None, 3}
+
+
+def test_a_window_that_many_items_share(make, spark):
+    """10,000 items hold one header: each is listed for the texts with it, and no text is copied for them."""
+    header = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.range(10_000).selectExpr("id AS item_id", f"concat('{header} number ', id, ' end') AS text")
+    docs = make([(i, f"x {header} y") for i in range(20)] + [(30, header[:30]), (31, f"{header} number 77 end")])
+    out = {r.doc_id: r for r in decontam.contamination(docs, bench).collect()}
+    every = hashlib.sha256(",".join(sorted(map(str, range(10_000)))).encode()).hexdigest()
+    assert all((out[i].n_hit, out[i].n_items, out[i].items_sha256) == (10, 10_000, every) for i in range(20))
+    assert not out[30].contaminated and (out[31].n_hit, out[31].n_items) == (13, 10_000)
+
+
+def test_items_of_one_common_word(make, spark):
+    """Each place of the word is hit; long windows around it are found by their rarer shingles."""
+    texts = ["the cat the dog the " * 50 + f"w{i}" for i in range(60)] + ["no such word", None, "the"]
+    items = [(1, "the"), (2, "cat the"), (3, "the cat the dog the the cat the dog the w7 and more words"), (4, "the dog the the cat the dog the w8")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1000, 1):
+        check(make(list(enumerate(texts))), bench, broadcast_rows=limit)
