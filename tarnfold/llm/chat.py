@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut, drop, shared_dir
+from tarnfold.llm.common import cut, drop, parts_for, shared_dir
 
 ESCAPE = str.maketrans({"\\": "\\\\", "<": "\\l", ">": "\\g", '"': "\\q"})
 PLAIN = {"\\": "\\", "l": "<", "g": ">", "q": '"'}
 OPEN, ROLE_END, CLOSE = '<turn role="', '">', "</turn>\n"
 TURN = re.compile(r'<turn role="([^"]*)">([^<]*)</turn>\n')
 LEARNED = "assistant"
+#: Bytes of a row of a node, and of one of a key besides the key, by which they are dealt to tasks.
+NODE_BYTES, KEY_BYTES = 100, 50
 TURN_ROWS = "conv_id long, depth long, node binary, parent binary, pos long, size long, text string, loss_start long, loss_end long"
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -101,7 +103,8 @@ def ranks(turns: DataFrame) -> DataFrame:
     marked = turns.join(choices, "node", "left")
     choice = F.when(F.col("chosen"), F.struct("depth", F.hex(F.substring("node", 1, 8)).alias("digest")))
     keys = marked.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(choice))["digest"], "").alias("key"))
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = cut(keys)
+    parts = parts_for(turns.sparkSession, int(keys.agg(F.sum(F.length("key") + F.lit(KEY_BYTES))).first()[0] or 0))
     ordered = keys.repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
     return cut(ordered.select(F.col("conv_id").alias("_conv"), F.monotonically_increasing_id().alias("rank")))
 
@@ -118,7 +121,8 @@ def offsets(nodes: DataFrame) -> DataFrame:
                 more = [ends, pa.repeat(pa.scalar(part, pa.int32()), b.num_rows)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "end", "part"])
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = cut(nodes)
+    parts = parts_for(nodes.sparkSession, nodes.count() * NODE_BYTES)
     ordered = nodes.repartitionByRange(parts, "rank", "depth").sortWithinPartitions("rank", "depth")
     schema = ", ".join(f"{c} {t}" for c, t in ordered.dtypes) + ", end long, part int"
     local = cut(ordered.mapInArrow(run, schema))
@@ -169,7 +173,7 @@ def write_trees(turns: DataFrame, folder: str) -> None:
     own = placed.where("own").select("conv_id", "depth", "start", "end", "attends")
     final = rows.join(own, same_conversation(rows, own) & (rows["depth"] == own["depth"]))
     loss = [(F.col("start") + F.col(c)).alias(c) for c in ("loss_start", "loss_end")]
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(turns.sparkSession, int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     ordered = final.select("start", "end", "pos", "attends", *loss, "text").repartitionByRange(parts, "start").sortWithinPartitions("start")
     ordered.write.parquet(f"{folder}/nodes")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.session import cut, drop, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "LOWER", "SPACE", "UPPER", "ascii_lower", "cut", "drop", "fresh", "kept", "row_of", "shared_dir", "small", "table", "text_key", "without"]
+__all__ = ["BROADCAST_ROWS", "LOWER", "SPACE", "UPPER", "ascii_lower", "cut", "drop", "fresh", "kept", "parts_for", "row_of", "shared_dir", "small", "table", "text_key", "without"]
 
 #: ASCII white space, as the word patterns of the operators name it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -39,6 +39,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def parts_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Partitions for so many bytes: those of the session, or more, so that one has about `each` at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text; a null text has a key of its own, which is not that of an empty one."""
     whole = F.coalesce(text, F.lit(""))

@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import cut, drop, kept, shared_dir
+from tarnfold.llm.common import cut, drop, kept, parts_for, shared_dir
 
 MAGIC = 0x54464E31
 NULL_ID = -(1 << 63)
 #: Texts of about so many bytes are encoded at once.
 BATCH = 1 << 23
+#: Characters by which ranges divide the texts of one doc_id: their order is that of the texts.
+HEAD = 32
 
 
 class Encoder:
@@ -42,7 +44,8 @@ class Encoder:
     """
 
     OTHER = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|[ \n][ \n]|^[ \n]|[ \n]$|<\|"
-    MEMORY = 1 << 19
+    #: Bytes of the words that are remembered, with what Python keeps for each.
+    MEMORY, OF_A_WORD = 100 << 20, 200
     MARKS = "!#$%&*+,-./:;=?@^_|~"
 
     def __init__(self, path: str, encode_special: bool):
@@ -56,6 +59,7 @@ class Encoder:
         pre = model.get("pre_tokenizer") or {}
         self.by_word = model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,14 +68,17 @@ class Encoder:
         return [flat[a:b] for a, b in pairwise(ends)]
 
     def words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > self.MEMORY:
+        if self.held > self.MEMORY:
             self.known.clear()
+            self.held = 0
         known, halves = self.known, {}
         for w in words:  # letters and the marks after them are apart as well
             if w not in known and len(core := w.rstrip(self.MARKS)) < len(w) and core[-1:].isalpha():
                 halves[w] = core, w[len(core) :]
         new = list(set(words).difference(halves).union(*halves.values()).difference(known))
-        known.update(zip(new, self.whole(new), strict=True))
+        coded = self.whole(new)
+        known.update(zip(new, coded, strict=True))
+        self.held += self.OF_A_WORD * len(new) + sum(map(len, new)) + sum(map(len, coded))
         return [known[w] if w in known else known[halves[w][0]] + known[halves[w][1]] for w in words]
 
     def __call__(self, texts: pa.Array) -> list[bytes | memoryview]:
@@ -111,12 +118,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """Encode whole texts in ascending doc_id order into folder; the manifest: part, uri, n_docs, n_tokens, base.
 
     A null or empty text is the end id alone. Null doc_ids come first; rows of one doc_id are in the order of their
-    texts, null before empty, in one partition. The texts cross one range exchange; nothing but a row for each partition goes to the driver.
-    partitions: how many pairs of files, spark.sql.shuffle.partitions if None: 64 MB of text each do well.
+    texts, null before empty; ranges divide them by the first characters. The texts cross one range exchange; nothing but a row for each partition goes to the driver.
+    partitions: how many pairs of files; as many as the texts' bytes ask for if None, 64 MB each, which are summed up first.
     encode_special: whether strings of special tokens inside texts are ordinary text.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or parts_for(spark, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, encode_special)
@@ -145,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "uri": [f"{folder}/{name}"], "n_docs": [len(ids)], "n_tokens": [n]})
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, order[0], F.left("text", F.lit(HEAD)).asc_nulls_first()).sortWithinPartitions(*order)
     written = cut(rows.mapInArrow(run, "part long, uri string, n_docs long, n_tokens long")).orderBy("part").collect()
     base, out = 0, []
     for r in written:

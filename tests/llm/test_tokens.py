@@ -62,3 +62,13 @@ def test_files(make, spark, tmp_path):
         assert index[2] == r.n_docs and index[-1] == len(flat)
         ids += flat.tolist()
     assert ids == [x for _, t in rows for x in [*Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, 0]]
+
+
+def test_files_are_as_many_as_the_bytes_ask_for(make, spark, tmp_path, monkeypatch):
+    """Also where all rows have one doc_id, or none: ranges divide its texts, and their order holds over the files."""
+    rows = [(None if i % 2 else 7, f"{i:04d} " + "word " * 40) for i in range(400)]
+    monkeypatch.setattr(tokens, "parts_for", lambda spark, size: -(-size // 10_000))
+    manifest = tokens.write_tokens(make(rows), PATH, f"file://{tmp_path}/t")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) >= 6 and max(sizes) < 150
+    assert got(tokens.read_tokens(manifest)) == brute(rows)
