@@ -73,14 +73,26 @@ def shingles(ws: str) -> Column:
     return once(F.col(ws), of)
 
 
+def variants(text: str) -> list[str]:
+    """A text as it may stand elsewhere: some words other ones, a clause left out, and wrapped into lines."""
+    w = text.split()
+    n = len(w)
+    out = [" ".join("acme" if i % 9 == 4 else x for i, x in enumerate(w)), " ".join(w[: n // 3] + w[n // 2 :])]
+    return out + [" ".join(w[i : i + 10]) for i in range(0, n - 9, 10)]
+
+
 def pieces(spark: SparkSession) -> DataFrame:
-    """label, text, held, whole: the families' texts, and stretches of 6 and 12 words of them; every third text is held out."""
+    """label, text, held, whole: the families' texts, and stretches of 6 and 12 words of them; their variants are held out.
+
+    Of the ordinary sentences every third is held out.
+    """
     rows = []
     for family, texts in TEMPLATES.items():
-        for k, t in enumerate(texts):
+        for t in texts:
             w = t.split()
             cuts = [" ".join(w[i : i + size]) for size, step in ((6, 3), (12, 4)) for i in range(0, max(1, len(w) - size + 1), step)]
-            rows += [(family, t, k % 3 == 2, True), *((family, x, k % 3 == 2, False) for x in cuts if x != t)]
+            rows += [(family, t, False, True), *((family, x, False, False) for x in cuts if x != t)]
+            rows += [(family, x, True, True) for x in variants(t) if x != t]
     rows += [(NONE, t, k % 3 == 2, True) for k, t in enumerate(ORDINARY)]
     return spark.createDataFrame(rows, "label string, text string, held boolean, whole boolean")
 
@@ -169,14 +181,14 @@ def sampled(docs: DataFrame, sample: int) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
-    """Fit to the licence texts and to at most `sample` of the corpus's lines."""
+    """Fit to the licence texts and to at most `sample` of the corpus's lines; calibrate with what is held out, and keep the fit."""
     spark = docs.sparkSession
     lines = cut(sampled(docs, sample).withColumn("ws", words(F.col("text"))))
     of_corpus = lines.where("not hint").select(F.lit(NONE).alias("label"), "ws", (F.pmod(F.xxhash64("text"), F.lit(3)) == 2).alias("held"), F.lit(True).alias("whole"))
     rows = cut(pieces(spark).withColumn("ws", words(F.col("text"))).select("label", "ws", "held", "whole").union(of_corpus))
-    trial = Fit(rows.where("not held"), vocabulary)
-    known = trial.raw(rows.where("held and whole")).select("label", "rawPrediction").collect()
-    held = [([float(x) for x in r["rawPrediction"]], trial.classes.index(r["label"])) for r in known]
+    fit = Fit(rows.where("not held"), vocabulary)
+    known = fit.raw(rows.where("held and whole")).select("label", "rawPrediction").collect()
+    held = [([float(x) for x in r["rawPrediction"]], fit.classes.index(r["label"])) for r in known]
     # lines of no family are many: they count as much as all texts of families together
     families = sum(y > 0 for _, y in held)
     weighted = [(raw, y, 1.0 if y else families / max(1, len(held) - families)) for raw, y in held]
@@ -186,8 +198,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -
     foreign = lines.where("hint").where(F.size(F.array_intersect(shingles("ws"), known_sh)) < FOREIGN * F.size(shingles("ws"))).select("ws")
     odd = spark.createDataFrame([(t,) for t in OTHER], "text string").select(words(F.col("text")).alias("ws")).union(foreign)
     right = [p for raw, y in held if y for p, k in [top(raw, temperature)] if k == y]
-    wrong = [p for r in trial.raw(odd).select("rawPrediction").collect() for p, k in [top([float(x) for x in r["rawPrediction"]], temperature)] if k]
-    return Model(Fit(rows, vocabulary), temperature, separating(right, wrong))
+    wrong = [p for r in fit.raw(odd).select("rawPrediction").collect() for p, k in [top([float(x) for x in r["rawPrediction"]], temperature)] if k]
+    return Model(fit, temperature, separating(right, wrong))
 
 
 def top(raw: list[float], t: float) -> tuple[float, int]:
