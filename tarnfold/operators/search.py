@@ -177,6 +177,60 @@ def fuzzy(rows: DataFrame, text: str, query: str, limit: int = 20) -> DataFrame:
     return rows.where(subsequence(F.col(text), query)).withColumn("score", score).orderBy("score", F.length(text), text).limit(limit)
 
 
+def tightest(text: Column, query: str) -> Column:
+    """The shortest window of a text that holds the query's characters in order, caseless and without its blanks: start (from
+    0), end (exclusive), positions; of several the first. Null where there is none.
+
+    For each beginning of the query, one pass keeps where its latest match so far began; each match of all of it is a window.
+    """
+    wanted = [c for c in query.lower() if not c.isspace()]
+    if not wanted:
+        return F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast("array<int>").alias("positions"))
+    kind = f"struct<at:int,{','.join(f's{j}:int' for j in range(len(wanted)))},start:int,end:int>"
+
+    def step(acc: Column, c: Column) -> Column:
+        begins = [acc["at"], *[acc[f"s{j}"] for j in range(len(wanted) - 1)]]
+        now = [F.when(c == w, b).otherwise(acc[f"s{j}"]) for j, (w, b) in enumerate(zip(wanted, begins, strict=True))]
+        whole = (c == wanted[-1]) & begins[-1].isNotNull()
+        shorter = whole & (acc["end"].isNull() | (acc["at"] + 1 - begins[-1] < acc["end"] - acc["start"]))
+        best = [F.when(shorter, begins[-1]).otherwise(acc["start"]).alias("start"), F.when(shorter, acc["at"] + 1).otherwise(acc["end"]).alias("end")]
+        return F.struct((acc["at"] + 1).alias("at"), *[x.alias(f"s{j}") for j, x in enumerate(now)], *best)
+
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), *[none.alias(f"s{j}") for j in range(len(wanted))], none.alias("start"), none.alias("end")).cast(kind)
+    found = F.aggregate(F.split(F.lower(text), ""), start, step)
+    return F.when(found["end"].isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end"), positions(text, found, wanted).alias("positions")))
+
+
+def positions(text: Column, window: Column, wanted: list[str]) -> Column:
+    """Where the wanted characters stand in a window that is the shortest: each as early as it can."""
+    inside = F.split(F.substr(F.lower(text), window["start"] + 1, window["end"] - window["start"]), "")
+    words = F.array(*map(F.lit, wanted))
+
+    def step(acc: Column, c: Column) -> Column:
+        hit = c == F.get(words, F.size(acc["out"]))
+        return F.struct((acc["at"] + 1).alias("at"), F.when(hit, F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(window["start"].alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(inside, start, step, lambda acc: acc["out"])
+
+
+def spans(places: Column) -> Column:
+    """Runs of neighbouring positions as intervals from start to end, for highlighting."""
+    starts = F.filter(places, lambda p: ~F.array_contains(places, p - 1))
+    ends = F.filter(places, lambda p: ~F.array_contains(places, p + 1))
+    return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("last")), lambda x: F.struct(x["start"].alias("start"), (x["last"] + 1).alias("end")))
+
+
+def fuzzy_best(rows: DataFrame, text: str, query: str, limit: int = 20) -> DataFrame:
+    """rows with score, start, end, positions: those that hold the query in order, by the shortest window (score: its
+    length), then the shorter text, then the text. A blank query finds nothing."""
+    if not query.strip():
+        return rows.withColumn("_b", tightest(F.col(text), query)).select(*rows.columns, F.lit(0).alias("score"), "_b.*").limit(0)
+    found = rows.where(subsequence(F.col(text), query)).withColumn("_b", tightest(F.col(text), query))
+    return found.select(*rows.columns, (F.col("_b.end") - F.col("_b.start")).alias("score"), "_b.*").orderBy("score", F.length(text), text).limit(limit)
+
+
 def semver(version: Column) -> Column:
     """Major, minor and patch as a struct; what follows a dash does not count."""
     part = lambda i: F.coalesce(F.get(F.split(F.regexp_replace(version, "-.*$", ""), r"\."), F.lit(i)).cast("int"), F.lit(0))

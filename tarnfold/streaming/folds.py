@@ -196,6 +196,52 @@ def preview(budget: int) -> Fold:
     return fold
 
 
+def cut_bytes(text: str, most: int) -> str:
+    """The longest beginning of at most so many bytes, in whole characters."""
+    return text.encode()[:most].decode(errors="ignore")
+
+
+def last_bytes(text: str, most: int) -> str:
+    """The longest end of at most so many bytes, in whole characters."""
+    return text.encode()[-most:].decode(errors="ignore") if most else ""
+
+
+def spilling(threshold: int, shown: int) -> Fold:
+    """Output of a command in chunks (payload) that is kept until it is over `threshold` bytes, and then goes to a file as a whole.
+
+    Output: seq, at (bytes of the stream before data), data (what is to be written now, or null), head, omitted (bytes), tail:
+    what is shown, of `shown` bytes at most, half of them each. The state holds no more than both bounds.
+    """
+    head_most = shown // 2
+    tail_most = shown - head_most
+
+    def fold(state: Any, e: dict) -> tuple[Any, list[tuple]]:
+        s = state or {"total": 0, "held": "", "open": False, "head": "", "tail": ""}
+        text = e["payload"] or ""
+        before, total = s["total"], s["total"] + len(text.encode())
+        if len(s["head"].encode()) == before:  # nothing has been left out so far
+            joined = s["head"] + text
+            s["head"] = cut_bytes(joined, head_most)
+            rest = joined[len(s["head"]) :]
+        else:
+            rest = s["tail"] + text
+        s["tail"] = last_bytes(rest, tail_most)
+        s["total"], at, data = total, before, None
+        if s["open"]:
+            data = text
+        elif total > threshold:
+            s["open"], at, data, s["held"] = True, 0, s["held"] + text, ""
+        else:
+            s["held"] += text
+        omitted = total - len(s["head"].encode()) - len(s["tail"].encode())
+        return s, [(e["seq"], at, data or None, s["head"], omitted, s["tail"])]
+
+    return fold
+
+
+SPILLED = "seq long, at long, data string, head string, omitted long, tail string"
+
+
 def retry_queue(most: int = 100, retries: int = 0) -> Fold:
     """A queue of requests: `add` (dropping the oldest beyond the bound), then `attempt` events with a status for its head.
 

@@ -6,7 +6,10 @@ Event time and watermarks are this library's addition: the order of arrival is t
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,35 @@ def feed(store, chunk: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame,
     return run
 
 
+def spill_to(folder: str, key: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over what folds.spilling() gives: what is to be written goes to files folder/key/at, one a key and batch.
+
+    A batch that is done again writes the same files again, so after a restart all bytes are there once.
+    """
+
+    def write(group: tuple, t: pa.Table) -> pa.Table:
+        fs, base = (pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith("file:") or "://" not in folder else pafs.FileSystem.from_uri(folder)
+        t = t.sort_by("at")
+        name, data = f"{base}/{quote(str(group[0].as_py()), safe='')}", "".join(t["data"].to_pylist()).encode()
+        fs.create_dir(name, recursive=True)
+        with fs.open_output_stream(f"{name}/{t['at'][0].as_py():015d}") as out:
+            out.write(data)
+        return pa.table({"bytes": [len(data)]})
+
+    def run(batch: DataFrame, _: int) -> None:
+        rows = batch.where("data IS NOT NULL").select(F.col(key).cast("string").alias("key"), "at", "data")
+        rows.groupBy("key").applyInArrow(write, "bytes long").write.format("noop").mode("overwrite").save()
+
+    return run
+
+
+def spilled(spark: SparkSession, folder: str) -> DataFrame:
+    """key, at, content of all files that spill_to() has written; a key's stream is its contents in the order of at."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    part = lambda i: F.element_at(F.split("path", "/"), i)
+    return files.select(F.url_decode(F.url_decode(part(-2))).alias("key"), part(-1).cast("long").alias("at"), "content")
+
+
 def to_json(events: DataFrame, path: str, checkpoint: str, leave_out: tuple[str, ...] = ("message",)):
     """A stream of events as JSON lines, without events of some names."""
     kept = events.where(~F.col("event_name").isin(list(leave_out)))

@@ -158,3 +158,43 @@ def test_listings(spark):
 def test_key_values(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a": 1, "b": {"c": 2}}')
     assert dict(map(tuple, files.key_values(spark, str(tmp_path / "m.json")).collect())) == {"a": "1", "b": '{"c":2}'}
+
+
+def brute_window(text, query):
+    """The shortest window that holds the query in order: all starts and ends are tried."""
+    import itertools
+
+    t, q = text.lower(), [c for c in query.lower() if not c.isspace()]
+    best = None
+    for at in itertools.product(*[[i for i, c in enumerate(t) if c == w] for w in q]):
+        if all(a < b for a, b in itertools.pairwise(at)):
+            key = (at[-1] - at[0], at[-1], at)
+            best = min(best, key) if best else key
+    return best and list(best[2])
+
+
+def test_tightest_windows_against_all_alignments(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcX. ") for _ in range(rng.randrange(12))) for _ in range(150)] + ["", "İi", "aBcaabbc"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for query in ("abc", "aa", "b", "A x", "cab."):
+        got = {r.t: r.x for r in rows.select("t", search.tightest(F.col("t"), query).alias("x")).collect()}
+        for t in set(texts) - {"İi"}:
+            want = brute_window(t, query)
+            assert (got[t] is None) == (want is None), (t, query)
+            if want:
+                assert got[t].end - got[t].start == want[-1] - want[0] + 1 and got[t].positions[0] == got[t].start and got[t].positions[-1] == got[t].end - 1
+                assert [t.lower()[p] for p in got[t].positions] == [c for c in query.lower() if c != " "]
+
+
+def test_best_windows_and_their_marks(spark):
+    from tarnfold.functions import texts
+
+    rows = spark.createDataFrame([("a--b--ab",), ("axb",), ("a<b>",), ("zzz",), (None,)], "path string")
+    out = search.fuzzy_best(rows, "path", "ab").collect()
+    assert [(r.path, r.score, r.start) for r in out] == [("a--b--ab", 2, 6), ("axb", 3, 0), ("a<b>", 3, 0)]
+    marked = search.fuzzy_best(rows, "path", "ab").select(texts.highlight(F.col("path"), search.spans(F.col("positions"))).alias("m"))
+    assert [r.m for r in marked.collect()][:2] == ['a--b--<span class="hit">ab</span>', '<span class="hit">a</span>x<span class="hit">b</span>']
+    assert search.fuzzy_best(rows, "path", "  ").count() == 0

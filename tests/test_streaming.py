@@ -131,3 +131,58 @@ def test_queue_stats(spark):
     r = tools.queue_stats(q).first()
     assert (r["size"], r.oldest, r.newest, r.retries, r.with_error, r.by_type) == (3, 2, 9, 3, 1, {"a": 2, "b": 1})
     assert tools.queue_stats(q.limit(0)).first()["size"] == 0
+
+
+def test_spilling_by_bytes():
+    """What is shown never cuts a character, and what is written is the whole stream from the threshold on."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        chunks = ["".join(rng.choice("aé中🙂") for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 12))]
+        threshold, shown = rng.choice([0, 5, 30, 200]), rng.choice([0, 1, 7, 20, 500])
+        out = run(folds.spilling(threshold, shown), [{"payload": c} for c in chunks])
+        for i, (_, _, _, head, omitted, tail) in enumerate(out):
+            whole = "".join(chunks[: i + 1])
+            size = len(whole.encode())
+            assert whole.startswith(head) and whole.endswith(tail) and omitted == size - len(head.encode()) - len(tail.encode()) >= 0
+            assert len(head.encode()) + len(tail.encode()) <= max(shown, 0)
+            assert omitted or head + tail == whole
+        written = "".join(d for _, _, d, *_ in out if d)
+        assert written == ("".join(chunks) if len("".join(chunks).encode()) > threshold else "")
+        at = 0
+        for _, start, d, *_ in out:
+            if d:
+                assert start == at
+                at += len(d.encode())
+
+
+def test_spilled_files_after_a_restart(spark, folder, tmp_path):
+    """The stream stops after some batches, with one of them done twice, and goes on: files equal the input."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, i, "".join(rng.choice("aé\n") for _ in range(40))) for i in range(60) for k in ("a/b", "c d", "small") if k != "small" or i < 2]
+    events = folder([rows[i : i + 30] for i in range(0, len(rows), 30)], "task string, seq long, payload string")
+    found = folds.follow(events, ["task"], folds.spilling(300, 50), folds.SPILLED)
+    write, done = streams.spill_to(f"file:{tmp_path}/out", "task"), []
+
+    def once_or_fail(batch, n):
+        write(batch, n)
+        done.append(n)
+        if done == [0, 1]:
+            raise RuntimeError("lost after the files were written")
+
+    def start():
+        q = found.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(once_or_fail).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    with pytest.raises(Exception, match="lost"):
+        start()
+    start()
+    got = {}
+    for r in streams.spilled(spark, f"file:{tmp_path}/out").orderBy("key", "at").collect():
+        assert r.at == len(got.get(r.key, b""))
+        got[r.key] = got.get(r.key, b"") + bytes(r.content)
+    assert got == {k: "".join(p for t, _, p in rows if t == k).encode() for k in ("a/b", "c d")}
