@@ -7,9 +7,12 @@ null counts as failed in a run's totals, as neither in its page, and in the deno
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +150,62 @@ def neighbours(points: DataFrame, cost_within: float, score_within: float) -> Da
     return a.join(b, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+#: Sides of a label in the order in which they are tried; cost and score within which labels, or a label and a
+#: point on its side, are in each other's way.
+SIDES = ["top", "bottom", "right", "left"]
+LABEL_COST, LABEL_SCORE, POINT_ACROSS, POINT_UP, POINT_ASIDE = 4, 5, 3, 6, 4
+
+
+def before(a: tuple, b: tuple) -> float:
+    """The order in which labels are placed: the higher score first, but scores within one of each other by cost."""
+    return b[1] - a[1] if abs(b[1] - a[1]) > 1 else a[0] - b[0]
+
+
+def in_the_way(side: str, own: tuple, other: tuple) -> bool:
+    """Whether another point lies where the label would be."""
+    right, up = other[0] - own[0], other[1] - own[1]
+    if side in ("top", "bottom"):
+        return abs(right) < POINT_ACROSS and 0 < (up if side == "top" else -up) < POINT_UP
+    return abs(up) < POINT_ACROSS and 0 < (right if side == "right" else -right) < POINT_ASIDE
+
+
+def clash(side: str, own: tuple, other: tuple) -> bool:
+    """Whether two labels on this side of their points overlap."""
+    return abs(own[0] - other[0]) < LABEL_COST and abs(own[1] - other[1]) < LABEL_SCORE
+
+
+def placed_labels(points: list[tuple[float, float, str]]) -> list[str]:
+    """The side of each label (cost, score, label): the first that is free of points and of labels placed before, else the top.
+
+    Points and labels are looked up in the cells of a grid, so a plot takes time in proportion to its points and their
+    neighbours.
+    """
+    cell = lambda p: (math.floor(p[0] / LABEL_COST), math.floor(p[1] / POINT_UP))
+    there: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        there.setdefault(cell(p), []).append(i)
+    out: list[str] = [""] * len(points)
+    for i in sorted(range(len(points)), key=functools.cmp_to_key(lambda a, b: before(points[a], points[b]))):
+        x, y = cell(points[i])
+        near = [j for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for j in there.get((a, b), ())]
+        taken = lambda side, i=i, near=near: any(
+            points[j][2] != points[i][2] and in_the_way(side, points[i], points[j]) or out[j] == side and clash(side, points[i], points[j]) for j in near
+        )
+        out[i] = next((s for s in SIDES if not taken(s)), SIDES[0])
+    return out
+
+
+def label_positions(points: DataFrame) -> DataFrame:
+    """plot, label, position of every point (plot, label, cost, score): one plot is one task, as its labels go one by one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["label", "cost", "score"])
+        return pdf.assign(position=placed_labels(list(zip(pdf["cost"], pdf["score"], pdf["label"], strict=True))))[["plot", "label", "position"]]
+
+    types = dict(points.dtypes)
+    return points.select("plot", "label", "cost", "score").groupBy("plot").applyInPandas(run, f"plot {types['plot']}, label {types['label']}, position string")
+
+
 def config_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """name, change (added, removed, changed, same) between two sets of (name, config JSON)."""
     o, n = old.select("name", F.col("config").alias("old")), new.select("name", F.col("config").alias("new"))

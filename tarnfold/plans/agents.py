@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions import sequential, shell, texts
 from tarnfold.operators import evals, history, index, messages, search, tools
 from tarnfold.plans.logs import EVENTS, events
 from tarnfold.plans.registry import query, table
+from tarnfold.session import cut, drop, shared_dir
 from tarnfold.sources import files
 from tarnfold.streaming import folds, streams, timers
 
@@ -369,3 +372,99 @@ SELECT doc_id, CAST(sum(chars) - 1 AS INTEGER) AS n_chars FROM o GROUP BY 1"""
 def run_length_sizes(spark, d):
     encoded = sequential.text_udf(sequential.run_lengths)("text")
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(encoded).alias("n_chars"))
+
+
+COPIED = f"""WITH {", ".join(f"{k} AS ({v})" for k, v in RUNS.items())}, own AS (SELECT * FROM tasks WHERE run_id = 42), run AS (SELECT * FROM runs WHERE id = 42),
+m AS (SELECT id, 3000000 + row_number() OVER (ORDER BY id) AS new FROM (SELECT task_metrics_id AS id FROM own UNION SELECT task_metrics_id FROM run) WHERE id IS NOT NULL),
+t AS (SELECT id, 2000000 + row_number() OVER (ORDER BY id) AS new FROM (SELECT DISTINCT id FROM own))
+SELECT 'run' AS name, 1000001::BIGINT AS id, m.new::BIGINT AS ref FROM run LEFT JOIN m ON m.id = run.task_metrics_id
+UNION ALL SELECT 'task', t.new, m.new FROM own JOIN t USING (id) LEFT JOIN m ON m.id = own.task_metrics_id
+UNION ALL SELECT 'metrics', m.new, NULL FROM metrics JOIN m USING (id)
+UNION ALL SELECT 'error', errors.id, t.new FROM errors LEFT JOIN t ON t.id = errors.task_id WHERE run_id = 42"""
+
+
+@query("copied_run", COPIED)
+def copied_run(spark, d):
+    new = files.copy_run(*run_tables(spark, d), 42, {"run": 1_000_000, "task": 2_000_000, "metrics": 3_000_000})
+    one = lambda df, name, ref: df.select(F.lit(name).alias("name"), F.col("id").cast("long").alias("id"), ref.cast("long").alias("ref"))
+    out = one(new["runs"], "run", F.col("task_metrics_id")).union(one(new["tasks"], "task", F.col("task_metrics_id")))
+    return out.union(one(new["metrics"], "metrics", F.lit(None))).union(one(new["errors"], "error", F.col("task_id")))
+
+
+@query("header_sections", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '0-1:' || p_name || ',2-4:' || p_brand || ' ##' ELSE '0-3:' || p_name END AS sections FROM part")
+def header_sections(spark, d):
+    said = sequential.text_udf(lambda t: ",".join(f"{a}-{b}:{h}" for a, b, h in index.markdown_sections(t.split("\n"))))
+    return part(spark, d).select("p_partkey", said(F.expr(HEADED)).alias("sections"))
+
+
+INDENTED = """WITH l AS (SELECT p_brand AS path, p_size % 4 AS level, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) // 2 AS anchor FROM part),
+a AS (SELECT path, anchor, greatest(0, level - 1) AS least FROM l WHERE i = anchor), o AS (SELECT l.*, least FROM l JOIN a USING (path, anchor))
+SELECT path, coalesce(max(i) FILTER (i < anchor AND level < least) + 1, 0)::INTEGER AS first, coalesce(min(i) FILTER (i > anchor AND level < least) - 1, max(i))::INTEGER AS last FROM o GROUP BY path"""
+
+
+@query("indented_ranges", INDENTED)
+def indented_ranges(spark, d):
+    """The rows around the middle of a file that are indented no less than one level less."""
+    line = F.struct("p_partkey", F.concat(F.repeat(F.lit("    "), F.col("p_size") % 4), "p_name").alias("line"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n")
+    around = sequential.text_udf(lambda t: list(sequential.with_indentation(t.split("\n"), len(t.split("\n")) // 2, 1)), "array<int>")
+    whole = part(spark, d).groupBy(F.col("p_brand").alias("path")).agg(text.alias("text"))
+    return whole.select("path", around("text").alias("r")).select("path", F.col("r")[0].alias("first"), F.col("r")[1].alias("last"))
+
+
+CALLS = """WITH t AS (SELECT conv_id, turn AS seq, coalesce(left(text, 2), '') AS args, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total, string_agg(coalesce(left(text, 2), ''), '') OVER w AS so_far FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, seq, 'start' AS kind, 'read' AS said FROM t WHERE n = 2 UNION ALL SELECT conv_id, seq, 'delta', CASE WHEN n = 2 THEN so_far ELSE args END FROM t WHERE n >= 2 AND CASE WHEN n = 2 THEN so_far ELSE args END <> ''
+UNION ALL SELECT conv_id, seq, 'end', 'read' FROM t WHERE n = total AND n >= 2"""
+
+
+@query("assembled_calls", CALLS)
+def assembled_calls(spark, d):
+    """Conversations as streamed tool calls: the id with the first piece, the name with the second, and the last ends it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pieces = table(spark, d, "conversations").withColumn("n", F.row_number().over(w)).select(
+        "conv_id", F.col("turn").alias("seq"), F.when(F.col("n") == 1, "c1").alias("id"), F.when(F.col("n") == 2, "read").alias("name"), F.coalesce(F.left("text", F.lit(2)), F.lit("")).alias("arguments"),
+        F.lead("turn").over(w).isNull().alias("done"),
+    )
+    return folds.replay(pieces, ["conv_id"], folds.tool_calls, "seq long, kind string, said string")
+
+
+TAGGED = """WITH t AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN left(text, 5) || '<thi' ELSE 'nk>' || left(text, 4) || '</think>' END, '' ORDER BY turn) AS whole, count(*) AS n FROM conversations WHERE text IS NOT NULL AND turn < 6 GROUP BY 1),
+p AS (SELECT conv_id, whole, regexp_extract_all(whole, '<think>(.*?)</think>', 1) AS ins, regexp_replace(whole, '<think>.*?</think>', '', 'g') AS outs FROM t)
+SELECT conv_id, array_to_string(ins, '') || CASE WHEN contains(outs, '<think>') THEN split_part(outs, '<think>', 2) ELSE '' END AS inside, regexp_replace(split_part(outs, '<think>', 1), '(<|<t|<th|<thi|<thin|<think)$', '') AS outside FROM p"""
+
+
+@query("tagged_stretches", TAGGED)
+def tagged_stretches(spark, d):
+    """What of streamed texts, cut in the middle of a mark, is inside and outside of a tag."""
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.left("text", F.lit(5)), F.lit("<thi"))).otherwise(F.concat(F.lit("nk>"), F.left("text", F.lit(4)), F.lit("</think>")))
+    chunks = table(spark, d, "conversations").where("text IS NOT NULL AND turn < 6").select("conv_id", F.col("turn").alias("seq"), text.alias("payload"))
+    out = folds.replay(chunks, ["conv_id"], folds.tagged("think"), "seq long, inside boolean, text string").withColumn("n", F.monotonically_increasing_id())
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("n", "text")))), lambda x: x["text"]), "")
+    found = out.groupBy("conv_id").agg(joined(F.col("inside")).alias("inside"), joined(~F.col("inside")).alias("outside"))
+    return chunks.select("conv_id").distinct().join(found, "conv_id", "left").select("conv_id", F.coalesce("inside", F.lit("")).alias("inside"), F.coalesce("outside", F.lit("")).alias("outside"))
+
+
+@query("stored_points", """WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN 'src/d' || (vec_id % 3) || '/f' || vec_id END AS path, embedding FROM embeddings WHERE vec_id % 3 = 1 AND vec_id % 7 > 0 AND vec_id % 5 > 0),
+q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT p.vec_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM p, q) SELECT vec_id::VARCHAR AS id, round(score, 4) AS score FROM s WHERE score >= 0.05 ORDER BY s.score DESC LIMIT 20""")
+def stored_points(spark, d):
+    """A store of points: written, searched below a folder, without points that lack a part of their payload."""
+    e = table(spark, d, "embeddings")
+    folder = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    store = tools.VectorStore(spark, folder, 64)
+    store.initialize()
+    path = F.when(F.col("vec_id") % 7 > 0, F.concat(F.lit("src/d"), F.col("vec_id") % 3, F.lit("/f"), "vec_id"))
+    content = F.when(F.col("vec_id") % 5 > 0, "text")
+    points = e.select(F.col("vec_id").cast("string").alias("id"), path.alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), content.alias("content"), F.lit("h").alias("segment_hash"), "embedding")
+    store.upsert(points)
+    query_ = e.where("vec_id = 0").select("embedding").first()[0]
+    found = store.search(query_, k=20, least=0.05, prefix="src/d1").select("id", F.round("score", 4).alias("score"))
+    out = cut(found)
+    drop(spark, folder)
+    return out
+
+
+@query("label_positions")
+def label_positions(spark, d):
+    """Customers as the points of a plot for each market segment, without those that cost too much to be shown."""
+    points = table(spark, d, "customer").selectExpr("c_mktsegment AS plot", "c_name AS label", "c_acctbal / 200 AS cost", "CAST(c_custkey % 101 AS DOUBLE) AS score")
+    return evals.label_positions(points.where("cost < 50"))
