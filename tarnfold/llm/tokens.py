@@ -33,6 +33,8 @@ NULL_ID = -(1 << 63)
 BATCH = 1 << 23
 #: Characters by which ranges divide the texts of one doc_id: their order is that of the texts.
 HEAD = 32
+#: With fewer different ids than this share of the rows, some may be shared by many.
+SHARED_IDS = 0.9
 
 
 class Encoder:
@@ -123,7 +125,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     encode_special: whether strings of special tokens inside texts are ordinary text.
     """
     spark = docs.sparkSession
-    parts = partitions or parts_for(spark, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
+    size, count, ids = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.approx_count_distinct("doc_id")).first()
+    parts = partitions or parts_for(spark, int(size or 0))
+    # ids that many rows share are divided by what their texts begin with; otherwise only ids are looked at for the ranges
+    heads = [F.left("text", F.lit(HEAD)).asc_nulls_first()] if ids < SHARED_IDS * count else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, encode_special)
@@ -152,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "uri": [f"{folder}/{name}"], "n_docs": [len(ids)], "n_tokens": [n]})
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, order[0], F.left("text", F.lit(HEAD)).asc_nulls_first()).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, order[0], *heads).sortWithinPartitions(*order)
     written = cut(rows.mapInArrow(run, "part long, uri string, n_docs long, n_tokens long")).orderBy("part").collect()
     base, out = 0, []
     for r in written:
