@@ -468,3 +468,26 @@ def label_positions(spark, d):
     """Customers as the points of a plot for each market segment, without those that cost too much to be shown."""
     points = table(spark, d, "customer").selectExpr("c_mktsegment AS plot", "c_name AS label", "c_acctbal / 200 AS cost", "CAST(c_custkey % 101 AS DOUBLE) AS score")
     return evals.label_positions(points.where("cost < 50"))
+
+
+#: Lines are filled in one after another; where the rest would be short, the last split moves back if both sides stay long enough.
+LINE_CHUNKS = """WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE length(text) >= 50),
+s AS (SELECT doc_id, ls, len(ls) AS n, list_transform(ls, lambda x, i: length(x) + CASE WHEN i < len(ls) THEN 1 ELSE 0 END) AS sz FROM d),
+p AS (SELECT *, list_prepend(0, list_transform(range(1, n + 1), lambda k: list_sum(sz[1:k])::BIGINT)) AS pre FROM s),
+r AS (SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS held, NULL::BIGINT AS a, NULL::BIGINT AS b FROM p UNION ALL
+SELECT doc_id, i + 1, CASE WHEN big THEN i + 2 WHEN over THEN e + 1 ELSE held END, CASE WHEN big OR over THEN held END, CASE WHEN big THEN i WHEN over THEN e END FROM (
+SELECT doc_id, i, held, big, over, CASE WHEN rest < 200 AND back IS NOT NULL AND pre[back + 1] - pre[held] >= 50 THEN back ELSE i END AS e FROM (
+SELECT r.doc_id, i, held, pre, sz[i + 1] > 1150 AS big, held <= i AND pre[i + 2] - pre[held] > 1150 AS over, pre[n + 1] - pre[i + 1] AS rest, list_max(list_filter(range(held, i), lambda e: pre[n + 1] - pre[e + 1] >= 200)) AS back FROM r JOIN p USING (doc_id) WHERE i < n))),
+spans AS (SELECT doc_id, a, b FROM r WHERE a <= b UNION ALL SELECT doc_id, held, n FROM r JOIN p USING (doc_id) WHERE i = n AND held <= n),
+whole AS (SELECT 'd' || doc_id || '.swift' AS path, a AS first, b AS last, array_to_string(ls[a:b], chr(10)) AS content, '' AS extra, 'fallback_chunk' AS type FROM spans JOIN p USING (doc_id)),
+cut AS (SELECT doc_id, ls, unnest(range(1, n + 1)) AS k, unnest(sz) AS size FROM p),
+segments AS (SELECT 'd' || doc_id || '.swift' AS path, k AS first, k AS last, pos, ls[k] AS line FROM (SELECT *, unnest(range(0, length(ls[k]), 1000)) AS pos FROM cut WHERE size > 1150)),
+blocks AS (SELECT * FROM whole WHERE length(content) >= 50 UNION ALL SELECT path, first, last, substr(line, pos + 1, 1000), '-' || pos, 'fallback_chunk_segment' FROM segments)
+SELECT path, type, first::INTEGER AS start_line, last::INTEGER AS end_line, md5(content) AS digest, sha256(concat(path, '-', first, '-', last, extra, '-', length(content), '-', left(content, 100))) AS segment_hash FROM blocks"""
+
+
+@query("line_chunks", LINE_CHUNKS)
+def line_chunks(spark, d):
+    """All documents as chunks of lines, with long lines cut by themselves."""
+    rows = table(spark, d, "documents").select(F.format_string("d%d.swift", "doc_id").alias("path"), F.col("text").alias("content"))
+    return index.chunks(rows).select("path", "type", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("digest"), "segment_hash")
