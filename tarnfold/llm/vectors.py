@@ -13,6 +13,10 @@ than its dimensions' share of it. Each block is joined by range on its own:
 
 Rotated vectors are rounded to whole numbers, with the rounding added to the budget. So what a pair's first block is does
 not depend on the order of sums, and no pair is counted twice or lost. Equal vectors are one node with a weight.
+
+Before that, large groups of near copies are taken out. All vectors within half the range of one of the sample are linked
+with each other, so such a ball is counted and not compared, whatever its size. A vector outside of it is linked with
+none of the ball or all of it, by its distance from the middle, or, in the narrow shell between, compared with its members.
 The sample decides only how much is compared, never what is found.
 """
 
@@ -33,6 +37,8 @@ THRESHOLD = 0.9
 BLOCKS = 4
 #: Vectors that centres are fitted on, for each number of dimensions.
 SAMPLE = 4096
+#: Vectors of the sample that may be the middle of a ball, and members from which on a ball is counted as a whole.
+LEADERS, BALL_ROWS = 1024, 512
 #: Rows for which a block gets one more cell, and the most cells it gets.
 CELL_ROWS, CELLS = 4096, 1024
 #: Rows of one side of a task, if they are of 64 dimensions; in proportion fewer if they have more.
@@ -134,22 +140,29 @@ class Forest:
                 self.up = self.up[self.up]
 
 
-def compare(space: Space, block: int, units: np.ndarray, rotated: np.ndarray, weight: np.ndarray, first: int, within: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row, its root): the first `first` rows with those after them, and with each other if `within`.
+class Links:
+    """Links of the rows of a task: how many each has, by weight, and which are connected."""
 
-    Of the pairs in range of each other in `block`, those that no earlier block finds are verified.
-    """
-    n, forest, links = len(units), Forest(len(units)), np.zeros(len(units), np.int64)
-    lo, hi = space.edges[block], space.edges[block + 1]
-    x = rotated[:, lo:hi].astype("f4") / SCALE
-    limit, half = space.budgets[block] / SCALE**2, (x**2).sum(axis=1, keepdims=True) / 2
-    one = np.ones_like(half)
-    # left times right is half of what the squared distance falls short of the budget
-    left, right = np.hstack([x, -half, one]), np.hstack([x, one, limit / 2 - half])
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.n, self.forest = weight, np.zeros(len(weight), np.int64), Forest(len(weight))
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        for a, b in ((p, q), (q, p)):
+            self.n += np.bincount(a, self.weight[b], len(self.n)).astype(np.int64)
+        self.forest.join(p, q)
+
+    def table(self, node: np.ndarray) -> pa.Table:
+        some = self.n > 0
+        return pa.table({"node": node[some], "n": self.n[some], "root": node[self.forest.up[some]]})
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, first: int, within: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose product of left and right is `least` or more, some at a time: the first `first` rows with those
+    after them, and with each other if `within`."""
     for i in range(0, first, TILE):
         a = min(i + TILE, first)
-        for j in range(i if within else first, n, TILE):
-            near = left[i:a] @ right[j : j + TILE].T >= -1e-5
+        for j in range(i if within else first, len(left), TILE):
+            near = left[i:a] @ right[j : j + TILE].T >= least
             if not near.any():
                 continue
             p, q = np.nonzero(near)
@@ -157,20 +170,32 @@ def compare(space: Space, block: int, units: np.ndarray, rotated: np.ndarray, we
             if j < first:
                 p, q = p[q > p], q[q > p]
             for k in range(0, len(p), PAIRS):
-                verify(space, block, units, rotated, weight, p[k : k + PAIRS], q[k : k + PAIRS], threshold, links, forest)
-    return links, forest.up
+                yield p[k : k + PAIRS], q[k : k + PAIRS]
 
 
-def verify(space, block, units, rotated, weight, p, q, threshold, links, forest) -> None:
-    apart = (rotated[p].astype(float) - rotated[q]) ** 2  # whole numbers: sums are exact in any order
-    for b in range(block + 1):
-        inside = apart[:, space.edges[b] : space.edges[b + 1]].sum(axis=1) <= space.budgets[b]
-        stay = inside if b == block else ~inside
-        p, q, apart = p[stay], q[stay], apart[stay]
-    linked = np.einsum("ij,ij->i", units[p], units[q]) >= threshold
-    p, q = p[linked], q[linked]
-    links += np.bincount(p, weight[q], len(links)).astype(np.int64) + np.bincount(q, weight[p], len(links)).astype(np.int64)
-    forest.join(p, q)
+def linked(units: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are linked, by their cosines."""
+    good = np.einsum("ij,ij->i", units[p], units[q]) >= threshold
+    return p[good], q[good]
+
+
+def compare(space: Space, block: int, units: np.ndarray, rotated: np.ndarray, weight: np.ndarray, first: int, within: bool, threshold: float) -> Links:
+    """Links of the pairs in range of each other in `block` that no earlier block finds."""
+    out = Links(weight)
+    lo, hi = space.edges[block], space.edges[block + 1]
+    x = rotated[:, lo:hi].astype("f4") / SCALE
+    limit, half = space.budgets[block] / SCALE**2, (x**2).sum(axis=1, keepdims=True) / 2
+    one = np.ones_like(half)
+    # left times right is half of what the squared distance falls short of the budget
+    left, right = np.hstack([x, -half, one]), np.hstack([x, one, limit / 2 - half])
+    for p, q in near_pairs(left, right, first, within, -1e-5):
+        apart = (rotated[p].astype(float) - rotated[q]) ** 2  # whole numbers: sums are exact in any order
+        for b in range(block + 1):
+            inside = apart[:, space.edges[b] : space.edges[b + 1]].sum(axis=1) <= space.budgets[b]
+            stay = inside if b == block else ~inside
+            p, q, apart = p[stay], q[stay], apart[stay]
+        out.add(*linked(units, p, q, threshold))
+    return out
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -199,15 +224,8 @@ def tasks(chunks: DataFrame, placed: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.explode(F.expr(f"IF(guest, {guest}, concat({home}, {guests}))"))).select("*", "t.i", "t.j", "t.side").drop("t", "c", "h", "g")
 
 
-def links_of(nodes: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, cells: int = CELLS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """node, n (the summed weights of the nodes that it links with), root (a node that it is connected to), several rows a node.
-
-    nodes: node, v, dims, weight; a written table. All links are within one number of dimensions.
-    """
-    spaces = {}
-    for dims, n in nodes.groupBy("dims").count().collect():
-        some = nodes.where(F.col("dims") == dims).orderBy(F.xxhash64("v"), "node").limit(sample).select("v").collect()
-        spaces[dims] = Space.fit(dims, n, [bytes(r["v"]) for r in some], threshold, blocks, cell_rows, cells)
+def block_links(nodes: DataFrame, spaces: dict[int, Space], threshold: float, chunk_rows: int) -> DataFrame:
+    """node, n, root of the links between nodes, by the joins of the blocks."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,25 +242,137 @@ def links_of(nodes: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCK
                         yield pa.RecordBatch.from_arrays([*own, *place_], ["node", "weight", "dims", "v", "q", "block", "cell", "guest"])
 
     placed = cut(nodes.select("node", "weight", "dims", "v").mapInArrow(place, "node long, weight long, dims int, v binary, q binary, block int, cell int, guest boolean"))
-    per = F.greatest(F.lit(1), (F.lit(chunk_rows * 64) / F.greatest(F.col("dims"), F.lit(64))).cast("long"))
-    in_chunks = lambda n: F.ceil(n / per).cast("int")
     sizes = placed.groupBy("dims", "block", "cell").agg(F.count_if(~F.col("guest")).alias("home"), F.count_if("guest").alias("away"))
     # a cell where nobody is at home has nothing to compare
-    chunks = cut(sizes.where("home > 0").select("dims", "block", "cell", in_chunks(F.col("home")).alias("h"), F.greatest(F.lit(1), in_chunks(F.col("away"))).alias("g")))
+    chunks = cut(sizes.where("home > 0").select("dims", "block", "cell", in_chunks("home", chunk_rows).alias("h"), F.greatest(F.lit(1), in_chunks("away", chunk_rows)).alias("g")))
 
     def task(key: tuple, t: pa.Table) -> pa.Table:
         dims, block, _, i, j = (k.as_py() for k in key)
         t, space = t.sort_by("side"), spaces[dims]
-        node, weight = t["node"].to_numpy(), t["weight"].to_numpy()
-        units = unpacked(t["v"].to_pylist(), dims)
         rotated = np.frombuffer(b"".join(t["q"].to_pylist()), "<i2").reshape(-1, dims)
         first = int((t["side"].to_numpy() == 0).sum())
-        links, root = compare(space, block, units, rotated, weight, first, i == j, threshold)
-        some = links > 0
-        return pa.table({"node": node[some], "n": links[some], "root": node[root[some]]})
+        return compare(space, block, unpacked(t["v"].to_pylist(), dims), rotated, t["weight"].to_numpy(), first, i == j, threshold).table(t["node"].to_numpy())
+
+    return tasks(small(chunks, chunks.count()), placed).groupBy("dims", "block", "cell", "i", "j").applyInArrow(task, LINKS)
+
+
+LINKS = "node long, n long, root long"
 
-    dealt = tasks(small(chunks, chunks.count()), placed)
-    return dealt.groupBy("dims", "block", "cell", "i", "j").applyInArrow(task, "node long, n long, root long")
+
+def in_chunks(rows: str, chunk_rows: int) -> Column:
+    """Into how many chunks so many rows are cut: a chunk is of `chunk_rows` rows of 64 dimensions."""
+    per = F.greatest(F.lit(1), (F.lit(chunk_rows * 64) / F.greatest(F.col("dims"), F.lit(64))).cast("long"))
+    return F.ceil(F.col(rows) / per).cast("int")
+
+
+@dataclass
+class Balls:
+    """Balls of one number of dimensions: number, middle, radius, summed weight and one of the members of each."""
+
+    number: np.ndarray
+    middle: np.ndarray
+    radius: np.ndarray
+    weight: np.ndarray
+    member: np.ndarray
+
+
+def in_balls(nodes: DataFrame, leaders: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """nodes with ball, the number of the nearest leader, and how far that is; ball is null beyond half the range."""
+    most = np.sqrt((2 - 2 * threshold) / 4) * (1 - 1e-6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, ball, far = b["dims"].to_numpy(), np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                cosines = unpacked(b["v"].take(pa.array(at)).to_pylist(), int(d)) @ leaders[d].T
+                ball[at] = cosines.argmax(1)
+                far[at] = np.sqrt(np.maximum(2 - 2 * cosines.max(1), 0)) + 1e-9
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ball, mask=far > most), pa.array(far)], [*b.schema.names, "ball", "far"])
+
+    return nodes.mapInArrow(run, "node long, weight long, dims int, v binary, ball int, far double")
+
+
+def ball_links(assigned: DataFrame, balls: dict[int, Balls], threshold: float, chunk_rows: int) -> DataFrame:
+    """node, n, root of the links of the balls' members, with each other and with all other nodes.
+
+    assigned: in_balls(), where ball is null for those of no ball here.
+    """
+    spark, reach = assigned.sparkSession, np.sqrt(2 - 2 * threshold)
+    stats = [(d, int(k), int(w), int(m)) for d, x in balls.items() for k, w, m in zip(x.number, x.weight, x.member, strict=True)]
+    of_ball = F.broadcast(spark.createDataFrame(stats, "dims int, ball int, total long, member long"))  # LEADERS rows for each number of dimensions
+    inside = assigned.join(of_ball, ["dims", "ball"])
+
+    def shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every node, the balls that it may be linked with, and whether it is with all members."""
+        for b in batches:
+            dims, own = b["dims"].to_numpy(), b["ball"].fill_null(-1).to_numpy()
+            for d, x in balls.items():
+                at = np.flatnonzero(dims == d)
+                if not len(at):
+                    continue
+                far = np.sqrt(np.maximum(2 - 2 * unpacked(b["v"].take(pa.array(at)).to_pylist(), d) @ x.middle.T, 0))
+                # two balls meet by the members of the one with the larger number
+                other = (own[at, None] < 0) | (own[at, None] > x.number)
+                row, k = np.nonzero(other & (far <= reach + x.radius + 1e-6))
+                take = pa.array(at[row])
+                every = pa.array(far[row, k] + x.radius[k] <= reach - 1e-6)
+                yield pa.RecordBatch.from_arrays([*(b[c].take(take) for c in ("node", "weight", "dims", "v")), pa.array(x.number[k].astype(np.int32)), every], ["node", "weight", "dims", "v", "ball", "every"])
+
+    near = cut(assigned.select("node", "weight", "dims", "v", "ball").mapInArrow(shells, "node long, weight long, dims int, v binary, ball int, every boolean"))
+    whole = near.where("every")
+    more = whole.groupBy("dims", "ball").agg(F.sum("weight").alias("more"))
+    members = inside.join(F.broadcast(more), ["dims", "ball"], "left").select("node", (F.col("total") - F.col("weight") + F.coalesce("more", F.lit(0))).alias("n"), F.col("member").alias("root"))
+    outside = whole.join(of_ball, ["dims", "ball"]).select("node", F.col("total").alias("n"), F.col("member").alias("root"))
+    part = near.where("NOT every")
+    sizes = part.groupBy("dims", "ball").agg(F.count("*").alias("away")).join(inside.groupBy("dims", "ball").agg(F.count("*").alias("home")), ["dims", "ball"])
+    chunks = F.broadcast(sizes.select("dims", "ball", in_chunks("home", chunk_rows).alias("h"), in_chunks("away", chunk_rows).alias("g")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>"))
+    left = inside.join(chunks, ["dims", "ball"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("h"))).withColumn("j", every("g"))
+    right = part.join(chunks, ["dims", "ball"]).withColumn("j", F.pmod(F.xxhash64("node"), F.col("g"))).withColumn("i", every("h"))
+    columns = ["dims", "ball", "i", "j", "node", "weight", "v"]
+    both = left.select(*columns, F.lit(0).alias("side")).union(right.select(*columns, F.lit(1).alias("side")))
+
+    def task(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("side")
+        units, out = unpacked(t["v"].to_pylist(), key[0].as_py()), Links(t["weight"].to_numpy())
+        low = units.astype("f4")
+        for p, q in near_pairs(low, low, int((t["side"].to_numpy() == 0).sum()), False, threshold - 1e-5):
+            out.add(*linked(units, p, q, threshold))
+        return out.table(t["node"].to_numpy())
+
+    compared = both.groupBy("dims", "ball", "i", "j").applyInArrow(task, LINKS)
+    return members.union(outside).union(compared)
+
+
+def links_of(
+    nodes: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, cells: int = CELLS, chunk_rows: int = CHUNK_ROWS,
+    leaders: int = LEADERS, ball_rows: int = BALL_ROWS,
+) -> DataFrame:
+    """node, n (the summed weights of nodes that it links with), root (a node that it is connected to), several rows a node.
+
+    nodes: node, v, dims, weight; a written table. All links are within one number of dimensions.
+    """
+    counts = {r["dims"]: r["count"] for r in nodes.groupBy("dims").count().collect()}
+    some = {}
+    for dims in counts:
+        rows = nodes.where(F.col("dims") == dims).orderBy(F.xxhash64("v"), "node").limit(sample).select("v").collect()
+        some[dims] = [bytes(r["v"]) for r in rows]
+    spaces = {d: Space.fit(d, n, some[d], threshold, blocks, cell_rows, cells) for d, n in counts.items()}
+    middles = {d: unpacked(x[:leaders], d) for d, x in some.items()}
+    assigned = cut(in_balls(nodes.select("node", "weight", "dims", "v"), middles, threshold))
+    stats = assigned.where("ball IS NOT NULL").groupBy("dims", "ball").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.sum("weight").alias("weight"), F.min("node").alias("member"))
+    large = stats.where(F.col("n") >= ball_rows).orderBy("dims", "ball").collect()  # one row a leader at most
+    balls = {}
+    for d in {r["dims"] for r in large}:
+        mine = [r for r in large if r["dims"] == d]
+        column = lambda c, mine=mine: np.array([r[c] for r in mine])
+        balls[d] = Balls(column("ball"), middles[d][column("ball")], column("far"), column("weight"), column("member"))
+    if not balls:
+        return block_links(nodes, spaces, threshold, chunk_rows)
+    keys = F.broadcast(nodes.sparkSession.createDataFrame([(d, int(k)) for d, x in balls.items() for k in x.number], "dims int, ball int").withColumn("large", F.lit(True)))
+    marked = cut(assigned.join(keys, ["dims", "ball"], "left").withColumn("ball", F.when(F.col("large"), F.col("ball"))).select("node", "weight", "dims", "v", "ball"))
+    return ball_links(marked, balls, threshold, chunk_rows).union(block_links(marked.where("ball IS NULL"), spaces, threshold, chunk_rows))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

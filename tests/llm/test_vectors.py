@@ -60,6 +60,7 @@ def test_against_brute_force(spark, dims, blocks, cell_rows, chunk_rows):
     """Many cells, guests, and cells cut into many chunks: each link is counted once."""
     rows = planted(260, dims, dims, [0.0, 0.1, 0.3, 0.45, 0.5])
     got = check(spark, rows, blocks=blocks, cell_rows=cell_rows, chunk_rows=chunk_rows)
+    assert check(spark, rows, blocks=blocks, cell_rows=cell_rows, chunk_rows=chunk_rows, leaders=60, ball_rows=3) == got
     assert sum(r[1] for r in got) > 100 and sum(r[3] for r in got) < len(rows)
 
 
@@ -100,3 +101,20 @@ def test_hot_group(spark):
     rows = [(i, (c + (0.02 * rng.standard_normal(32) if i % 3 else 0)).tolist() if i % 3 < 2 else rng.standard_normal(32).tolist()) for i in range(900)]
     got = {r[0]: r for r in check(spark, rows, cell_rows=100, chunk_rows=64)}
     assert got[0][1] == got[1][1] == 599 and got[1][2] == 0
+    for leaders, ball_rows in ((1024, 100), (200, 2)):
+        assert check(spark, rows, cell_rows=100, chunk_rows=64, leaders=leaders, ball_rows=ball_rows) == sorted(got.values(), key=repr)
+
+
+def test_balls_and_their_shells(spark):
+    """Broad groups around each other: balls that are linked as a whole, by some members, and not at all; several lengths."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for dims in (8, 20):
+        c = rng.standard_normal(dims)
+        c /= np.linalg.norm(c)
+        for k in range(240):
+            side = rng.standard_normal(dims)
+            side -= c * (c @ side)
+            rows.append((1000 * dims + k, (c + side / np.linalg.norm(side) * rng.choice([0, 0.05, 0.2, 0.3, 0.45, 0.6])).tolist()))
+    got = check(spark, rows, leaders=40, ball_rows=2, chunk_rows=16)
+    assert check(spark, rows) == got and max(r[1] for r in got) > 100
