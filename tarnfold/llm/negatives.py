@@ -4,9 +4,9 @@ Vectors become whole numbers, floor(256 x). A codebook for every SUB dimensions,
 row one byte a subspace; the norm of what the codes leave over is stored with them. For an anchor, tables of its products
 with all codewords are looked up and summed: that is the score, up to the anchor's norm times the row's residual norm.
 
-Anchors and rows meet as a grid of anchor blocks and row chunks, each cell one task. A task leaves out only rows whose
-upper bound is under the k-th lower bound of rows that are sure to be in the window; whole-number scores of all others
-decide. It gives back its best k for each anchor, and the best of those are the result: windows are complete, and the
+Anchors and rows meet as a grid of anchor blocks and row chunks, each cell one task. A task scores the
+likeliest rows and leaves out only those whose upper bound is under the k-th score found; whole-number scores of all
+others decide. It gives back its best k for each anchor, and the best of those are the result: windows are complete, and the
 codebooks decide only how much is scored exactly.
 """
 
@@ -29,6 +29,8 @@ SUB, WORDS, SAMPLE = 2, 256, 4096
 CHUNK_ROWS, ANCHOR_ROWS, SPREAD, SPREAD_ROWS = 1 << 16, 1 << 15, 64, 4096
 #: Anchors whose tables are held at a time.
 TOGETHER = 32
+#: Rows that are scored exactly for each one that is asked for, before the others are left out by their bounds.
+PROBES = 4
 #: Components beyond this could leave 64-bit scores; they are an error.
 LARGEST = 1 << 25
 
@@ -93,16 +95,24 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def complete(lower: np.ndarray, upper: np.ndarray, low: int | None, high: int | None, k: int) -> np.ndarray:
-    """Places of all rows that can be among the first k of those that score from low to high (None: without a bound)."""
-    sure, may = np.ones(len(lower), bool), np.ones(len(lower), bool)
+def complete(lower: np.ndarray, upper: np.ndarray, low: int | None, high: int | None, k: int, exact: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Places of all rows that can be among the first k of those that score from low to high (None: without a bound).
+
+    The likeliest PROBES * k by the middle of their bounds are scored by exact(places); a row whose upper bound is under
+    the k-th of these scores inside the window has k rows before it.
+    """
+    may = np.ones(len(lower), bool)
     if low is not None:
-        sure &= lower >= low
         may &= upper >= low
     if high is not None:
-        sure &= upper <= high
         may &= lower <= high
-    least = kth_largest(lower[sure], k)
+    middle = lower + upper
+    likely = np.flatnonzero(may if high is None else may & (middle <= 2 * high))
+    if len(likely) > PROBES * k:
+        likely = likely[np.argpartition(-middle[likely], PROBES * k)[: PROBES * k]]
+    score = exact(likely)
+    inside = np.ones(len(score), bool) if low is None and high is None else (score >= low) & (score <= high)
+    least = kth_largest(score[inside], k)
     return np.flatnonzero(may if least is None else may & (upper >= least))
 
 
@@ -188,7 +198,7 @@ def hard_negatives(
 
     def same_label(a: dict, r: dict, q: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> list[tuple]:
         own = np.flatnonzero((r["label"] == a["label"]) & (r["row"] != a["row"]))
-        own = own[complete(lower[own], upper[own], None, None, positives)]
+        own = own[complete(lower[own], upper[own], None, None, positives, lambda at: q[own[at]] @ a["q"])]
         score = q[own] @ a["q"]
         return [(a["row"], r["id"][own[i]], r["row"][own[i]], score[i]) for i in best(score, r["id"][own], positives)]
 
@@ -199,7 +209,7 @@ def hard_negatives(
             least, most = windows(p["score"], low, high)
             if least > most:
                 continue
-            own = complete(lower, upper, least, most, negatives)
+            own = complete(lower, upper, least, most, negatives, lambda at: q[other[at]] @ a["q"])
             own, score = other[own], q[other[own]] @ a["q"]
             inside = (score >= least) & (score <= most)
             own, score = own[inside], score[inside]

@@ -66,9 +66,16 @@ def test_odd_rows(spark):
 def test_bounds_hold_and_prune():
     """Every exact score lies between its bounds, whatever the books, and most rows need no exact score."""
     rows = np.floor(256 * np.array([v for _, v, _ in vectors(3000, 64, 2)])).astype(np.int64)
-    for words, share in ((256, 0.25), (3, 1.0)):
+    for words, share in ((256, 0.05), (3, 1.0)):
         books = negatives.books_of(rows[:2000], 2, words)
         lower, upper = negatives.bounds(rows[:40], *negatives.encode(rows, books, 2), books, 2)
         exact = rows[:40] @ rows.T
         assert (lower <= exact).all() and (exact <= upper).all()
-        assert np.mean([len(negatives.complete(lo, up, None, None, 5)) for lo, up in zip(lower, upper, strict=True)]) <= share * len(rows)
+        for low, high, k in ((None, None, 5), (5000, 15000, 10), (40000, 60000, 10), (-3000, 3000, 10)):
+            left = []
+            for i in range(40):
+                at = negatives.complete(lower[i], upper[i], low, high, k, lambda x, i=i: exact[i][x])
+                good = np.flatnonzero((exact[i] >= (low or -(1 << 40))) & (exact[i] <= (high or 1 << 40)))
+                assert set(good[np.lexsort((good, -exact[i][good]))[:k]]) <= set(at)
+                left.append(len(at))
+            assert low is not None or np.mean(left) <= share * len(rows)
