@@ -40,7 +40,7 @@ SAMPLE = 4096
 #: Vectors of the sample that may be the middle of a ball, and members from which on a ball is counted as a whole.
 LEADERS, BALL_ROWS = 1024, 512
 #: Rows for which a block gets one more cell, and the most cells it gets.
-CELL_ROWS, CELLS = 4096, 1024
+CELL_ROWS, CELLS = 8192, 1024
 #: Rows of one side of a task, if they are of 64 dimensions; in proportion fewer if they have more.
 CHUNK_ROWS = 32768
 #: Rows and columns of what is compared at a time, and pairs that are verified at a time.
@@ -68,9 +68,10 @@ def rows_of(column: pa.Array) -> Iterator[np.ndarray | None]:
 
 def unpacked(vectors: list[bytes], dims: int) -> np.ndarray:
     """Unit vectors, one a row."""
+    short = np.fromiter(map(len, vectors), np.int64, len(vectors)) == 4 * dims
     out = np.empty((len(vectors), dims))
-    for i, v in enumerate(vectors):
-        out[i] = np.frombuffer(v, "<f4" if len(v) == 4 * dims else "<f8")
+    out[short] = np.frombuffer(b"".join(v for v, s in zip(vectors, short, strict=True) if s), "<f4").reshape(-1, dims)
+    out[~short] = np.frombuffer(b"".join(v for v, s in zip(vectors, short, strict=True) if not s), "<f8").reshape(-1, dims)
     out /= np.abs(out).max(axis=1, keepdims=True)
     return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
