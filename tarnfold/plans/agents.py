@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions import sequential, shell, texts
 from tarnfold.operators import evals, history, index, messages, search, tools
 from tarnfold.plans.logs import EVENTS, events
-from tarnfold.plans.registry import query, table
+from tarnfold.plans.registry import SQL, query, table
 from tarnfold.session import cut, drop, shared_dir
 from tarnfold.sources import files
 from tarnfold.streaming import folds, streams, timers
@@ -374,6 +374,10 @@ def run_length_sizes(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(encoded).alias("n_chars"))
 
 
+#: The tables' documents all have a text, so the query over all rows is the same.
+SQL["run_length_encoded"] = RUN_LENGTHS
+
+
 COPIED = f"""WITH {", ".join(f"{k} AS ({v})" for k, v in RUNS.items())}, own AS (SELECT * FROM tasks WHERE run_id = 42), run AS (SELECT * FROM runs WHERE id = 42),
 m AS (SELECT id, 3000000 + row_number() OVER (ORDER BY id) AS new FROM (SELECT task_metrics_id AS id FROM own UNION SELECT task_metrics_id FROM run) WHERE id IS NOT NULL),
 t AS (SELECT id, 2000000 + row_number() OVER (ORDER BY id) AS new FROM (SELECT DISTINCT id FROM own))

@@ -297,7 +297,7 @@ def run_length_encoded(spark, d):
     return docs(spark, d).select("doc_id", F.length(sequential.text_udf(sequential.run_lengths)("text")).alias("n_chars"))
 
 
-@query("command_patterns")
+@query("command_patterns", "SELECT p_partkey, array_to_string(list_sort(list_distinct([split_part(p_name, ' ', 1), p_name, 'git', 'git commit'])), ', ') AS patterns FROM part")
 def command_patterns(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.concat_ws(" && ", "p_name", F.concat(F.lit("git commit -m "), "p_brand")).alias("command"))
     return p.select("p_partkey", F.array_join(sequential.text_udf(sequential.command_patterns, "array<string>")("command"), ", ").alias("patterns"))
