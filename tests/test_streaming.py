@@ -157,13 +157,16 @@ def test_spilling_by_bytes():
                 at += len(d.encode())
 
 
-def test_spilled_files_after_a_restart(spark, folder, tmp_path):
+def test_spilled_files_after_a_restart(spark, tmp_path):
     """The stream stops after some batches, with one of them done twice, and goes on: files equal the input."""
     import random
 
     rng = random.Random(5)
     rows = [(k, i, "".join(rng.choice("aé\n") for _ in range(40))) for i in range(60) for k in ("a/b", "c d", "small") if k != "small" or i < 2]
-    events = folder([rows[i : i + 30] for i in range(0, len(rows), 30)], "task string, seq long, payload string")
+    schema = "task string, seq long, payload string"
+    for i in range(0, len(rows), 30):
+        spark.createDataFrame(rows[i : i + 30], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in" / f"b{i:03d}"))
+    events = streams.read_events(spark, str(tmp_path / "in" / "*"), schema, files_per_batch=1)
     found = folds.follow(events, ["task"], folds.spilling(300, 50), folds.SPILLED)
     write, done = streams.spill_to(f"file:{tmp_path}/out", "task"), []
 
