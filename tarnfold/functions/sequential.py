@@ -111,7 +111,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def letters(text: str) -> Counter:
-    return Counter(c for c in unified(text) if not c.isspace())
+    return Counter("".join(unified(text).split()))
 
 
 def most_alike(lines: list[str], n: int, chunk: str) -> list[float]:
