@@ -1,9 +1,11 @@
 import json
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tarnfold import plans
 from tarnfold.operators import index
 from tarnfold.streaming import folds, streams
 
@@ -34,6 +36,26 @@ def test_small_folds():
     assert run(folds.throttle(2000), [{"ts": t, "payload": p} for t, p in ((0, 1), (500, 2), (900, 3), (2500, 3), (9000, 3))]) == [(0, 1), (2000, 3)]
 
 
+def test_stretches_are_closed_in_their_line():
+    texts = lambda *xs: [{"payload": x} for x in xs]
+    text = "a<think>b</think>c<think>d\ne</think><think>f<think>g</think><think>h"
+    want = "a c<think>d\ne</think> <think>h".replace(" ", ""), "bf<think>g"
+    for n in (1, 2, 5, 100):
+        got = run(folds.tagged_in_lines("think"), texts(*[text[i : i + n] for i in range(0, len(text), n)], None))
+        assert ("".join(t for _, inside, t in got if not inside), "".join(t for _, inside, t in got if inside)) == want
+
+
+def test_stretches_with_line_breaks_are_as_in_sql(spark, tmp_path):
+    """Dots do not match line breaks in the query's SQL; a conversation without a key or any text has its row, too."""
+    said = {0: ["ab", "c\nd", "e", "f"], 1: ["a\nb", "cd", "e\n", "\nf", "g", "h\n"], 2: ["", ""], 3: ["ab"], None: ["ab", "cd"], 4: ["<thin", "k>x", "", "\n"]}
+    rows = [(k, i, t) for k, ts in said.items() for i, t in enumerate(ts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = [tuple(r) for r in plans.QUERIES["tagged_stretches"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(plans.SQL["tagged_stretches"]).fetchall(), key=repr)
+
+
 def test_tool_calls():
     e = lambda **x: {"id": None, "name": None, "arguments": None, "done": False} | x
     got = run(folds.tool_calls, [e(id="1", arguments='{"a'), e(name="read"), e(arguments='":1}'), e(done=True)])
