@@ -7,12 +7,16 @@ null counts as failed in a run's totals, as neither in its page, and in the deno
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,49 +165,137 @@ def before(a: tuple, b: tuple) -> float:
     return b[1] - a[1] if abs(b[1] - a[1]) > 1 else a[0] - b[0]
 
 
-def in_the_way(side: str, own: tuple, other: tuple) -> bool:
-    """Whether another point lies where the label would be."""
-    right, up = other[0] - own[0], other[1] - own[1]
-    if side in ("top", "bottom"):
-        return abs(right) < POINT_ACROSS and 0 < (up if side == "top" else -up) < POINT_UP
-    return abs(up) < POINT_ACROSS and 0 < (right if side == "right" else -right) < POINT_ASIDE
+def least_of_others(values: np.ndarray, label: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each row, the least of values[first:stop] with another label than the row's own.
 
+    The least of 1, 2, 4 ... values from each place on, and the least of another label than that one; two such stretches
+    cover a range.
+    """
+    out, length, width = np.full(len(values), np.inf), stop - first, 1
+    best, owner, second = values, label, np.full(len(values), np.inf)
+    while True:
+        rows = np.flatnonzero((length >= width) & (length < 2 * width))
+        for at in (first[rows], stop[rows] - width):
+            out[rows] = np.minimum(out[rows], np.where(owner[at] != label[rows], best[at], second[at]))
+        if not (length >= 2 * width).any():
+            return out
+        left, same = best[:-width] <= best[width:], owner[:-width] == owner[width:]
+        loser = np.where(same, np.inf, np.maximum(best[:-width], best[width:]))
+        rest = np.where(same, np.minimum(second[:-width], second[width:]), np.where(left, second[:-width], second[width:]))
+        best, owner, second = np.minimum(best[:-width], best[width:]), np.where(left, owner[:-width], owner[width:]), np.minimum(loser, rest)
+        width *= 2
+
+
+def first_place(passes: Callable[[np.ndarray], np.ndarray], first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each row, the first place of first to stop from which on `passes` is true, by halves."""
+    while (first < stop).any():
+        middle = np.where(first < stop, (first + stop) // 2, 0)
+        ok = passes(middle)
+        first, stop = np.where((first < stop) & ~ok, middle + 1, first), np.where((first < stop) & ok, middle, stop)
+    return first
+
+
+def in_the_way(across: np.ndarray, along: np.ndarray, label: np.ndarray, wide: float, far: float, strip: float) -> np.ndarray:
+    """Whether a point of another label is less than `wide` across, and further along, but by less than `far`.
+
+    Points are sorted across in strips along, of half of `far` to all of it; of the own strip the furthest point counts, of the next two the nearest.
+    """
+    strips = np.floor(along / strip)
+    order = np.lexsort((across, strips))
+    a, b, s, own = across[order], along[order], strips[order], label[order]
+    found = np.zeros(len(a), bool)
+    for step in (0, 1, 2):
+        begin, end = np.searchsorted(s, s + step, "left"), np.searchsorted(s, s + step, "right")
+        first = first_place(lambda at: a[at] - a > -wide, begin, end)
+        stop = first_place(lambda at: a[at] - a >= wide, first, end)
+        found |= least_of_others(b, own, first, stop) - b < far if step else least_of_others(-b, own, first, stop) < -b
+    out = np.empty_like(found)
+    out[order] = found
+    return out
 
-def clash(side: str, own: tuple, other: tuple) -> bool:
-    """Whether two labels on this side of their points overlap."""
-    return abs(own[0] - other[0]) < LABEL_COST and abs(own[1] - other[1]) < LABEL_SCORE
 
+class Labels:
+    """Labels placed on one side, in cells of 2 by 4, so two in one cell always overlap.
 
-def placed_labels(points: list[tuple[float, float, str]]) -> list[str]:
-    """The side of each label (cost, score, label): the first that is free of points and of labels placed before, else the top.
+    Of a cell's labels, only those count that are the nearest to one of its corners: no other is nearer both ways.
+    """
 
-    Points and labels are looked up in the cells of a grid, so a plot takes time in proportion to its points and their
-    neighbours.
+    def __init__(self) -> None:
+        self.cells: dict[tuple[int, int], dict[tuple[int, int], list[tuple[float, float]]]] = {}
+
+    @staticmethod
+    def cell(x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / 2), math.floor(y / 4)
+
+    def add(self, x: float, y: float) -> None:
+        corners = self.cells.setdefault(self.cell(x, y), {(1, 1): [], (1, -1): [], (-1, 1): [], (-1, -1): []})
+        for (right, up), steps in corners.items():
+            u, v = right * x, up * y
+            n = bisect.bisect_right(steps, (u, math.inf))
+            if n and steps[n - 1][1] <= v:
+                continue
+            n = last = bisect.bisect_left(steps, (u, -math.inf))
+            while last < len(steps) and steps[last][1] >= v:
+                last += 1
+            steps[n:last] = [(u, v)]
+
+    def overlap(self, x: float, y: float) -> bool:
+        column, row = self.cell(x, y)
+        if (column, row) in self.cells:
+            return True
+        for c, r in itertools.product(range(-2, 3), range(-2, 3)):
+            if corners := self.cells.get((column + c, row + r)):
+                right, up = 1 if c >= 0 else -1, 1 if r >= 0 else -1
+                steps = corners[right, up]
+                n = bisect.bisect_left(steps, True, key=lambda p, u=right * x: p[0] - u >= LABEL_COST)
+                if n and steps[n - 1][1] - up * y < LABEL_SCORE:
+                    return True
+        return False
+
+
+def placed(cost: np.ndarray, score: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The side (its number) of each label (by number): the first that is free of points and of labels placed before, else the top.
+
+    Points are looked up for all at once, and labels one by one, each in logarithmic time however dense a plot is.
     """
-    cell = lambda p: (math.floor(p[0] / LABEL_COST), math.floor(p[1] / POINT_UP))
-    there: dict[tuple, list[int]] = {}
-    for i, p in enumerate(points):
-        there.setdefault(cell(p), []).append(i)
-    out: list[str] = [""] * len(points)
+    if not (np.isfinite(cost).all() and np.isfinite(score).all()):
+        raise ValueError("a point without a place")
+    up, aside = (POINT_ACROSS, POINT_UP, 4.0), (POINT_ACROSS, POINT_ASIDE, 2.0)
+    taken = [in_the_way(cost, score, label, *up), in_the_way(cost, -score, label, *up), in_the_way(score, cost, label, *aside), in_the_way(score, -cost, label, *aside)]
+    points, free, there = list(zip(cost.tolist(), score.tolist(), strict=True)), ~np.array(taken), [Labels() for _ in SIDES]
+    # labels that go to the top as nothing is free matter only near a point whose top is
+    tops = {Labels.cell(*points[i]) for i in np.flatnonzero(free[0])}
+    near_tops = {(c + x, r + y) for c, r in tops for x in range(-2, 3) for y in range(-2, 3)}
+    some, out = free.any(axis=0), np.zeros(len(points), np.int8)
     for i in sorted(range(len(points)), key=functools.cmp_to_key(lambda a, b: before(points[a], points[b]))):
-        x, y = cell(points[i])
-        near = [j for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for j in there.get((a, b), ())]
-        taken = lambda side, i=i, near=near: any(
-            points[j][2] != points[i][2] and in_the_way(side, points[i], points[j]) or out[j] == side and clash(side, points[i], points[j]) for j in near
-        )
-        out[i] = next((s for s in SIDES if not taken(s)), SIDES[0])
+        x, y = points[i]
+        side = next((k for k in range(len(SIDES)) if free[k, i] and not there[k].overlap(x, y)), 0) if some[i] else 0
+        if side or Labels.cell(x, y) in near_tops:
+            there[side].add(x, y)
+        out[i] = side
     return out
 
 
+def placed_labels(points: list[tuple[float, float, str]]) -> list[str]:
+    """The side of each label (cost, score, label)."""
+    numbers: dict[str, int] = {}
+    label = np.array([numbers.setdefault(p[2], len(numbers)) for p in points], np.int64)
+    cost, score = (np.array([p[k] for p in points], np.float64) for k in (0, 1))
+    return [SIDES[k] for k in placed(cost, score, label)]
+
+
 def label_positions(points: DataFrame) -> DataFrame:
     """plot, label, position of every point (plot, label, cost, score): one plot is one task, as its labels go one by one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["label", "cost", "score"])
-        return pdf.assign(position=placed_labels(list(zip(pdf["cost"], pdf["score"], pdf["label"], strict=True))))[["plot", "label", "position"]]
+    def run(plot: pa.Table) -> pa.Table:
+        plot = plot.sort_by([("label", "ascending"), ("cost", "ascending"), ("score", "ascending")])
+        cost, score = (plot[c].fill_null(math.nan).to_numpy() for c in ("cost", "score"))
+        side = placed(cost, score, pc.rank(plot["label"], tiebreaker="dense").to_numpy().astype(np.int64))
+        return plot.select(["plot", "label"]).append_column("position", pa.array(SIDES).take(pa.array(side)))
 
     types = dict(points.dtypes)
-    return points.select("plot", "label", "cost", "score").groupBy("plot").applyInPandas(run, f"plot {types['plot']}, label {types['label']}, position string")
+    rows = points.select("plot", "label", F.col("cost").cast("double").alias("cost"), F.col("score").cast("double").alias("score"))
+    return rows.groupBy("plot").applyInArrow(run, f"plot {types['plot']}, label {types['label']}, position string")
 
 
 def config_changes(old: DataFrame, new: DataFrame) -> DataFrame:

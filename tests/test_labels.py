@@ -1,5 +1,6 @@
 import functools
 import random
+import time
 
 from tarnfold.operators import evals
 
@@ -39,3 +40,20 @@ def test_plots_are_placed_each_for_itself(spark):
     rows = [("a", "x", 1.0, 50.0), ("a", "y", 1.5, 50.5), ("b", "x", 1.0, 50.0)]
     out = {(r.plot, r.label): r.position for r in evals.label_positions(spark.createDataFrame(rows, "plot string, label string, cost double, score double")).collect()}
     assert out[("b", "x")] == "top" and out[("a", "x")] != out[("a", "y")]
+
+
+def test_labels_on_edges_and_of_one_name():
+    """Whole and half numbers, so points lie on the edges of what is in the way, and names that come again."""
+    rng = random.Random(5)
+    for n in [1, 3, 10, 40, 120] * 12:
+        wide = rng.choice([6, 20, 60])
+        points = [(rng.randrange(-wide, wide) / 2, rng.randrange(-wide, wide) / 2, rng.choice("abcdefgh"[: rng.choice([1, 2, 8])])) for _ in range(n)]
+        assert evals.placed_labels(points) == plain(points)
+
+
+def test_a_dense_plot_takes_no_square_of_its_points():
+    rng = random.Random(6)
+    points = [(rng.uniform(0, 50), float(k % 101), f"m{k}") for k in range(40_000)]
+    begin = time.monotonic()
+    out = evals.placed_labels(points)
+    assert time.monotonic() - begin < 15 and {"top", "bottom", "left"} <= set(out)
