@@ -172,6 +172,12 @@ def update(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return out.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if f"_{c}" in out.columns else F.col(c) for c in rows.columns])
 
 
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is none of the keys. Null is no key: such rows go by their id, so they are not all in one task."""
+    own = keys.select(F.col(column).alias("_key"))
+    return rows.join(own, F.col(column).isNotNull() & (F.coalesce(column, "id") == F.col("_key")), "left_anti")
+
+
 def delete_runs(runs: DataFrame, tasks: DataFrame, metrics: DataFrame, errors: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """The four tables without some runs (ids: id) and all that belongs to them."""
     gone = ids.select(F.col("id").alias("run_id")).distinct()
@@ -180,9 +186,9 @@ def delete_runs(runs: DataFrame, tasks: DataFrame, metrics: DataFrame, errors: D
     of_task = own.select(F.col("id").alias("task_id"))
     return {
         "runs": runs.join(ids, "id", "left_anti"),
-        "tasks": tasks.join(gone, "run_id", "left_anti"),
+        "tasks": without(tasks, gone, "run_id"),
         "metrics": metrics.join(used, "id", "left_anti"),
-        "errors": errors.join(gone, "run_id", "left_anti").join(of_task, "task_id", "left_anti").select(errors.columns),
+        "errors": without(without(errors, gone, "run_id"), of_task, "task_id"),
     }
 
 

@@ -104,3 +104,20 @@ def test_finish_run(spark):
     assert scores == {(1, "go"): 0.5}
     stats = evals.run_stats(tasks).first()
     assert (stats.passed, stats.failed, stats.completed, stats.remaining, stats.pass_rate) == (2, 1, 3, 1, 66.7)
+
+
+def test_errors_without_a_run_or_task_are_dealt_over_all_tasks(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        runs = spark.range(8).selectExpr("id", "id AS task_metrics_id")
+        tasks = spark.range(8).selectExpr("id", "id AS run_id", "id AS task_metrics_id")
+        errors = spark.range(8000).selectExpr("id", "CASE WHEN id < 8 THEN id END AS run_id", "CASE WHEN id BETWEEN 8 AND 15 THEN id - 8 END AS task_id")
+        left = files.delete_runs(runs, tasks, spark.range(8), errors, spark.createDataFrame([(1,), (3,)], "id long"))["errors"]
+        dealt = [r["count"] for r in left.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(dealt) == 7996 and max(dealt) < 4000
+        assert sorted(r["id"] for r in left.where("id < 16").collect()) == [x for x in range(16) if x not in (1, 3, 9, 11)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
