@@ -294,7 +294,7 @@ def line_slices(spark, d):
 
 @query("run_length_encoded")
 def run_length_encoded(spark, d):
-    return docs(spark, d).select("doc_id", F.length(sequential.text_udf(sequential.run_lengths)("text")).alias("n_chars"))
+    return docs(spark, d).select("doc_id", F.length(texts.run_lengths(F.col("text"))).alias("n_chars"))
 
 
 @query("command_patterns", "SELECT p_partkey, array_to_string(list_sort(list_distinct([split_part(p_name, ' ', 1), p_name, 'git', 'git commit'])), ', ') AS patterns FROM part")

@@ -110,3 +110,21 @@ def test_tools(spark):
     assert m == {"b": "3"}
     count = tools.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert spark.createDataFrame([("hello world",), (None,)], "t string").select(count("t")).collect()[0][0] == 3
+
+
+def test_run_lengths_as_an_expression(spark):
+    """As step by step over each text, and without Python, whose workers would hold a batch of whole texts."""
+    rng = random.Random(7)
+    lines = ["", "a", "é" * 20, "a long line that repeats", "x" * 45, "x" * 46, "\r", "😀" * 30]
+    said = ["\n".join(rng.choice(lines[: rng.choice([1, 2, 8])]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    said += ["a long line that repeats\n" * 20_000, "\n" * 50, "".join(f"{i}\n" for i in range(50_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*said, None])], "id int, text string").select("id", texts.run_lengths(F.col("text")).alias("x"))
+    got = {r.id: r.x for r in df.collect()}
+    assert got == {i: None if t is None else sequential.run_lengths(t) for i, t in enumerate([*said, None])}
+
+
+@pytest.mark.parametrize("name", ["run_length_sizes", "run_length_encoded"])
+def test_run_lengths_need_no_python(spark, name):
+    from tarnfold import plans
+
+    assert "Python" not in plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
